@@ -1,5 +1,6 @@
 """All registered queries."""
 
+from auditlake.plans import site_queries  # noqa: F401
 from auditlake.plans.queries import QUERIES
 
 __all__ = ["QUERIES"]

@@ -13,6 +13,7 @@ from auditlake.functions import urls as U
 from auditlake.operators import page_checks as K
 from auditlake.operators import profiles as P
 from auditlake.plans import corpus as C
+from auditlake.session import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -338,7 +339,7 @@ for _name, _id in [
 
 def link_features(spark, sf):
     """Features with links and the HEAD answers of their targets."""
-    f = features(spark, sf, links=True)
+    f = stage(features(spark, sf, links=True).select(*P.KEYS, "has_html", "links"), "page-links")
     return f, C.link_statuses(f.select(F.explode("links").alias("abs_url")))
 
 

@@ -208,9 +208,9 @@ S["x17_content_budget"] = with_pages(f"""SELECT page_index, label, bytes, round(
         SELECT page_index, strlen(raw_html) AS total,
             CAST(list_sum(list_transform({extract_all('clean', '(?is)<script' + BS + 'b.*?</script>', 0)}, lambda z: strlen(z))) AS BIGINT) AS js,
             CAST(list_sum(list_transform({extract_all('clean', '(?is)<style' + BS + 'b.*?</style>', 0)}, lambda z: strlen(z))) AS BIGINT) AS css,
-            CAST(list_sum(list_transform({extract_all('clean', '(?is)<(?:nav|footer)' + BS + 'b.*?</(?:nav|footer)>', 0)}, lambda z: strlen(z))) AS BIGINT) AS nav,
+            CAST(list_sum(list_transform({extract_all('clean', '(?is)<(?:nav|footer)' + BS + 'b.*?(?:</(?:nav|footer)>|' + BS + 'z)', 0)}, lambda z: strlen(z))) AS BIGINT) AS nav,
             strlen(CASE WHEN contains(clean, '<article') THEN {extract('clean', '(?is)<article>(.*?)</article>')}
-                ELSE {extract(strip('clean', 'script', 'style', 'nav', 'footer'), '(?is)<body>(.*)</body>')} END) AS content
+                ELSE {extract(strip('clean', 'script', 'style', 'nav', 'footer'), '(?is)<body>(.*?)(?:</body>|' + BS + 'z)')} END) AS content
         FROM (SELECT page_index, raw_html, {no_comments('raw_html')} AS clean FROM crawl))) WHERE bytes > 0""")
 S["x18_link_rels"] = with_responses("""SELECT site_id, CAST(o AS BIGINT) AS seq, CASE WHEN contains(link, 'llms') THEN 'llms,api-catalog' ELSE 'preload' END AS rels
     FROM resp WHERE link IS NOT NULL AND status > 0""")

@@ -1,5 +1,5 @@
 """All oracle statements by query name."""
 
-from oracle import pages
+from oracle import pages, sites
 
-STATEMENTS: dict[str, str] = {**pages.STATEMENTS}
+STATEMENTS: dict[str, str] = {**pages.STATEMENTS, **sites.STATEMENTS}
