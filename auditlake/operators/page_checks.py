@@ -58,7 +58,7 @@ def distinct_page_links(html: Column, url: Column) -> Column:
     return let(U.base_parts(url), of_base)
 
 
-def page_features(wide: DataFrame, links: bool = True) -> DataFrame:
+def page_features(wide: DataFrame, links: bool = True, extra: list[Column] | None = None) -> DataFrame:
     """What the page checks read, one row per page; page texts are left behind."""
     md, raw = F.col("rawHttp.markdown"), F.col("rawHttp.artifact")
     checked = F.col("rawHttp.ok") & (md != "")
@@ -87,7 +87,7 @@ def page_features(wide: DataFrame, links: bool = True) -> DataFrame:
     ]
     if links:
         columns.append(F.when(with_html, distinct_page_links(raw, F.col("url"))).alias("links"))
-    return wide.select(*KEYS, *columns)
+    return wide.select(*KEYS, *columns, *(extra or []))
 
 
 # ---------------------------------------------------------------- check rows

@@ -201,6 +201,16 @@ def site_stats(wide: DataFrame) -> DataFrame:
     )
 
 
+def wide_from_features(features: DataFrame) -> DataFrame:
+    """Staged page features in the shape that ``site_stats`` reads."""
+    return features.select(
+        *KEYS,
+        F.struct(F.col("raw_chars").alias("chars"), F.col("tokens_rawHttp").alias("tokens_est")).alias("rawHttp"),
+        F.struct(F.col("headless_chars").alias("chars"), F.col("tokens_headless").alias("tokens_est")).alias("headless"),
+        F.struct(F.col("tokens_snippet").alias("tokens_est")).alias("snippet"),
+    )
+
+
 def page_matrix(wide: DataFrame) -> DataFrame:
     """Tokens, characters and share of the page's largest profile."""
     chars = [F.coalesce(F.col(f"{p}.chars"), F.lit(0)) for p in PROFILES]

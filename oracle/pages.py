@@ -218,15 +218,16 @@ S["x19_page_profiles"] = with_profiles("""SELECT site_id, page_index, profile, C
 
 # ------------------------------------------------------------------ page checks
 
+# Selects and extra CTEs by check id, for statements over all page checks.
+PIECES: dict[str, tuple[str, tuple[str, ...]]] = {}
 TITLES = {cid: title for cid, title, _, _ in RUBRIC}
 
 
 def check(check_id: str, category: str, severity: str, conclusion: str, details: str, source: str = "wide", *ctes: str) -> str:
-    return with_profiles(
-        f"""SELECT * FROM (SELECT site_id, page_index, '{check_id}' AS check_id, '{category}' AS category, {severity} AS severity,
-            {conclusion} AS conclusion, {details} AS details FROM {source}) WHERE severity IS NOT NULL""",
-        *ctes,
-    )
+    select = f"""SELECT * FROM (SELECT site_id, page_index, '{check_id}' AS check_id, '{category}' AS category, {severity} AS severity,
+            {conclusion} AS conclusion, {details} AS details FROM {source}) WHERE severity IS NOT NULL"""
+    PIECES[check_id] = (select, ctes)
+    return with_profiles(select, *ctes)
 
 
 USABLE = "(raw_ok AND raw_md <> '')"
@@ -342,9 +343,9 @@ def links_check(chosen: str) -> str:
     )
 
 
+S["p12_link_integrity_all_links"] = links_check("true")
 S["p12_link_integrity"] = links_check(
     "n <= 8 OR list_contains(list_transform(range(0, 8), lambda i: CAST(floor((i / 7.0::DOUBLE) * (n - 1)) AS BIGINT)), pos)"
 )
-S["p12_link_integrity_all_links"] = links_check("true")
 
 STATEMENTS = S

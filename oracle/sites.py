@@ -7,13 +7,14 @@ from oracle.base import SITES, count, extract_all, half_up, match, q, with_pages
 from oracle.pages import BS, LINKS, RESOLVED
 
 S: dict[str, str] = {}
+PIECES: dict[str, str] = {}
 
 
 def check(check_id: str, category: str, severity: str, conclusion: str, source: str) -> str:
-    return with_responses(
-        f"""SELECT * FROM (SELECT site_id, '{check_id}' AS check_id, '{category}' AS category,
+    select = f"""SELECT * FROM (SELECT site_id, '{check_id}' AS check_id, '{category}' AS category,
             {severity} AS severity, {conclusion} AS conclusion FROM {source}) WHERE severity IS NOT NULL"""
-    )
+    PIECES[check_id] = select
+    return with_responses(select)
 
 
 FOUND_LLMS = """(SELECT s.site_id, f.* EXCLUDE (site_id) FROM sites s LEFT JOIN (
@@ -70,12 +71,11 @@ S["c9_ai_bot_rules"] = check(
     f"""(SELECT *, list_filter([{AGENTS}], lambda a: len(list_filter(string_split(body, chr(10)),
         lambda l: regexp_matches(l, '(?i)^{BS}s*user-agent{BS}s*:{BS}s*' || a || '{BS}b'))) > 0) AS named FROM resp WHERE kind = 'robots')""",
 )
-S["c10_well_known"] = with_responses(
-    """SELECT s.site_id, 'well-known-' || k.kind AS check_id, 'capability-discovery' AS category, CASE WHEN hit IS NOT NULL THEN 'pass' ELSE 'info' END AS severity,
+PIECES["well-known"] = """SELECT s.site_id, 'well-known-' || k.kind AS check_id, 'capability-discovery' AS category, CASE WHEN hit IS NOT NULL THEN 'pass' ELSE 'info' END AS severity,
         CASE WHEN hit IS NOT NULL THEN 'found at ' || hit WHEN silent THEN 'no response' ELSE 'not found, status ' || last_status END AS conclusion
     FROM (SELECT site_id, kind, arg_min(url, o) FILTER (status BETWEEN 200 AND 299) AS hit, bool_and(status = 0) AS silent, arg_max(status, o) AS last_status
         FROM resp WHERE kind IN ('api-catalog', 'mcp-card', 'agent-skills') GROUP BY ALL) k JOIN sites s USING (site_id)"""
-)
+S["c10_well_known"] = with_responses(PIECES["well-known"])
 S["c11_markdown_url"] = check(
     "markdown-url-support", "content-accessibility",
     "CASE WHEN already OR good THEN 'pass' ELSE 'fail' END",
