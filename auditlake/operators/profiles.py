@@ -41,11 +41,12 @@ def _profile(ok: Column, reason: Column, filled: Column, size: Column, markdown:
     )
 
 
-def with_profiles(pages: DataFrame, legacy_snippet: bool = False) -> DataFrame:
+def with_profiles(pages: DataFrame, legacy_snippet: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Pages plus structs ``rawHttp``, ``headless``, ``snippet`` and the parsed ``snippet_data``.
 
     A failed raw fetch keeps its metrics when there was a body; the other two fall to zeros. The
-    conversions sit in a projection of their own so that each runs once per page.
+    conversions sit in a projection of their own so that each runs once per page. ``keep`` names further columns
+    to carry along.
     """
     status = F.col("raw_status")
     fetched = F.col("fetch_error").isNull() & F.col("raw_html").isNotNull()
@@ -53,6 +54,7 @@ def with_profiles(pages: DataFrame, legacy_snippet: bool = False) -> DataFrame:
     rendered = F.col("rendered_error").isNull() & F.col("rendered_html").isNotNull()
     converted = pages.select(
         *KEYS,
+        *keep,
         "raw_status",
         "fetch_error",
         "rendered_error",
@@ -69,6 +71,7 @@ def with_profiles(pages: DataFrame, legacy_snippet: bool = False) -> DataFrame:
     served = F.col("snippet_data").isNotNull()
     return shown.select(
         *KEYS,
+        *keep,
         "raw_status",
         _profile(
             fetched & _status_ok(status),

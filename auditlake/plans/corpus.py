@@ -275,3 +275,132 @@ def link_statuses(links: DataFrame) -> DataFrame:
     return targets.select("url", F.when(F.expr(LINK_ANSWERED), F.expr(LINK_STATUS)).cast("int").alias("status")).where(
         F.col("status").isNotNull()
     )
+
+
+# ------------------------------------------------------------------ link graph, sitemaps, runs, logs
+
+# Page i of a site links to 2i+1, 2i+2 and (7i+3) mod n, to itself with a fragment, and off the host.
+NODE = "CASE WHEN {i} = 0 THEN 'https://' || site_id || '/' ELSE 'https://' || site_id || '/n/' || CAST({i} AS STRING) END"
+
+
+def graph_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link table of a graph over each site's pages."""
+    pages = site_pages(spark, sf_dir).select("site_id", F.col("page_index").alias("i"))
+    sizes = pages.groupBy("site_id").agg(F.count(F.lit(1)).alias("n"))
+    targets = F.expr("array(2 * i + 1, 2 * i + 2, (7 * i + 3) % n)")
+    rows = pages.join(sizes, "site_id").select("site_id", "n", F.expr(NODE.format(i="i")).alias("src_url"), "i", F.posexplode(targets).alias("link_idx", "t"))
+    inside = rows.where("t < n").select("site_id", "src_url", "link_idx", F.expr(NODE.format(i="t")).alias("abs_url"))
+    outside = rows.where("link_idx = 0").select(
+        "site_id", "src_url", F.lit(3).alias("link_idx"), F.concat(F.lit("https://other.example.com/"), F.col("i").cast("string")).alias("abs_url")
+    )
+    return inside.unionByName(outside).select(
+        F.lit(RUN_ID).alias("run_id"), "site_id", "src_url", "link_idx", F.col("abs_url").alias("href"), "abs_url"
+    )
+
+
+def graph_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sites(spark, sf_dir).withColumn("seed_url", F.concat(F.lit("https://"), "site_id", F.lit("/")))
+
+
+# Sites with an odd h have an index of two children and a nested index; those with h % 4 = 0 a flat
+# sitemap; the rest none. Entries are the site's pages plus one repeated, one foreign and one image.
+SITEMAP_ENTRY = """'<url><loc> https://' || site_id || '/n/' || CAST(page_index AS STRING) || ' </loc><image:image><image:loc>https://cdn.example.com/i.png</image:loc></image:image></url>'"""
+
+
+def sitemap_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sitemap files of the sites, a few pages to each file so that none grows with the site."""
+    pages = site_pages(spark, sf_dir).join(sites(spark, sf_dir).select("site_id", "h"), "site_id")
+    chunk = pages.withColumn("chunk", F.floor(F.col("page_index") / 20)).withColumn("entry", F.expr(SITEMAP_ENTRY))
+    files = chunk.where("h % 2 = 1 OR h % 4 = 0").groupBy("site_id", "h", "chunk").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_index", "entry"))), lambda e: e["entry"]), "\n").alias("entries")
+    )
+    extra = F.expr("'<url><loc>https://' || site_id || '/n/0</loc></url><url><loc>https://elsewhere.example.com/x</loc></url><url><loc></loc></url>'")
+    body = F.concat(F.lit('<?xml version="1.0"?><urlset><!-- <url><loc>https://no.example.com/</loc></url> -->'), "entries", extra, F.lit("</urlset>"))
+    # A flat sitemap is its first file; an index names every file and one index too many.
+    own = F.concat(F.lit("https://"), "site_id", F.when(F.col("h") % 2 == 1, F.concat(F.lit("/sitemap-"), F.col("chunk").cast("string"), F.lit(".xml"))).otherwise(F.lit("/sitemap.xml")))
+    flat = files.where("h % 2 = 1 OR chunk = 0").select("site_id", own.alias("sitemap_url"), body.alias("body"))
+    counts = files.where("h % 2 = 1").groupBy("site_id").agg(F.max("chunk").alias("last"))
+    names = F.transform(
+        F.sequence(F.lit(0).cast("bigint"), F.col("last")),
+        lambda c: F.concat(F.lit("<sitemap><loc>https://"), F.col("site_id"), F.lit("/sitemap-"), c.cast("string"), F.lit(".xml</loc></sitemap>")),
+    )
+    index = counts.select(
+        "site_id",
+        F.concat(F.lit("https://"), "site_id", F.lit("/sitemap.xml")).alias("sitemap_url"),
+        F.concat(F.lit("<sitemapindex>"), F.array_join(names, ""), F.lit("<sitemap><loc>https://"), "site_id", F.lit("/sitemap.xml</loc></sitemap></sitemapindex>")).alias("body"),
+    )
+    broken = sites(spark, sf_dir).where("h % 4 = 2").select("site_id", F.concat(F.lit("https://"), "site_id", F.lit("/sitemap.xml")).alias("sitemap_url"), F.lit("<<not xml").alias("body"))
+    return flat.unionByName(index).unionByName(broken).withColumn("run_id", F.lit(RUN_ID))
+
+
+def run_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of two runs per site; in the later run some pages have moved."""
+    pages = read_table(spark, sf_dir, "pages").select(F.expr(SITE_ID).alias("site_id"), "page_id", "url")
+    moved = F.when(F.col("page_id") % 7 == 0, F.concat("url", F.lit("-moved"))).otherwise(F.col("url"))
+    later = pages.select(F.lit("run-b").alias("run_id"), "site_id", moved.alias("url"))
+    return pages.select(F.lit("run-a").alias("run_id"), "site_id", "url").unionByName(later)
+
+
+# Finding ids of two runs per user: in the later run some events bear on another finding.
+FINDING_A = "'check:' || event_type || '-' || get_json_object(props, '$.k')"
+FINDING_B = "CASE WHEN event_id % 4 = 0 THEN 'check:moved-' || get_json_object(props, '$.k') ELSE 'check:' || event_type || '-' || get_json_object(props, '$.k') END"
+
+
+def run_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged findings of two runs per user."""
+    e = read_table(spark, sf_dir, "events")
+    cols = [F.concat(F.lit("user-"), "user_id").alias("site_id"), F.lit("warn").alias("severity")]
+    a = e.select(F.lit("run-a").alias("run_id"), *cols, F.expr(FINDING_A).alias("finding_id"), F.lit(1).alias("n"))
+    b = e.select(F.lit("run-b").alias("run_id"), *cols, F.expr(FINDING_B).alias("finding_id"), (1 + F.col("event_id") % 2).alias("n"))
+    return a.unionByName(b).groupBy("run_id", "site_id", "finding_id", "severity").agg(F.sum("n").cast("bigint").alias("occurrences"))
+
+
+def two_runs(site_ids: DataFrame) -> DataFrame:
+    """Run table with two runs per site; the later one of some sites is listed first."""
+    runs = F.array(
+        F.struct(F.lit("run-a").alias("run_id"), F.lit(1000).cast("bigint").alias("started_at"), F.lit(None).cast("bigint").alias("finished_at"), F.lit(2).alias("seq")),
+        F.struct(F.lit("run-b").alias("run_id"), F.lit(900).cast("bigint").alias("started_at"), F.lit(2000).cast("bigint").alias("finished_at"), F.lit(1).alias("seq")),
+    )
+    return site_ids.select("site_id", F.explode(runs).alias("r")).select("site_id", "r.*")
+
+
+# Event types as run events; k is the number in props.
+LOG_TYPE = """CASE event_type WHEN 'signup' THEN CASE WHEN k % 10 < 3 THEN 'discover' ELSE 'page:start' END
+    WHEN 'view' THEN 'page:start' WHEN 'click' THEN 'profile:done' WHEN 'purchase' THEN 'page:done'
+    ELSE CASE k WHEN 0 THEN 'run:done' WHEN 25 THEN 'run:stopped' WHEN 50 THEN 'run:error' ELSE 'page:start' END END"""
+
+
+def raw_log(events: DataFrame) -> DataFrame:
+    """Run events with page arrays, from a batch or a stream of the events table."""
+    e = events.withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    typed = e.withColumn("type", F.expr(LOG_TYPE))
+    on_page = F.col("type").isin("profile:done", "page:done", "page:start")
+    profile = F.element_at(F.array(F.lit("rawHttp"), F.lit("headless"), F.lit("snippet")), (F.floor(F.col("k") / 10) % 3 + 1).cast("int"))
+    is_profile = F.col("type") == "profile:done"
+    chars = F.when(is_profile, F.floor(F.col("value") * 100).cast("bigint"))
+    urls = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("k") % 10), lambda i: F.concat(F.lit("https://docs.example.com/p"), i.cast("string")))
+    return typed.select(
+        F.concat(F.lit("run-"), "user_id").alias("run_id"), F.col("event_id").alias("seq"), "type",
+        F.when(on_page, F.concat(F.lit("https://docs.example.com/p"), (F.col("k") % 10).cast("string"))).alias("url"),
+        F.lit(None).cast("bigint").alias("page_index"),
+        F.when(is_profile, profile).alias("profile"), chars.alias("chars"), F.floor(chars / 4 + 0.5).cast("bigint").alias("tokens_est"),
+        F.when(F.col("type") == "page:done", F.col("k") / 100).alias("js_gated"),
+        F.lit(None).cast("string").alias("source"), F.lit(None).cast("boolean").alias("capped"),
+        F.when(F.col("type").startswith("run:"), F.concat(F.lit("at "), F.col("event_id").cast("string"))).alias("message"),
+        F.when(F.col("type") == "discover", urls).alias("pages"), "ts",
+    )
+
+
+# Redirects and headers of a page fetch, for the strict ruleset.
+PAGE_HOPS = "CASE page_id % 6 WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 0 END"
+PAGE_HOP_TO = "CASE WHEN page_id % 12 = 3 THEN 'https://login.okta.com/x' ELSE url END"
+
+
+def fetched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawled pages with the redirects and the Link header of their fetch."""
+    pages = crawled_pages(spark, sf_dir).withColumn("page_id", F.col("page_index"))
+    hop = F.struct(
+        F.col("url").alias("from_url"), F.expr(PAGE_HOP_TO).alias("to_url"), F.lit(301).alias("status"), (F.col("page_id") % 4 != 3).alias("same_host")
+    )
+    header = F.when(F.col("page_id") % 5 == 0, F.lit('</.well-known/api-catalog>; rel="api-catalog"'))
+    return pages.select("*", F.array_repeat(hop, F.expr(PAGE_HOPS)).alias("redirect_chain"), header.alias("link_header"))
