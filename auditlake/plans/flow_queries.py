@@ -332,7 +332,7 @@ def r5(spark, sf):
     raw = C.raw_log(C.read_table(spark, sf, "events"))
     per_run = raw.groupBy("run_id").agg(
         F.count_if(F.col("type") == "page:done").alias("done"), F.count(F.lit(1)).alias("total"),
-        (F.unix_millis(F.max("ts")) - F.unix_millis(F.min("ts"))).alias("span_ms"),
+        (F.unix_millis(F.max("ts").cast("timestamp")) - F.unix_millis(F.min("ts").cast("timestamp"))).alias("span_ms"),
     )
     status = F.when(F.length("run_id") == 5, "done").otherwise("running")
     speedup = F.when(F.length("run_id") % 2 == 0, 1_000_000).otherwise(10_000)

@@ -82,7 +82,6 @@ STATE_COLUMNS = f"""page_index BIGINT, {', '.join(f'chars_{p} BIGINT' for p in P
     js_gated DOUBLE, done BOOLEAN, {', '.join(f'seq_{p} BIGINT' for p in PROFILES)}, seq_done BIGINT"""
 STATE_FIELDS = [c.split()[0] for c in STATE_COLUMNS.replace("\n", " ").split(",")]
 OUTPUT = f"run_id STRING, shard INT, url STRING, start_seq BIGINT, version BIGINT, {STATE_COLUMNS}"
-WEEK_MS = 7 * 24 * 3600 * 1000
 
 
 def sharded(log: DataFrame, shards: int) -> DataFrame:
@@ -97,11 +96,14 @@ def sharded(log: DataFrame, shards: int) -> DataFrame:
 
 
 class RunFold(StatefulProcessor):
-    """Folds the events of one shard of one run."""
+    """Folds the events of one shard of one run; state is kept for ``keep_ms`` after its last change."""
+
+    def __init__(self, keep_ms: int | None = None) -> None:
+        self._keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._marks = handle.getValueState("marks", "start_seq BIGINT, end_seq BIGINT, version BIGINT", WEEK_MS)
-        self._pages = handle.getMapState("pages", "url STRING", STATE_COLUMNS, WEEK_MS)
+        self._marks = handle.getValueState("marks", "start_seq BIGINT, end_seq BIGINT, version BIGINT", self._keep_ms)
+        self._pages = handle.getMapState("pages", "url STRING", STATE_COLUMNS, self._keep_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         # A discovery comes before its pages, which carry the same number.
@@ -167,10 +169,15 @@ def _whole(x) -> int | None:
     return None if pd.isna(x) else int(x)
 
 
-def fold_stream(log: DataFrame, shards: int = 16) -> DataFrame:
-    """Changed page states of a streaming log. Needs the RocksDB state store."""
+def fold_stream(log: DataFrame, shards: int = 16, keep_ms: int | None = None) -> DataFrame:
+    """Changed page states of a streaming log. Needs the RocksDB state store.
+
+    A run's page states go when it ends; its three marks stay so that later events are still
+    ignored, unless ``keep_ms`` lets them expire. Expiry goes by the clock, so give it to streams
+    that run on a schedule and not to ones that stop when all input is read.
+    """
     return sharded(log, shards).groupBy("run_id", "shard").transformWithStateInPandas(
-        RunFold(), outputStructType=OUTPUT, outputMode="Append", timeMode="ProcessingTime"
+        RunFold(keep_ms), outputStructType=OUTPUT, outputMode="Append", timeMode="ProcessingTime" if keep_ms else "None"
     )
 
 

@@ -1,5 +1,5 @@
 """All oracle statements by query name."""
 
-from oracle import pages, results, sites
+from oracle import flows, pages, results, sites
 
-STATEMENTS: dict[str, str] = {**pages.STATEMENTS, **sites.STATEMENTS, **results.STATEMENTS}
+STATEMENTS: dict[str, str] = {**pages.STATEMENTS, **sites.STATEMENTS, **results.STATEMENTS, **flows.STATEMENTS}
