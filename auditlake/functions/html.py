@@ -39,10 +39,15 @@ def strip_comments(html: Column) -> Column:
     return F.regexp_replace(html, COMMENT, "")
 
 
-def strip_elements(html: Column, *tags: str) -> Column:
-    for tag in tags:
-        html = F.regexp_replace(html, element(tag), "")
-    return html
+def strip_elements(html: Column, *tags: str, comments: bool = False) -> Column:
+    """Remove elements with their content, and comments too, in one pass over the text.
+
+    Whatever starts first wins, so a script inside a comment or the other way round is no matter.
+    """
+    kinds = [rf"<{tag}\b[^<>]*>.*?(?:</{tag}\s*>|\z)" for tag in tags]
+    if comments:
+        kinds.insert(0, r"<!--.*?(?:-->|\z)")
+    return F.regexp_replace(html, "(?is)" + "|".join(kinds), "")
 
 
 def _sql_text(s: str) -> str:
@@ -54,7 +59,13 @@ _ENTITY_TABLE = f"""array({", ".join(f"named_struct('name', {_sql_text(n)}, 'cha
 
 
 def decode_entities(s: Column) -> Column:
-    return F.aggregate(F.expr(_ENTITY_TABLE), s, lambda done, e: F.replace(done, e["name"], e["char"]))
+    """Decode named references; text without an ampersand, which most short text is, passes by."""
+    return let(
+        s,
+        lambda t: F.when(
+            t.contains("&"), F.aggregate(F.expr(_ENTITY_TABLE), t, lambda done, e: F.replace(done, e["name"], e["char"]))
+        ).otherwise(t),
+    )
 
 
 def strip_tags(s: Column, by: str = "") -> Column:
@@ -63,14 +74,17 @@ def strip_tags(s: Column, by: str = "") -> Column:
 
 def body_of(html: Column) -> Column:
     """Inside of ``body``; a page without the tag is all body but for its head."""
-    inner = F.regexp_extract(html, r"(?is)<body\b[^<>]*>(.*?)(?:</body\s*>|\z)", 1)
-    rest = strip_elements(html, "head")
-    return F.when(html.rlike(r"(?i)<body\b"), inner).otherwise(rest)
+    return let(
+        html,
+        lambda h: F.when(
+            h.rlike(r"(?i)<body\b"), F.regexp_extract(h, r"(?is)<body\b[^<>]*>(.*?)(?:</body\s*>|\z)", 1)
+        ).otherwise(strip_elements(h, "head")),
+    )
 
 
 def visible_text(html: Column) -> Column:
     """Body text with white space collapsed and without script, style, noscript and template."""
-    kept = strip_elements(strip_comments(html), "script", "style", "noscript", "template")
+    kept = strip_elements(html, "script", "style", "noscript", "template", comments=True)
     return collapse_ws(decode_entities(strip_tags(body_of(kept))))
 
 
@@ -92,7 +106,7 @@ def count_matches(s: Column, pattern: str) -> Column:
 
 PRE_TAG = r"(?i)</?pre\b[^<>]*>"
 # Private-use characters stand for structure until literal text has been escaped.
-HASH, TICK, ANCHOR = "\uE001", "\uE002", "\uE003"
+HEAD, TICK, ANCHOR = "\uE001", "\uE002", "\uE003"
 # Elements that start a new block.
 BLOCK_TAGS = (
     "address article aside blockquote body canvas center dd dir div dl dt fieldset figcaption figure "
@@ -101,42 +115,37 @@ BLOCK_TAGS = (
 )
 # (pattern, replacement) in order; \1 and \2 are groups.
 TEXT_RULES = [
-    (r"[ \t\r\n\f]+", " "),
-    (r"(?i)<h1\b[^<>]*>", f"\n\n{HASH} "),
-    (r"(?i)<h2\b[^<>]*>", f"\n\n{HASH * 2} "),
-    (r"(?i)<h3\b[^<>]*>", f"\n\n{HASH * 3} "),
-    (r"(?i)<h4\b[^<>]*>", f"\n\n{HASH * 4} "),
-    (r"(?i)<h5\b[^<>]*>", f"\n\n{HASH * 5} "),
-    (r"(?i)<h6\b[^<>]*>", f"\n\n{HASH * 6} "),
-    (r"(?i)</h[1-6]\s*>", "\n\n"),
+    (r"[\t\r\n\f][ \t\r\n\f]*| [ \t\r\n\f]+", " "),
+    (r"(?i)<h([1-6])\b[^<>]*>", f"\n\n{HEAD}\\1 "),
     (r"(?i)<li\b[^<>]*>", "\n-   "),
-    (r"(?i)</li\s*>", "\n"),
     (r"(?i)<br\b[^<>]*>", "  \n"),
     (r"(?i)<hr\b[^<>]*>", "\n\n* * *\n\n"),
     (r"(?i)<blockquote\b[^<>]*>", "\n\n> "),
-    (rf"(?i)</?(?:{BLOCK_TAGS.replace(' ', '|')})\b[^<>]*>", "\n\n"),
+    (rf"(?i)</?(?:{BLOCK_TAGS.replace(' ', '|')})\b[^<>]*>|</h[1-6]\s*>", "\n\n"),
     (r"(?i)(<a\b)", rf"{ANCHOR}\1"),
     (
         rf"""(?i){ANCHOR}<a\b[^<>]*?\shref\s*=\s*["']?([^"'<>\s]+)[^<>]*>([^{ANCHOR}]*?)</a\s*>""",
         r"[\2](\1)",
     ),
-    (ANCHOR, ""),
     (r"(?i)</?(?:b|strong)\b[^<>]*>", "**"),
     (r"(?i)</?(?:i|em)\b[^<>]*>", "_"),
     (r"(?i)</?code\b[^<>]*>", TICK),
+]
+IMAGE_RULES = [
     (r'(?i)<img\b[^<>]*?\salt\s*=\s*"([^"<>]*)"[^<>]*?\ssrc\s*=\s*"([^"<>]+)"[^<>]*>', r"![\1](\2)"),
     (r'(?i)<img\b[^<>]*?\ssrc\s*=\s*"([^"<>]+)"[^<>]*?\salt\s*=\s*"([^"<>]*)"[^<>]*>', r"![\2](\1)"),
     (r"""(?i)<img\b[^<>]*?\ssrc\s*=\s*["']?([^"'<>\s]+)[^<>]*>""", r"![](\1)"),
-    (r"<[^<>]*>", ""),
 ]
+TAG_RULES = [(rf"<[^<>]*>|{ANCHOR}", "")]
 # Applied once entities are decoded: literal marks must not turn into structure.
 ESCAPE_RULES = [
-    (r"`", r"\\`"),
     (r"(^|\n) *(#{1,6} )", r"\1\\\2"),
     (r"\n +", "\n"),
     (r"\n{3,}", "\n\n"),
     (r"^[ \n]+|[ \n]+\z", ""),
 ]
+# Literal replacements: the mark of a heading with its level, then the mark of code.
+MARKS = [*[(f"{HEAD}{n}", "#" * n) for n in range(1, 7)], (TICK, "`")]
 
 
 def java_replacement(repl: str) -> str:
@@ -154,8 +163,14 @@ def _apply(s: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 def _markdown_text(segment: Column) -> Column:
-    s = _apply(decode_entities(_apply(segment, TEXT_RULES)), ESCAPE_RULES)
-    return F.translate(s, HASH + TICK, "#`")
+    tagged = let(
+        _apply(segment, TEXT_RULES), lambda t: F.when(F.lower(t).contains("<img"), _apply(t, IMAGE_RULES)).otherwise(t)
+    )
+    s = F.replace(decode_entities(_apply(tagged, TAG_RULES)), F.lit("`"), F.lit("\\`"))
+    s = _apply(s, ESCAPE_RULES)
+    for mark, plain in MARKS:
+        s = F.replace(s, F.lit(mark), F.lit(plain))
+    return s
 
 
 def _markdown_pre(segment: Column) -> Column:
@@ -172,7 +187,7 @@ def html_to_markdown(html: Column) -> Column:
 
     Text between ``pre`` tags is handled apart, since white space and marks mean something there.
     """
-    kept = strip_elements(strip_comments(html), "script", "noscript", "iframe", "svg")
+    kept = strip_elements(html, "script", "noscript", "iframe", "svg", comments=True)
     segments = F.transform(
         F.split(kept, PRE_TAG),
         lambda s, i: F.when(i % 2 == 1, _markdown_pre(s)).otherwise(_markdown_text(s)),
@@ -185,24 +200,24 @@ def html_to_markdown(html: Column) -> Column:
 
 def content_body(html: Column) -> Column:
     """First main, article or role=main element without boilerplate; else the body."""
-    kept = strip_elements(strip_comments(html), "script", "style", "noscript", "nav", "header", "footer")
-    inner = F.regexp_extract(
-        kept,
-        r"""(?is)<(?:main|article)\b[^<>]*>(.*?)(?:</(?:main|article)\s*>|\z)""",
-        1,
-    )
-    by_role = F.regexp_extract(
-        kept, r"""(?is)<[a-z0-9]+\b[^<>]*\srole\s*=\s*["']?main\b["']?[^<>]*>(.*?)(?:</(?:div|section)\s*>|\z)""", 1
-    )
-    return (
-        F.when(kept.rlike(r"(?i)<(?:main|article)\b"), inner)
-        .when(kept.rlike(r"""(?i)\srole\s*=\s*["']?main\b"""), by_role)
-        .otherwise(body_of(kept))
+    return let(
+        strip_elements(html, "script", "style", "noscript", "nav", "header", "footer", comments=True),
+        lambda kept: F.when(
+            kept.rlike(r"(?i)<(?:main|article)\b"),
+            F.regexp_extract(kept, r"(?is)<(?:main|article)\b[^<>]*>(.*?)(?:</(?:main|article)\s*>|\z)", 1),
+        )
+        .when(
+            kept.rlike(r"""(?i)\srole\s*=\s*["']?main\b"""),
+            F.regexp_extract(
+                kept, r"""(?is)<[a-z0-9]+\b[^<>]*\srole\s*=\s*["']?main\b["']?[^<>]*>(.*?)(?:</(?:div|section)\s*>|\z)""", 1
+            ),
+        )
+        .otherwise(body_of(kept)),
     )
 
 
 def text_to_markup_ratio(html: Column) -> Column:
-    kept = strip_elements(strip_comments(html), "script", "style", "noscript")
+    kept = strip_elements(html, "script", "style", "noscript", comments=True)
     text = utf16_len(collapse_ws(decode_entities(strip_tags(body_of(kept)))))
     ratio = F.try_divide(text, utf16_len(html))
     return F.when(F.length(html) == 0, F.lit(0.0)).otherwise(F.floor(ratio * 100 + 0.5) / 100)
@@ -297,7 +312,7 @@ HREF = rf"(?i)<a\b[^<>]*?\shref\s*=\s*{ATTR_VALUE}"
 
 def hrefs(html: Column) -> Column:
     """Targets of ``a[href]`` in document order; scripts and comments are no document."""
-    kept = strip_elements(strip_comments(html), "script", "style", "noscript")
+    kept = strip_elements(html, "script", "style", "noscript", comments=True)
     return F.transform(
         F.regexp_extract_all(kept, F.lit(HREF), F.lit(1)), lambda h: decode_entities(F.btrim(h, F.lit("\"'")))
     )
@@ -309,7 +324,7 @@ def markdown_heading_levels(md: Column) -> Column:
 
 
 def html_heading_levels(html: Column) -> Column:
-    kept = strip_elements(strip_comments(html), "script", "style", "noscript", "nav", "header", "footer")
+    kept = strip_elements(html, "script", "style", "noscript", "nav", "header", "footer", comments=True)
     return F.transform(
         F.regexp_extract_all(kept, F.lit(r"(?i)<h([1-6])\b[^<>]*>"), F.lit(1)), lambda d: d.cast("int")
     )
@@ -326,7 +341,7 @@ def level_jumps(levels: Column) -> Column:
 
 
 def images(html: Column) -> Column:
-    return tags_of(strip_elements(strip_comments(html), "script", "style"), "img")
+    return tags_of(strip_elements(html, "script", "style", comments=True), "img")
 
 
 def image_counts(html: Column) -> Column:
@@ -395,25 +410,28 @@ APP_SHELLS = [
 
 def rendering_signals(html: Column) -> Column:
     """App-shell framework, counts of substantive elements and length of the body text."""
-    kept = strip_elements(strip_comments(html), "script", "style", "noscript")
-    pieces = F.split(F.regexp_replace(kept, r"(?i)<p\b[^<>]*>", "\uE004"), "\uE004")
-    after_open = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
-    texts = F.transform(
-        after_open, lambda p: js_trim(decode_entities(strip_tags(F.regexp_replace(p, r"(?is)</p\s*>.*", ""))))
-    )
-    framework = F.coalesce(
-        *[
-            F.when(kept.rlike(rf"""(?i)\sid\s*=\s*["']?{shell}["'\s>]"""), F.lit(name))
-            for shell, name in APP_SHELLS
-        ]
-    )
-    return F.struct(
-        framework.alias("framework"),
-        count_matches(kept, r"(?i)<h[1-3]\b[^<>]*>").alias("headings"),
-        F.size(F.filter(texts, lambda t: utf16_len(t) > 40)).cast("bigint").alias("paragraphs"),
-        count_matches(kept, r"(?i)<(?:pre|code)\b[^<>]*>").alias("code_blocks"),
-        utf16_len(collapse_ws(decode_entities(strip_tags(body_of(kept))))).alias("text_chars"),
-    )
+
+    def read(kept: Column) -> Column:
+        pieces = F.split(kept, r"(?i)<p\b[^<>]*>")
+        after_open = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
+        texts = F.transform(
+            after_open, lambda p: js_trim(decode_entities(strip_tags(F.regexp_replace(p, r"(?is)</p\s*>.*", ""))))
+        )
+        framework = F.coalesce(
+            *[
+                F.when(kept.rlike(rf"""(?i)\sid\s*=\s*["']?{shell}["'\s>]"""), F.lit(name))
+                for shell, name in APP_SHELLS
+            ]
+        )
+        return F.struct(
+            framework.alias("framework"),
+            count_matches(kept, r"(?i)<h[1-3]\b[^<>]*>").alias("headings"),
+            F.size(F.filter(texts, lambda t: utf16_len(t) > 40)).cast("bigint").alias("paragraphs"),
+            count_matches(kept, r"(?i)<(?:pre|code)\b[^<>]*>").alias("code_blocks"),
+            utf16_len(collapse_ws(decode_entities(strip_tags(body_of(kept))))).alias("text_chars"),
+        )
+
+    return let(strip_elements(html, "script", "style", "noscript", comments=True), read)
 
 
 # Ways to mark a tab panel, counted one after the other.
@@ -426,7 +444,7 @@ TAB_PANELS = [
 
 def tab_panels(html: Column) -> Column:
     """Number of tab panels and the characters of their text."""
-    page = strip_elements(strip_comments(html), "script", "style")
+    page = strip_elements(html, "script", "style", comments=True)
     patterns = [
         rf"(?is)<(?:div|section|li|article)\b[^<>]*?{mark}>(.*?)(?:</(?:div|section|li|article)\s*>|\z)" for mark in TAB_PANELS
     ]
@@ -446,50 +464,65 @@ def content_budget(html: Column) -> Column:
     The bytes of a kind of element are what removing it takes away.
     """
     size = F.octet_length
-    page = strip_comments(html)
-    no_script = strip_elements(page, "script")
-    no_style = strip_elements(no_script, "style")
-    style_attrs = F.aggregate(
-        F.regexp_extract_all(no_style, F.lit(r"""(?i)\sstyle\s*=\s*("[^"]*"|'[^']*')"""), F.lit(1)),
-        F.lit(0).cast("bigint"),
-        lambda total, v: total + size(v) - 2,
-    )
-    no_svg = strip_elements(no_style, "svg")
-    quiet = strip_elements(no_svg, "noscript")
-    no_nav = strip_elements(quiet, "nav", "header", "footer")
-    main = F.regexp_extract(no_nav, r"(?is)<(?:main|article)\b[^<>]*>(.*?)(?:</(?:main|article)\s*>|\z)", 1)
-    content = F.when(no_nav.rlike(r"(?i)<(?:main|article)\b"), main).otherwise(body_of(no_nav))
-    total = size(html)
-    parts = [
-        ("inline JS", size(page) - size(no_script)),
-        ("inline CSS", size(no_script) - size(no_style) + style_attrs),
-        ("SVG", size(no_style) - size(no_svg)),
-        ("nav/header/footer", size(quiet) - size(no_nav)),
-        ("content", size(content)),
-    ]
-    return _fit_to_total(total.cast("bigint"), [(label, b.cast("bigint")) for label, b in parts])
+
+    def style_attrs(page: Column) -> Column:
+        values = F.regexp_extract_all(page, F.lit(r"""(?i)\sstyle\s*=\s*("[^"]*"|'[^']*')"""), F.lit(1))
+        return F.aggregate(values, F.lit(0).cast("bigint"), lambda total, v: total + size(v) - 2)
+
+    def content(page: Column) -> Column:
+        main = F.regexp_extract(page, r"(?is)<(?:main|article)\b[^<>]*>(.*?)(?:</(?:main|article)\s*>|\z)", 1)
+        return F.when(page.rlike(r"(?i)<(?:main|article)\b"), main).otherwise(body_of(page))
+
+    # Each step removes one kind; ``let`` keeps every intermediate text for the next two uses.
+    return let(strip_comments(html), lambda page: let(strip_elements(page, "script"), lambda no_script: let(
+        strip_elements(no_script, "style"), lambda no_style: let(strip_elements(no_style, "svg"), lambda no_svg: let(
+            strip_elements(no_svg, "noscript"), lambda quiet: let(
+                strip_elements(quiet, "nav", "header", "footer"), lambda no_nav: _fit_to_total(
+                    size(html).cast("bigint"),
+                    [
+                        ("inline JS", size(page) - size(no_script)),
+                        ("inline CSS", size(no_script) - size(no_style) + style_attrs(no_style)),
+                        ("SVG", size(no_style) - size(no_svg)),
+                        ("nav/header/footer", size(quiet) - size(no_nav)),
+                        ("content", size(content(no_nav))),
+                    ],
+                ),
+            ),
+        )),
+    )))
+
+
+def _total_bytes(parts: Column) -> Column:
+    return F.aggregate(parts, F.lit(0).cast("bigint"), lambda acc, p: acc + p["bytes"])
+
+
+def _segment(label: Column, size: Column) -> Column:
+    return F.struct(label.alias("label"), size.cast("bigint").alias("bytes"))
 
 
 def _fit_to_total(total: Column, parts: list[tuple[str, Column]]) -> Column:
-    raw = F.array(*[F.struct(F.lit(label).alias("label"), b.alias("bytes")) for label, b in parts])
-    counted = F.aggregate(raw, F.lit(0).cast("bigint"), lambda acc, p: acc + p["bytes"])
-    scaled = F.transform(
-        raw,
-        lambda p: F.struct(
-            p["label"].alias("label"),
-            F.when(counted > total, F.floor(p["bytes"] * (total / counted) + 0.5)).otherwise(p["bytes"]).cast("bigint").alias("bytes"),
-        ),
-    )
-    used = F.aggregate(scaled, F.lit(0).cast("bigint"), lambda acc, p: acc + p["bytes"])
-    other = F.struct(F.lit("other markup").alias("label"), F.greatest(total - used, F.lit(0)).cast("bigint").alias("bytes"))
-    return F.transform(
-        F.filter(F.concat(scaled, F.array(other)), lambda p: p["bytes"] > 0),
-        lambda p: F.struct(
-            p["label"].alias("label"),
-            p["bytes"].alias("bytes"),
-            (F.floor(p["bytes"] / total * 1000 + 0.5) / 10).alias("pct"),
-        ),
-    )
+    """Scale the parts down together if they exceed the total; what is left over is other markup."""
+
+    def scale(raw: Column) -> Column:
+        return let(
+            _total_bytes(raw),
+            lambda counted: F.when(
+                counted > total,
+                F.transform(raw, lambda p: _segment(p["label"], F.floor(p["bytes"] * (total / counted) + 0.5))),
+            ).otherwise(raw),
+        )
+
+    def complete(scaled: Column) -> Column:
+        other = _segment(F.lit("other markup"), F.greatest(total - _total_bytes(scaled), F.lit(0)))
+        return F.transform(
+            F.filter(F.concat(scaled, F.array(other)), lambda p: p["bytes"] > 0),
+            lambda p: F.struct(
+                p["label"].alias("label"), p["bytes"].alias("bytes"), (F.floor(p["bytes"] / total * 1000 + 0.5) / 10).alias("pct")
+            ),
+        )
+
+    raw = F.array(*[_segment(F.lit(label), b) for label, b in parts])
+    return let(let(raw, scale), complete)
 
 
 def head_metadata(html: Column) -> Column:

@@ -12,9 +12,10 @@ from pyspark.sql.types import BooleanType
 
 # The characters a browser's script engine treats as white space. Java's \\s covers
 # ASCII only, so the class is spelled out.
-WS_INLINE = r"\t\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+WS_INLINE = r" \t\x0B\f\r\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 WS = rf"[{WS_INLINE}\n]"
 WS_SAME_LINE = rf"[{WS_INLINE}]"
+WS_BUT_SPACE = rf"[{WS_INLINE[1:]}\n]"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -45,7 +46,8 @@ def tokens_est(chars: Column) -> Column:
 
 
 def collapse_ws(s: Column) -> Column:
-    return F.btrim(F.regexp_replace(s, f"{WS}+", " "))
+    # A single space needs no replacement, so only other runs match.
+    return F.btrim(F.regexp_replace(s, f"{WS_BUT_SPACE}{WS}*| {WS}+", " "))
 
 
 def js_trim(s: Column) -> Column:

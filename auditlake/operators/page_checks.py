@@ -31,8 +31,12 @@ LINK_SAMPLE = 8
 
 def heading_offset_pct(md: Column) -> Column:
     """Position of the first top heading as % of the markdown; NULL without one."""
-    at = F.regexp_instr(F.concat(F.lit("\n"), md), F.lit(rf"\n#{WS}+"))
-    return F.when(at > 0, js_round(utf16_len(F.substring(md, F.lit(1), (at - 1).cast("int"))) / utf16_len(md) * 100))
+    return let(
+        F.regexp_instr(F.concat(F.lit("\n"), md), F.lit(rf"\n#{WS}+")),
+        lambda at: F.when(
+            at > 0, js_round(utf16_len(F.substring(md, F.lit(1), (at - 1).cast("int"))) / utf16_len(md) * 100)
+        ),
+    )
 
 
 def distinct_page_links(html: Column, url: Column) -> Column:

@@ -61,7 +61,7 @@ def content_links(html: Column, url: Column) -> Column:
 def strict_features(wide: DataFrame) -> DataFrame:
     """What the strict checks read; page texts are left behind. Only pages that were served."""
     md, html = F.col("rawHttp.markdown"), F.col("rawHttp.artifact")
-    quiet = H.strip_elements(H.strip_comments(html), "script", "style", "noscript", "nav", "header", "footer")
+    quiet = H.strip_elements(html, "script", "style", "noscript", "nav", "header", "footer", comments=True)
     alts = F.transform(H.tags_of(quiet, "img"), lambda t: js_trim(H.attr(t, "alt")))
     blocks = F.arrays_zip(
         F.regexp_extract_all(md, F.lit(r"(?s)```(json|yaml)\n(.*?)```"), F.lit(1)).alias("lang"),

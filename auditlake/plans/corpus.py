@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from auditlake.functions import html as H
 from auditlake.functions import urls as U
 from auditlake.operators.windows import ordinal_within
+from auditlake.session import spread
 
 RUN_ID = "run-1"
 
@@ -108,7 +109,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def crawled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page source as stored, with site and variants; ``page_id`` orders the pages of a site."""
     return (
-        read_table(spark, sf_dir, "pages")
+        spread(read_table(spark, sf_dir, "pages"))
         .withColumn("html", H.normalize_newlines(F.col("html")))
         .withColumn("base_html", F.expr(BASE_HTML))
         .select(

@@ -210,7 +210,7 @@ def raw_query(name: str, build):
     QUERIES[name] = run
 
 
-raw_query("x1_strip_elements", lambda h: [F.md5(H.strip_elements(H.strip_comments(h), "script", "style", "nav")).alias("stripped_md5")])
+raw_query("x1_strip_elements", lambda h: [F.md5(H.strip_elements(h, "script", "style", "nav", comments=True)).alias("stripped_md5")])
 raw_query("x2_visible_text", lambda h: [F.md5(H.visible_text(h)).alias("text_md5"), T.utf16_len(H.visible_text(h)).alias("chars")])
 raw_query("x4_content_body", lambda h: [F.md5(H.content_body(h)).alias("body_md5")])
 raw_query("x9_html_headings", lambda h: [joined(H.html_heading_levels(h)).alias("levels")])

@@ -97,7 +97,10 @@ def rules(expr: str, table) -> str:
 
 def markdown(html: str) -> str:
     kept = strip(no_comments(html), "script", "noscript", "iframe", "svg")
-    text = f"translate({rules(decode(rules('s', H.TEXT_RULES)), H.ESCAPE_RULES)}, {q(H.HASH + H.TICK)}, '#`')"
+    tags = rules(rules(rules("s", H.TEXT_RULES), H.IMAGE_RULES), H.TAG_RULES)
+    text = rules(f"replace({decode(tags)}, '`', '{chr(92)}`')", H.ESCAPE_RULES)
+    for mark, plain in H.MARKS:
+        text = f"replace({text}, {q(mark)}, {q(plain)})"
     code = rx(decode(untag("s")), r"\n\z")
     lang = extract("s", r"(?i)^\s*<code\b[^<>]*\bclass\s*=\s*[^<>]*?\blanguage-([^\s\"'<>]+)")
     fence = f"CASE WHEN {match(code, '(?:^|' + chr(10) + ')```')} THEN '````' ELSE '```' END"
