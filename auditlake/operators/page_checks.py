@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from auditlake.dims import RUBRIC
 from auditlake.functions import html as H
 from auditlake.functions import urls as U
-from auditlake.functions.text import WS, byte_len, is_valid_json, js_round, kb, let, pct, utf16_len
+from auditlake.functions.text import WS, is_valid_json, js_round, kb, let, pct, utf16_len
 from auditlake.operators.profiles import KEYS
 from auditlake.operators.windows import even_sample_index
 

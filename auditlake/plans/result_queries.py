@@ -15,7 +15,7 @@ from auditlake.operators import windows as W
 from auditlake.plans import audit as A
 from auditlake.plans import corpus as C
 from auditlake.plans.flagship import rendering_by_site
-from auditlake.plans.queries import QUERIES, crawl, documents, events, features, joined, link_features, query, raw_links, sorted_text, wide
+from auditlake.plans.queries import QUERIES, crawl, documents, events, features, joined, link_features, query, raw_links, wide
 from auditlake.plans.site_queries import all_site_checks
 from auditlake.session import stage
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from auditlake.dims import AI_CRAWLERS, AUDIT_HEADERS
-from oracle.base import SITES, count, extract_all, half_up, match, q, with_pages, with_responses
-from oracle.pages import BS, LINKS, RESOLVED
+from auditlake.dims import AI_CRAWLERS
+from oracle.base import count, extract_all, half_up, match, q, with_responses
+from oracle.pages import BS
 
 S: dict[str, str] = {}
 PIECES: dict[str, str] = {}
