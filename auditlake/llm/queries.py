@@ -1,9 +1,13 @@
 """The registered queries of this subpackage and their SQL, where SQL can state the result."""
 
+from auditlake.llm.automaton import op9_merge_automaton
+from auditlake.llm.packing import op4_pattern_packing
 from auditlake.llm.token_store import op3_token_store
 
 QUERIES = {
     "op3_token_store": op3_token_store,
+    "op4_pattern_packing": op4_pattern_packing,
+    "op9_merge_automaton": op9_merge_automaton,
 }
 
 STATEMENTS: dict[str, str] = {}
