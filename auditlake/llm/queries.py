@@ -1,12 +1,16 @@
 """The registered queries of this subpackage and their SQL, where SQL can state the result."""
 
 from auditlake.llm.automaton import op9_merge_automaton
+from auditlake.llm.near_dups import op8_min_max_hashing
 from auditlake.llm.packing import op4_pattern_packing
 from auditlake.llm.token_store import op3_token_store
+from auditlake.llm.toxicity import op7_compression_distance
 
 QUERIES = {
     "op3_token_store": op3_token_store,
     "op4_pattern_packing": op4_pattern_packing,
+    "op7_compression_distance": op7_compression_distance,
+    "op8_min_max_hashing": op8_min_max_hashing,
     "op9_merge_automaton": op9_merge_automaton,
 }
 
