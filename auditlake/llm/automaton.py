@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from auditlake.llm.common import small_batches
 
 _LATER = 1 << 60
+# Letters, then marks that are neither letters, digits, white space nor the sign of a contraction.
+_PLAIN = re.compile(r"([^\W\d_]+)([^\w\s']*)")
 
 
 def byte_letters() -> list[str]:
@@ -84,32 +86,46 @@ class Automaton:
         return True
 
     def ids(self, word: str) -> list[int]:
-        """``word``: byte letters. At each place exactly one label's arc ends; the last one leads back."""
+        """``word``: byte letters. Arcs are tried longest label first; the one path to the end is the answer.
+
+        A prefix has one path only as well, so a place from which the end was not reached is
+        never entered again, and the time stays in proportion to the word's length.
+        """
         n = len(word)
         if not n:
             return []
-        last = [-1] * (n + 1)
-        came = [0] * (n + 1)
-        inner, arcs = self.inner, self.arcs
-        for end in range(1, n + 1):
-            labels = inner if end < n else self.final
-            for start in range(max(0, end - self.longest), end):
-                y = labels.get(word[start:end])
-                if y is None or start and (x := last[start]) < 0:
-                    continue
-                if start:
-                    ok = arcs.get((x, y))
-                    if ok is None:
-                        ok = arcs[x, y] = self._follows(x, y)
-                    if not ok:
-                        continue
-                last[end], came[end] = y, start
-                break
-        out = []
-        while n:
-            out.append(last[n])
-            n = came[n]
-        return out[::-1]
+        inner, final, arcs, longest = self.inner, self.final, self.arcs, self.longest
+        # The first state has every arc, so a label that spells the whole word is its path.
+        if (whole := final.get(word)) is not None:
+            return [whole]
+        out: list[int] = []
+        starts: list[int] = []
+        dead: set[int] = set()
+        at, x, end = 0, -1, min(n, longest)
+        while True:
+            while end > at:
+                if end not in dead:
+                    y = (inner if end < n else final).get(word[at:end])
+                    if y is not None:
+                        if not at:
+                            break
+                        ok = arcs.get((x, y))
+                        if ok is None:
+                            ok = arcs[x, y] = self._follows(x, y)
+                        if ok:
+                            break
+                end -= 1
+            if end > at:
+                out.append(y)
+                if end == n:
+                    return out
+                starts.append(at)
+                x, at, end = y, end, min(n, end + longest)
+            else:
+                dead.add(at)
+                end, at = at - 1, starts.pop()
+                out.pop()
+                x = out[-1] if out else -1
 
     def labels(self, ids: list[int]) -> list[str]:
         return [self.label[i] for i in ids]
@@ -118,7 +134,8 @@ class Automaton:
 class WordCoder:
     """Texts by way of the automaton: normalised and split as the vocabulary's file says, each distinct piece once."""
 
-    LIMIT = 250_000
+    # Pieces and words kept at most by a worker.
+    LIMIT = 400_000
 
     def __init__(self, path: str):
         with open(path) as file:
@@ -132,15 +149,16 @@ class WordCoder:
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.letters = byte_letters()
         self.known: dict[str, tuple[int, str, str] | None] = {}
+        self.coded: dict[str, tuple[int, str, str]] = {}
+
+    def _word(self, word: str) -> list[int]:
+        spelt = word if word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode()])
+        return self.automaton.ids(spelt)
 
     def _plain(self, text: str) -> list[int]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        out: list[int] = []
-        for word in self.words.findall(text.lower()):
-            spelt = word if word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode()])
-            out += self.automaton.ids(spelt)
-        return out
+        return [i for word in self.words.findall(text.lower()) for i in self._word(word)]
 
     def ids(self, text: str) -> list[int]:
         """Ids of a text; names of special tokens are cut out first."""
@@ -148,9 +166,34 @@ class WordCoder:
             return self._plain(text)
         return [i for part in self.cut.split(text) for i in ([self.special[part]] if part in self.special else self._plain(part))]
 
+    def _coded(self, ids: list[int]) -> tuple[int, str, str]:
+        return len(ids), " ".join(map(str, ids)), " ".join(self.automaton.labels(ids))
+
+    def _parts(self, piece: str) -> list[tuple[int, str, str]]:
+        """Plain words with marks behind them are met in many pieces: each is coded once."""
+        if not piece.isascii():
+            piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")
+        out = []
+        for line in piece.lower().split("\n"):
+            plain = _PLAIN.fullmatch(line)
+            if not plain or not plain[1].isalpha():
+                return []
+            for word in (plain[1], plain[2]):
+                if word:
+                    got = self.coded.get(word)
+                    if got is None:
+                        got = self.coded[word] = self._coded(self._word(word))
+                    out.append(got)
+        return out
+
     def piece(self, piece: str) -> tuple[int, str, str] | None:
-        ids = self.ids(piece)
-        got = (len(ids), " ".join(map(str, ids)), " ".join(self.automaton.labels(ids))) if ids else None
+        parts = self._parts(piece)
+        if len(parts) == 1:
+            got = parts[0]
+        elif parts:
+            got = sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
+        else:
+            got = self._coded(ids) if (ids := self.ids(piece)) else None
         self.known[piece] = got
         return got
 
@@ -161,6 +204,8 @@ class WordCoder:
         """
         if len(self.known) > self.LIMIT:
             self.known = {}
+        if len(self.coded) > self.LIMIT:
+            self.coded = {}
             self.automaton.arcs = {}
         known, piece = self.known, self.piece
         got = [x for p in text.split(" ") if (x := known[p] if p in known else piece(p))]
