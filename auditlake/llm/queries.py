@@ -3,15 +3,19 @@
 from auditlake.llm.automaton import op9_merge_automaton
 from auditlake.llm.near_dups import op8_min_max_hashing
 from auditlake.llm.packing import op4_pattern_packing
+from auditlake.llm.private_data import op6_bootstrapped_private_data
+from auditlake.llm.repeats import op10_suffix_repeats
 from auditlake.llm.token_store import op3_token_store
 from auditlake.llm.toxicity import op7_compression_distance
 
 QUERIES = {
     "op3_token_store": op3_token_store,
     "op4_pattern_packing": op4_pattern_packing,
+    "op6_bootstrapped_private_data": op6_bootstrapped_private_data,
     "op7_compression_distance": op7_compression_distance,
     "op8_min_max_hashing": op8_min_max_hashing,
     "op9_merge_automaton": op9_merge_automaton,
+    "op10_suffix_repeats": op10_suffix_repeats,
 }
 
 STATEMENTS: dict[str, str] = {}

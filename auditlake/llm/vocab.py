@@ -1,28 +1,50 @@
-"""Encoding whole texts with the tokenizers library, each distinct space-delimited piece once.
+"""Encoding whole texts with the tokenizers library, each distinct word once.
 
 Both pre-tokenizers used here never join text across a space in a way that depends on more
-than the piece itself, so a text is cut at its spaces, distinct pieces are encoded by the
-library in batches, and the texts' ids are gathered from that table with numpy. Texts where
-this would not hold (a space inside or at the end of longer white space, or the name of a
-special token) go to the library whole.
+than the piece between spaces, so a text is cut at its spaces and each distinct piece is looked
+up. A new piece that is a plain word with marks behind it is cut where the pre-tokenizer cuts
+it, and the library's model encodes the parts not met before; any other piece goes through the
+whole library. Texts where a cut at spaces would not hold (a space inside or at the end of
+longer white space, or the name of a special token) go to the library whole. Numpy then gathers
+the texts' ids from the table of pieces.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
+from auditlake.llm.automaton import byte_letters
+
+_SPACE_BEFORE = re.compile(r" \s")
 _INNER_SPACE = re.compile(r"\s \s|\s \Z")
+# Letters, then marks that are neither letters, digits, white space nor the sign of a contraction.
+_PLAIN = re.compile(r"([^\W\d_]+)([^\w\s']*)")
+# Stands before the first piece of a text, which has no space in front; not a character of texts cut here.
+_FIRST = "\x00"
 _MADE: dict[tuple[str, bool], Encoder] = {}
 
 
+class _Pieces(dict):
+    """Piece to its number; a piece not met before gets the next one and is noted in ``fresh``."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self.fresh.append(piece)
+        self[piece] = n = len(self)
+        return n
+
+
 class Encoder:
-    """``spaced``: the vocabulary keeps white space, so a piece carries the space before it."""
+    """``spaced``: the vocabulary keeps white space, so all pieces but the first carry the space before them."""
 
-    # Pieces kept at most; beyond that the table starts anew, so that a worker's memory is bounded.
-    LIMIT = 400_000
+    # Pieces and words kept at most; beyond that a table starts anew, so that a worker's memory is bounded.
+    LIMIT, WORDS = 200_000, 500_000
 
     def __init__(self, path: str, spaced: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -33,42 +55,70 @@ class Encoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.spaced = spaced
+        self.letters = byte_letters()
+        self.words: dict[str, list[int]] = {}
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Pieces()
+        if len(self.words) > self.WORDS:
+            self.words = {}
         self.flat = np.empty(1 << 20, np.uint32)
         self.starts = np.zeros(1, np.int64)
-        self.used = 0
-
-    def learn(self, pieces: list[str]) -> None:
-        for at in range(0, len(pieces), 4096):
-            some = pieces[at : at + 4096]
-            got = [np.asarray(e.ids, np.uint32) for e in self.tok.encode_batch_fast(some, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, got), np.int64, len(got))
-            more = int(lengths.sum())
-            if self.used + more > len(self.flat):
-                self.flat = np.resize(self.flat, max(2 * len(self.flat), self.used + more))
-            self.flat[self.used : self.used + more] = np.concatenate(got)
-            self.starts = np.concatenate([self.starts, self.used + np.cumsum(lengths)])
-            self.used += more
-            n = len(self.index)
-            self.index.update(zip(some, range(n, n + len(some)), strict=True))
+
+    def _word(self, word: str) -> list[int]:
+        """Ids of one pre-token."""
+        got = self.words.get(word)
+        if got is None:
+            spelt = "".join([self.letters[b] for b in word.encode()])
+            got = self.words[word] = [t.id for t in self.tok.model.tokenize(spelt)]
+        return got
+
+    def _piece(self, piece: str) -> list[int]:
+        lead = ""
+        if self.spaced:
+            lead, piece = ("", piece[1:]) if piece.startswith(_FIRST) else (" ", piece)
+            lines = piece.split("\n")
+        else:
+            lines = piece.lower().split("\n") if piece.isascii() else [""]
+        out: list[int] = []
+        for k, line in enumerate(lines):
+            plain = _PLAIN.fullmatch(line)
+            if not plain or not (letters := plain[1]).isalpha():
+                return self.tok.encode(lead + piece, add_special_tokens=False).ids
+            if k and self.spaced:
+                out += self._word("\n")
+            out += self._word(letters if k else lead + letters)
+            if marks := plain[2]:
+                out += self._word(marks)
+        return out
+
+    def _learn(self) -> None:
+        got = [self._piece(p) for p in self.index.fresh]
+        self.index.fresh.clear()
+        ends = int(self.starts[-1]) + np.cumsum([len(g) for g in got])
+        while len(self.flat) < ends[-1]:
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        self.flat[int(self.starts[-1]) : ends[-1]] = np.fromiter(chain.from_iterable(got), np.uint32)
+        self.starts = np.concatenate([self.starts, ends])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them."""
         if len(self.index) > self.LIMIT:
             self.forget()
-        whole = [i for i, t in enumerate(texts) if "<|" in t or (self.spaced and _INNER_SPACE.search(t))]
-        parts: list[list[str]] = [t.split(" ") for t in texts]
-        for i in whole:
-            parts[i] = []
-        if self.spaced:
-            parts = [p[:1] + [" " + x for x in p[1:]] for p in parts]
+        whole, parts = [], []
+        for i, t in enumerate(texts):
+            if "<|" in t or self.spaced and (_FIRST in t or (t.endswith(" ") or _SPACE_BEFORE.search(t)) and _INNER_SPACE.search(t)):
+                whole.append(i)
+                parts.append([])
+                continue
+            parts.append(some := t.split(" "))
+            if self.spaced:
+                some[0] = _FIRST + some[0]
         counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        every = [x for p in parts for x in p]
-        self.learn([x for x in set(every) if x not in self.index])
-        at = np.fromiter(map(self.index.__getitem__, every), np.int64, len(every))
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(parts)), np.int64, int(counts.sum()))
+        if self.index.fresh:
+            self._learn()
         starts, lengths = self.starts[at], self.starts[at + 1] - self.starts[at]
         ends = np.cumsum(lengths)
         ids = self.flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
