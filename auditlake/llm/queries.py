@@ -7,8 +7,10 @@ from auditlake.llm.private_data import op6_bootstrapped_private_data
 from auditlake.llm.repeats import op10_suffix_repeats
 from auditlake.llm.token_store import op3_token_store
 from auditlake.llm.toxicity import op7_compression_distance
+from auditlake.llm.url_rules import OP2_SQL, op2_range_join_rules
 
 QUERIES = {
+    "op2_range_join_rules": op2_range_join_rules,
     "op3_token_store": op3_token_store,
     "op4_pattern_packing": op4_pattern_packing,
     "op6_bootstrapped_private_data": op6_bootstrapped_private_data,
@@ -18,4 +20,4 @@ QUERIES = {
     "op10_suffix_repeats": op10_suffix_repeats,
 }
 
-STATEMENTS: dict[str, str] = {}
+STATEMENTS: dict[str, str] = {"op2_range_join_rules": OP2_SQL}
