@@ -1,7 +1,9 @@
 """The registered queries of this subpackage and their SQL, where SQL can state the result."""
 
 from auditlake.llm.automaton import op9_merge_automaton
+from auditlake.llm.embedding_dups import op5_inverted_multi_index
 from auditlake.llm.near_dups import op8_min_max_hashing
+from auditlake.llm.neighbours import op1_collision_counting
 from auditlake.llm.packing import op4_pattern_packing
 from auditlake.llm.private_data import op6_bootstrapped_private_data
 from auditlake.llm.repeats import op10_suffix_repeats
@@ -10,9 +12,11 @@ from auditlake.llm.toxicity import op7_compression_distance
 from auditlake.llm.url_rules import OP2_SQL, op2_range_join_rules
 
 QUERIES = {
+    "op1_collision_counting": op1_collision_counting,
     "op2_range_join_rules": op2_range_join_rules,
     "op3_token_store": op3_token_store,
     "op4_pattern_packing": op4_pattern_packing,
+    "op5_inverted_multi_index": op5_inverted_multi_index,
     "op6_bootstrapped_private_data": op6_bootstrapped_private_data,
     "op7_compression_distance": op7_compression_distance,
     "op8_min_max_hashing": op8_min_max_hashing,
