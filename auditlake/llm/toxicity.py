@@ -125,8 +125,8 @@ def content(words: list[str], size: int) -> bytes:
 
 
 def fit(rows: list[tuple[str, int]]) -> Scorer:
-    """``rows``: text and label in a fixed order; even places make the dictionaries, odd ones the calibration."""
-    rows = list(dict.fromkeys(rows))
+    """``rows``: text and label in a fixed order; of each label every second one makes the dictionaries, the others the calibration."""
+    rows = sorted(dict.fromkeys(rows), key=lambda r: r[1])
     made, held = rows[::2], rows[1::2]
     toxic, ordinary = [t for t, y in made if y], [t for t, y in made if not y]
     own = content(marking_words(toxic, ordinary), OWN)
