@@ -14,8 +14,8 @@ from auditlake.operators.windows import cap_per_site, first_k, first_seen, ordin
 from auditlake.session import stage
 
 SITE = ["run_id", "site_id"]
-# Positions are packed as parent position and place on the parent's page.
-FAN = 1 << 22
+# Parents whose links are numbered together.
+PARENTS = 4096
 
 
 def sitemap_locs(bodies: DataFrame) -> DataFrame:
@@ -44,16 +44,18 @@ def sitemap_locs(bodies: DataFrame) -> DataFrame:
 def expand_sitemaps(sites: DataFrame, locs: DataFrame) -> DataFrame:
     """Page URLs of every site's sitemap; an index is expanded one level, indexes below it dropped.
 
-    Keeps ``seed_url`` and a packed ``pos``; a URL that occurs again keeps its first place.
+    Keeps ``seed_url`` and the place: ``parent`` (the child's place in the index, 0 without one) and
+    ``pos`` in its file. A URL that occurs again keeps its first place.
     """
     root = F.concat(U.origin_of(F.col("seed_url")), F.lit("/sitemap.xml"))
     top = sites.select(*SITE, "seed_url", root.alias("sitemap_url")).join(locs, [*SITE, "sitemap_url"])
-    flat = top.where(~F.col("is_index")).select(*SITE, "seed_url", F.col("pos").cast("bigint").alias("pos"), "loc")
+    place = F.col("pos").cast("bigint").alias("pos")
+    flat = top.where(~F.col("is_index")).select(*SITE, "seed_url", F.lit(0).cast("bigint").alias("parent"), place, "loc")
     parents = top.where("is_index").select(*SITE, "seed_url", F.col("pos").alias("parent"), F.col("loc").alias("sitemap_url"))
     children = parents.join(locs.where(~F.col("is_index")), [*SITE, "sitemap_url"]).select(
-        *SITE, "seed_url", (F.col("parent").cast("bigint") * FAN + F.col("pos")).alias("pos"), "loc"
+        *SITE, "seed_url", F.col("parent").cast("bigint").alias("parent"), place, "loc"
     )
-    return first_seen(flat.unionByName(children), [*SITE, "seed_url", "loc"], "pos")
+    return first_seen(flat.unionByName(children), [*SITE, "seed_url", "loc"], "parent", "pos")
 
 
 def in_sitemap_scope(expanded: DataFrame) -> DataFrame:
@@ -97,10 +99,10 @@ def bfs(links: DataFrame, sites: DataFrame, max_pages: int | None = None, max_de
         reached = frontier.select(*SITE, F.col("url").alias("src_url"), F.col("pos").alias("parent")).join(
             edges, [*SITE, "src_url"]
         )
-        place = F.min(F.col("parent") * FAN + F.col("link_idx")).alias("_place")
+        place = F.min(F.struct("parent", "link_idx")).alias("_place")
         fresh = reached.groupBy(*SITE, "url").agg(place).join(seen.select(*SITE, "url"), [*SITE, "url"], "left_anti")
         if max_pages is None:
-            placed = ordinal_within(fresh, SITE, "_place", "_n", block_size=FAN * 4096)
+            placed = ordinal_within(fresh, SITE, "_place", "_n", block=F.floor(F.col("_place.parent") / PARENTS))
         else:
             placed = first_k(fresh, SITE, [F.col("_place")], max_pages, "_n").withColumn("_n", F.col("_n") - 1)
         sizes = seen.groupBy(*SITE).agg(F.count(F.lit(1)).alias("_seen"))
@@ -120,9 +122,9 @@ def discover(sites: DataFrame, locs: DataFrame, links: DataFrame, cap: int = 10)
     ``capped`` can only be true for sitemaps, since the walk itself stops at the cap.
     """
     scoped = stage(in_sitemap_scope(expand_sitemaps(sites, locs)), "sitemap-pages")
-    listed = cap_per_site(scoped.withColumnRenamed("loc", "url"), cap, SITE, "pos")
+    listed = cap_per_site(scoped.withColumnRenamed("loc", "url"), cap, SITE, "parent", "pos")
     # At most ``cap`` rows per site are left to number.
-    first = first_k(listed, SITE, [F.col("pos")], cap, "_n").withColumn("pos", (F.col("_n") - 1).cast("bigint"))
+    first = first_k(listed, SITE, [F.col("parent"), F.col("pos")], cap, "_n").withColumn("pos", (F.col("_n") - 1).cast("bigint"))
     from_sitemap = first.select(*SITE, "pos", "url", F.lit("sitemap").alias("source"), "capped")
     others = sites.join(scoped.select(*SITE).distinct(), SITE, "left_anti")
     walked = bfs(links, others, max_pages=cap).select(*SITE, "pos", "url", F.lit("bfs").alias("source"), F.lit(False).alias("capped"))

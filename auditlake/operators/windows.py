@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 16
+# Spark's default bound of the window group limit, and the parts of a group beyond it.
+GROUP_LIMIT, PARTS = 1000, 64
 
 
 def ordinal_within(
     df: DataFrame, keys: list[str], order: str, out: str, block: Column | None = None, block_size: int = BLOCK
 ) -> DataFrame:
-    """Number the rows of each group from 0 by the unique whole number ``order``.
+    """Number the rows of each group from 0 by the unique ``order``: a whole number, or any column if ``block`` is given.
 
     A plain ``row_number`` sorts a whole group in one task. Here a group is cut into blocks of the
     order value: rows are numbered inside their block, and the running count of the blocks before
@@ -32,24 +34,29 @@ def ordinal_within(
 def first_k(df: DataFrame, keys: list[str], order: list[Column], k: int, out: str = "rank") -> DataFrame:
     """First ``k`` rows of each group, ranked from 1.
 
-    Spark limits each group before the shuffle (window group limit), so a hot group sends at most
-    ``k`` rows per task.
+    Spark limits each group before the shuffle (window group limit) while ``k`` is small, so a hot
+    group sends at most ``k`` rows per task. Above that limit the group is cut by hash first, and the
+    first ``k`` of each part meet.
     """
+    if k > GROUP_LIMIT:
+        df = df.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(PARTS)))
+        inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
+        df = df.withColumn("_at", inside).where(F.col("_at") <= k).drop("_at", "_part")
     ranked = df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.where(F.col(out) <= k)
 
 
-def first_seen(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """One row per key: the one with the smallest ``order``."""
+def first_seen(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """One row per key: the one with the smallest ``order`` columns."""
     rest = [c for c in df.columns if c not in keys]
-    kept = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_row"))
+    kept = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
     return kept.select(*keys, "_row.*").select(*df.columns)
 
 
-def cap_per_site(df: DataFrame, cap: int, keys: list[str], order: str) -> DataFrame:
+def cap_per_site(df: DataFrame, cap: int, keys: list[str], *order: str) -> DataFrame:
     """First ``cap`` rows per site plus whether there were more."""
     sizes = df.groupBy(*keys).agg((F.count(F.lit(1)) > cap).alias("capped"))
-    return first_k(df, keys, [F.col(order)], cap, "_rank").drop("_rank").join(sizes, keys)
+    return first_k(df, keys, [F.col(c) for c in order], cap, "_rank").drop("_rank").join(sizes, keys)
 
 
 def even_sample_index(n: Column, k: int = 8) -> Column:

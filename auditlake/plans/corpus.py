@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from auditlake.functions import html as H
 from auditlake.functions import urls as U
 from auditlake.operators.windows import ordinal_within
-from auditlake.session import spread
 
 RUN_ID = "run-1"
 
@@ -109,7 +108,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def crawled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page source as stored, with site and variants; ``page_id`` orders the pages of a site."""
     return (
-        spread(read_table(spark, sf_dir, "pages"))
+        read_table(spark, sf_dir, "pages")
         .withColumn("html", H.normalize_newlines(F.col("html")))
         .withColumn("base_html", F.expr(BASE_HTML))
         .select(
@@ -309,17 +308,17 @@ SITEMAP_ENTRY = """'<url><loc> https://' || site_id || '/n/' || CAST(page_index
 
 
 def sitemap_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sitemap files of the sites, a few pages to each file so that none grows with the site."""
+    """Sitemap files of the sites: one with all pages, or an index over files of a few pages."""
     pages = site_pages(spark, sf_dir).join(sites(spark, sf_dir).select("site_id", "h"), "site_id")
-    chunk = pages.withColumn("chunk", F.floor(F.col("page_index") / 20)).withColumn("entry", F.expr(SITEMAP_ENTRY))
+    chunk = pages.withColumn("chunk", F.when(F.col("h") % 2 == 1, F.floor(F.col("page_index") / 20)).otherwise(0)).withColumn("entry", F.expr(SITEMAP_ENTRY))
     files = chunk.where("h % 2 = 1 OR h % 4 = 0").groupBy("site_id", "h", "chunk").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_index", "entry"))), lambda e: e["entry"]), "\n").alias("entries")
     )
     extra = F.expr("'<url><loc>https://' || site_id || '/n/0</loc></url><url><loc>https://elsewhere.example.com/x</loc></url><url><loc></loc></url>'")
     body = F.concat(F.lit('<?xml version="1.0"?><urlset><!-- <url><loc>https://no.example.com/</loc></url> -->'), "entries", extra, F.lit("</urlset>"))
-    # A flat sitemap is its first file; an index names every file and one index too many.
+    # An index names every file and one index too many.
     own = F.concat(F.lit("https://"), "site_id", F.when(F.col("h") % 2 == 1, F.concat(F.lit("/sitemap-"), F.col("chunk").cast("string"), F.lit(".xml"))).otherwise(F.lit("/sitemap.xml")))
-    flat = files.where("h % 2 = 1 OR chunk = 0").select("site_id", own.alias("sitemap_url"), body.alias("body"))
+    flat = files.select("site_id", own.alias("sitemap_url"), body.alias("body"))
     counts = files.where("h % 2 = 1").groupBy("site_id").agg(F.max("chunk").alias("last"))
     names = F.transform(
         F.sequence(F.lit(0).cast("bigint"), F.col("last")),

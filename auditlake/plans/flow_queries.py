@@ -34,7 +34,7 @@ def expanded(spark, sf):
 
 @query("j3_sitemap_index")
 def j3(spark, sf):
-    return expanded(spark, sf).select("site_id", "loc", "pos")
+    return expanded(spark, sf).select("site_id", "loc", "parent", "pos")
 
 
 @query("j2_sitemap_scope")
@@ -60,7 +60,7 @@ def b1_crawl(spark, sf):
     # The home page of a site links to its pages; these link on as crawled.
     crawled = D.page_links(crawl(spark, sf)).drop("href")
     home = seeds.join(sites.select("site_id", "seed_url"), "site_id").select(
-        "run_id", "site_id", F.col("seed_url").alias("src_url"), F.col("page_id").cast("int").alias("link_idx"), U.normalize_url(F.col("url")).alias("abs_url")
+        "run_id", "site_id", F.col("seed_url").alias("src_url"), F.col("page_id").alias("link_idx"), U.normalize_url(F.col("url")).alias("abs_url")
     )
     return D.bfs(crawled.unionByName(home), sites).select("site_id", "url", big("depth"))
 

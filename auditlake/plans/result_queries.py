@@ -302,8 +302,8 @@ def g15(spark, sf):
 
 @query("w2_first_seen")
 def w2(spark, sf):
-    links = raw_links(spark, sf).select("site_id", "href", (F.col("page_index") * 100_000 + F.col("link_idx")).alias("pos"), "page_index")
-    return W.first_seen(links, ["site_id", "href"], "pos").select("site_id", "href", "pos", "page_index")
+    links = raw_links(spark, sf).select("site_id", "href", big("page_index"), big("link_idx"))
+    return W.first_seen(links, ["site_id", "href"], "page_index", "link_idx")
 
 
 @query("w3_cap_per_site")

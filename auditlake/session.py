@@ -60,14 +60,3 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of an input that has fewer splits than there are cores.
-
-    Page texts are costly to read through, so one small file in one split would leave a cluster
-    idle. An input with enough splits, as any large one has, is left alone and not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = len(df.inputFiles()) if df.sparkSession.sparkContext.master.startswith("local") else cores
-    return df.repartition(cores) if splits < cores else df
