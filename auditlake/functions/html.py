@@ -1,8 +1,8 @@
 """HTML column functions: every page is read by JVM regular expressions, never row by row in Python.
 
 All patterns stay within what RE2 can do (no lookaround, no back references), and avoid open-ended
-scans that restart at every tag: tags are ``<[^<>]*>`` and raw-text elements that are never closed
-run to the end of the page, as they do in a browser.
+scans that restart at every tag: an element that is never closed runs to the end of the page, as it
+does in a browser. A tag's name ends at white space, ``/`` or ``>``, so ``<svg-icon>`` is no ``svg``.
 """
 
 from __future__ import annotations
@@ -10,10 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from auditlake.functions.text import WS, WS_SAME_LINE, blank_to_null, collapse_ws, js_trim, let, utf16_len
+from auditlake.functions.text import WS, WS_SAME_LINE, blank_to_null, collapse_ws, js_trim, let, utf16_len, utf16_prefix
 
 COMMENT = r"(?s)<!--.*?(?:-->|\z)"
 ATTR_VALUE = r"""("[^"]*"|'[^']*'|[^\s"'<>]+)"""
+# The rest of a tag whose quoted values may hold angle brackets.
+QUOTED = r"""[^<>"']*(?:(?:"[^"]*"|'[^']*')[^<>"']*)*"""
+# Any tag: with quoted values first, else up to the next angle bracket.
+ANY_TAG = rf"</?[a-zA-Z]{QUOTED}>|<[^<>]*>"
 
 # Named character references that are decoded, the ampersand last.
 ENTITIES = [
@@ -32,7 +36,7 @@ def normalize_newlines(s: Column) -> Column:
 
 def element(tag: str) -> str:
     """Pattern of an element with its content; an unclosed one runs to the end."""
-    return rf"(?is)<{tag}\b[^<>]*>.*?(?:</{tag}\s*>|\z)"
+    return rf"(?is)<{tag}(?:[\s/][^<>]*)?>.*?(?:</{tag}\s*>|\z)"
 
 
 def strip_comments(html: Column) -> Column:
@@ -44,7 +48,7 @@ def strip_elements(html: Column, *tags: str, comments: bool = False) -> Column:
 
     Whatever starts first wins, so a script inside a comment or the other way round is no matter.
     """
-    kinds = [rf"<{tag}\b[^<>]*>.*?(?:</{tag}\s*>|\z)" for tag in tags]
+    kinds = [rf"<{tag}(?:[\s/][^<>]*)?>.*?(?:</{tag}\s*>|\z)" for tag in tags]
     if comments:
         kinds.insert(0, r"<!--.*?(?:-->|\z)")
     return F.regexp_replace(html, "(?is)" + "|".join(kinds), "")
@@ -69,7 +73,7 @@ def decode_entities(s: Column) -> Column:
 
 
 def strip_tags(s: Column, by: str = "") -> Column:
-    return F.regexp_replace(s, r"<[^<>]*>", by)
+    return F.regexp_replace(s, ANY_TAG, by)
 
 
 def body_of(html: Column) -> Column:
@@ -77,7 +81,7 @@ def body_of(html: Column) -> Column:
     return let(
         html,
         lambda h: F.when(
-            h.rlike(r"(?i)<body\b"), F.regexp_extract(h, r"(?is)<body\b[^<>]*>(.*?)(?:</body\s*>|\z)", 1)
+            h.rlike(r"(?i)<body[\s/>]"), F.regexp_extract(h, r"(?is)<body(?:[\s/][^<>]*)?>(.*?)(?:</body\s*>|\z)", 1)
         ).otherwise(strip_elements(h, "head")),
     )
 
@@ -95,7 +99,7 @@ def attr(tag: Column, name: str) -> Column:
 
 
 def tags_of(html: Column, tag: str) -> Column:
-    return F.regexp_extract_all(html, F.lit(rf"(?i)<{tag}\b[^<>]*>"), F.lit(0))
+    return F.regexp_extract_all(html, F.lit(rf"(?i)<{tag}(?:[\s/]{QUOTED})?>|<{tag}(?:[\s/][^<>]*)?>"), F.lit(0))
 
 
 def count_matches(s: Column, pattern: str) -> Column:
@@ -104,7 +108,7 @@ def count_matches(s: Column, pattern: str) -> Column:
 
 # ---------------------------------------------------------------- HTML to markdown
 
-PRE_TAG = r"(?i)</?pre\b[^<>]*>"
+PRE_TAG = r"(?i)</?pre(?:[\s/][^<>]*)?>"
 # Private-use characters stand for structure until literal text has been escaped.
 HEAD, TICK, ANCHOR = "\uE001", "\uE002", "\uE003"
 # Elements that start a new block.
@@ -116,27 +120,31 @@ BLOCK_TAGS = (
 # (pattern, replacement) in order; \1 and \2 are groups.
 TEXT_RULES = [
     (r"[\t\r\n\f][ \t\r\n\f]*| [ \t\r\n\f]+", " "),
-    (r"(?i)<h([1-6])\b[^<>]*>", f"\n\n{HEAD}\\1 "),
-    (r"(?i)<li\b[^<>]*>", "\n-   "),
-    (r"(?i)<br\b[^<>]*>", "  \n"),
-    (r"(?i)<hr\b[^<>]*>", "\n\n* * *\n\n"),
-    (r"(?i)<blockquote\b[^<>]*>", "\n\n> "),
-    (rf"(?i)</?(?:{BLOCK_TAGS.replace(' ', '|')})\b[^<>]*>|</h[1-6]\s*>", "\n\n"),
-    (r"(?i)(<a\b)", rf"{ANCHOR}\1"),
+    (r"(?i)<h([1-6])(?:[\s/][^<>]*)?>", f"\n\n{HEAD}\\1 "),
+    (r"(?i)<li(?:[\s/][^<>]*)?>", "\n-   "),
+    (r"(?i)<br(?:[\s/][^<>]*)?>", "  \n"),
+    (r"(?i)<hr(?:[\s/][^<>]*)?>", "\n\n* * *\n\n"),
+    (r"(?i)<blockquote(?:[\s/][^<>]*)?>", "\n\n> "),
+    (rf"(?i)</?(?:{BLOCK_TAGS.replace(' ', '|')})(?:[\s/][^<>]*)?>|</h[1-6]\s*>", "\n\n"),
+    (r"(?i)(<a[\s/>])", rf"{ANCHOR}\1"),
     (
-        rf"""(?i){ANCHOR}<a\b[^<>]*?\shref\s*=\s*["']?([^"'<>\s]+)[^<>]*>([^{ANCHOR}]*?)</a\s*>""",
+        rf"""(?i){ANCHOR}<a(?:[\s/]{QUOTED})?\shref\s*=\s*["']?([^"'<>\s]+)["']?(?:\s{QUOTED})?>([^{ANCHOR}]*?)</a\s*>""",
         r"[\2](\1)",
     ),
-    (r"(?i)</?(?:b|strong)\b[^<>]*>", "**"),
-    (r"(?i)</?(?:i|em)\b[^<>]*>", "_"),
-    (r"(?i)</?code\b[^<>]*>", TICK),
+    (
+        rf"""(?i){ANCHOR}<a(?:[\s/][^<>]*?)?\shref\s*=\s*["']?([^"'<>\s]+)[^<>]*>([^{ANCHOR}]*?)</a\s*>""",
+        r"[\2](\1)",
+    ),
+    (r"(?i)</?(?:b|strong)(?:[\s/][^<>]*)?>", "**"),
+    (r"(?i)</?(?:i|em)(?:[\s/][^<>]*)?>", "_"),
+    (r"(?i)</?code(?:[\s/][^<>]*)?>", TICK),
 ]
 IMAGE_RULES = [
-    (r'(?i)<img\b[^<>]*?\salt\s*=\s*"([^"<>]*)"[^<>]*?\ssrc\s*=\s*"([^"<>]+)"[^<>]*>', r"![\1](\2)"),
-    (r'(?i)<img\b[^<>]*?\ssrc\s*=\s*"([^"<>]+)"[^<>]*?\salt\s*=\s*"([^"<>]*)"[^<>]*>', r"![\2](\1)"),
-    (r"""(?i)<img\b[^<>]*?\ssrc\s*=\s*["']?([^"'<>\s]+)[^<>]*>""", r"![](\1)"),
+    (r'(?i)<img(?:[\s/][^<>]*?)?\salt\s*=\s*"([^"<>]*)"[^<>]*?\ssrc\s*=\s*"([^"<>]+)"[^<>]*>', r"![\1](\2)"),
+    (r'(?i)<img(?:[\s/][^<>]*?)?\ssrc\s*=\s*"([^"<>]+)"[^<>]*?\salt\s*=\s*"([^"<>]*)"[^<>]*>', r"![\2](\1)"),
+    (r"""(?i)<img(?:[\s/][^<>]*?)?\ssrc\s*=\s*["']?([^"'<>\s]+)[^<>]*>""", r"![](\1)"),
 ]
-TAG_RULES = [(rf"<[^<>]*>|{ANCHOR}", "")]
+TAG_RULES = [(rf"{ANY_TAG}|{ANCHOR}", "")]
 # Applied once entities are decoded: literal marks must not turn into structure.
 ESCAPE_RULES = [
     (r"(^|\n) *(#{1,6} )", r"\1\\\2"),
@@ -203,13 +211,13 @@ def content_body(html: Column) -> Column:
     return let(
         strip_elements(html, "script", "style", "noscript", "nav", "header", "footer", comments=True),
         lambda kept: F.when(
-            kept.rlike(r"(?i)<(?:main|article)\b"),
-            F.regexp_extract(kept, r"(?is)<(?:main|article)\b[^<>]*>(.*?)(?:</(?:main|article)\s*>|\z)", 1),
+            kept.rlike(r"(?i)<(?:main|article)[\s/>]"),
+            F.regexp_extract(kept, r"(?is)<(?:main|article)(?:[\s/][^<>]*)?>(.*?)(?:</(?:main|article)\s*>|\z)", 1),
         )
         .when(
             kept.rlike(r"""(?i)\srole\s*=\s*["']?main\b"""),
             F.regexp_extract(
-                kept, r"""(?is)<[a-z0-9]+\b[^<>]*\srole\s*=\s*["']?main\b["']?[^<>]*>(.*?)(?:</(?:div|section)\s*>|\z)""", 1
+                kept, r"""(?is)<[a-z0-9]+(?:[\s/][^<>]*)?\srole\s*=\s*["']?main\b["']?[^<>]*>(.*?)(?:</(?:div|section)\s*>|\z)""", 1
             ),
         )
         .otherwise(body_of(kept)),
@@ -239,7 +247,7 @@ def _meta_map(metas: Column, key_attr: str, prefix: str) -> Column:
 
 
 def first_text(html: Column, tag: str) -> Column:
-    inner = F.regexp_extract(html, rf"(?is)<{tag}\b[^<>]*>(.*?)</{tag}\s*>", 1)
+    inner = F.regexp_extract(html, rf"(?is)<{tag}(?:[\s/][^<>]*)?>(.*?)(?:</{tag}\s*>|\z)", 1)
     return let(js_trim(decode_entities(strip_tags(inner))), blank_to_null)
 
 
@@ -249,7 +257,7 @@ def first_meta(metas: Column, key_attr: str, name: str) -> Column:
     return let(hit, lambda m: F.when(m.rlike(r"(?i)\scontent\s*="), js_trim(attr(m, "content"))))
 
 
-JSON_LD = r"""(?is)<script\b[^<>]*\stype\s*=\s*["']?application/ld\+json["']?[^<>]*>(.*?)</script\s*>"""
+JSON_LD = r"""(?is)<script(?:[\s/][^<>]*)?\stype\s*=\s*["']?application/ld\+json["']?[^<>]*>(.*?)(?:</script\s*>|\z)"""
 
 
 def snippet(html: Column, legacy: bool = False, json_ok=None) -> Column:
@@ -272,7 +280,7 @@ def snippet(html: Column, legacy: bool = False, json_ok=None) -> Column:
                 _meta_map(metas, "property", "og:").alias("og"),
                 _meta_map(metas, "name", "twitter:").alias("twitter"),
                 first_text(strip_elements(page, "script", "style"), "h1").alias("first_h1"),
-                F.substring(visible_text(page), 1, 200).alias("preview"),
+                utf16_prefix(visible_text(page), 200).alias("preview"),
                 json_ld.alias("json_ld"),
             )
 
@@ -307,7 +315,7 @@ def snippet_markdown(s: Column) -> Column:
     return F.array_join(head, "\n")
 
 
-HREF = rf"(?i)<a\b[^<>]*?\shref\s*=\s*{ATTR_VALUE}"
+HREF = rf"(?i)<a(?:[\s/](?:{QUOTED}|[^<>]*?))?\shref\s*=\s*{ATTR_VALUE}"
 
 
 def hrefs(html: Column) -> Column:
@@ -326,7 +334,7 @@ def markdown_heading_levels(md: Column) -> Column:
 def html_heading_levels(html: Column) -> Column:
     kept = strip_elements(html, "script", "style", "noscript", "nav", "header", "footer", comments=True)
     return F.transform(
-        F.regexp_extract_all(kept, F.lit(r"(?i)<h([1-6])\b[^<>]*>"), F.lit(1)), lambda d: d.cast("int")
+        F.regexp_extract_all(kept, F.lit(r"(?i)<h([1-6])(?:[\s/][^<>]*)?>"), F.lit(1)), lambda d: d.cast("int")
     )
 
 
@@ -372,12 +380,12 @@ def tab_markers(html: Column) -> Column:
 
 
 def head_of(html: Column) -> Column:
-    return F.regexp_extract(html, r"(?is)<head\b[^<>]*>(.*?)(?:</head\s*>|<body\b|\z)", 1)
+    return F.regexp_extract(html, r"(?is)<head(?:[\s/][^<>]*)?>(.*?)(?:</head\s*>|<body\b|\z)", 1)
 
 
 def redirect_markers(body: Column) -> Column:
     """Meta refresh and script redirects in a page body."""
-    meta = body.rlike(r"""(?i)<meta[^>]+http-equiv\s*=\s*["']?refresh["']?[^>]*>""")
+    meta = body.rlike(r"""(?i)<meta[^<>]+http-equiv\s*=\s*["']?refresh["']?[^<>]*>""")
     script = body.rlike(
         r"""(?i)\b(?:window\.)?location\s*(?:\.href|\.replace|\.assign)?\s*=\s*['"]https?://"""
     ) | body.rlike(r"""(?i)\blocation\.replace\s*\(\s*['"]https?://""")
@@ -387,8 +395,8 @@ def redirect_markers(body: Column) -> Column:
 def login_markers(html: Column) -> Column:
     page = strip_comments(html)
     return F.struct(
-        page.rlike(r"""(?i)<input\b[^<>]*\stype\s*=\s*["']?password\b""").alias("password_field"),
-        F.lower(F.regexp_extract(page, r"(?is)<title\b[^<>]*>(.*?)</title\s*>", 1))
+        page.rlike(r"""(?i)<input(?:[\s/][^<>]*)?\stype\s*=\s*["']?password\b""").alias("password_field"),
+        F.lower(F.regexp_extract(page, r"(?is)<title(?:[\s/][^<>]*)?>(.*?)(?:</title\s*>|\z)", 1))
         .rlike(r"sign[- ]?in|log[- ]?in|login")
         .alias("signin_title"),
     )
@@ -412,7 +420,7 @@ def rendering_signals(html: Column) -> Column:
     """App-shell framework, counts of substantive elements and length of the body text."""
 
     def read(kept: Column) -> Column:
-        pieces = F.split(kept, r"(?i)<p\b[^<>]*>")
+        pieces = F.split(kept, r"(?i)<p(?:[\s/][^<>]*)?>")
         after_open = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
         texts = F.transform(
             after_open, lambda p: js_trim(decode_entities(strip_tags(F.regexp_replace(p, r"(?is)</p\s*>.*", ""))))
@@ -425,9 +433,9 @@ def rendering_signals(html: Column) -> Column:
         )
         return F.struct(
             framework.alias("framework"),
-            count_matches(kept, r"(?i)<h[1-3]\b[^<>]*>").alias("headings"),
+            count_matches(kept, r"(?i)<h[1-3](?:[\s/][^<>]*)?>").alias("headings"),
             F.size(F.filter(texts, lambda t: utf16_len(t) > 40)).cast("bigint").alias("paragraphs"),
-            count_matches(kept, r"(?i)<(?:pre|code)\b[^<>]*>").alias("code_blocks"),
+            count_matches(kept, r"(?i)<(?:pre|code)(?:[\s/][^<>]*)?>").alias("code_blocks"),
             utf16_len(collapse_ws(decode_entities(strip_tags(body_of(kept))))).alias("text_chars"),
         )
 
@@ -446,9 +454,9 @@ def tab_panels(html: Column) -> Column:
     """Number of tab panels and the characters of their text."""
     page = strip_elements(html, "script", "style", comments=True)
     patterns = [
-        rf"(?is)<(?:div|section|li|article)\b[^<>]*?{mark}>(.*?)(?:</(?:div|section|li|article)\s*>|\z)" for mark in TAB_PANELS
+        rf"(?is)<(?:div|section|li|article)(?:[\s/][^<>]*?)?{mark}>(.*?)(?:</(?:div|section|li|article)\s*>|\z)" for mark in TAB_PANELS
     ]
-    patterns.append(r"(?is)<(?:mdx-tab-panel|tab-panel)\b[^<>]*>(.*?)(?:</(?:mdx-tab-panel|tab-panel)\s*>|\z)")
+    patterns.append(r"(?is)<(?:mdx-tab-panel|tab-panel)(?:[\s/][^<>]*)?>(.*?)(?:</(?:mdx-tab-panel|tab-panel)\s*>|\z)")
     bodies = F.concat(*[F.regexp_extract_all(page, F.lit(p), F.lit(1)) for p in patterns])
     chars = F.aggregate(
         bodies,
@@ -470,8 +478,8 @@ def content_budget(html: Column) -> Column:
         return F.aggregate(values, F.lit(0).cast("bigint"), lambda total, v: total + size(v) - 2)
 
     def content(page: Column) -> Column:
-        main = F.regexp_extract(page, r"(?is)<(?:main|article)\b[^<>]*>(.*?)(?:</(?:main|article)\s*>|\z)", 1)
-        return F.when(page.rlike(r"(?i)<(?:main|article)\b"), main).otherwise(body_of(page))
+        main = F.regexp_extract(page, r"(?is)<(?:main|article)(?:[\s/][^<>]*)?>(.*?)(?:</(?:main|article)\s*>|\z)", 1)
+        return F.when(page.rlike(r"(?i)<(?:main|article)[\s/>]"), main).otherwise(body_of(page))
 
     # Each step removes one kind; ``let`` keeps every intermediate text for the next two uses.
     return let(strip_comments(html), lambda page: let(strip_elements(page, "script"), lambda no_script: let(

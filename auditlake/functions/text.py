@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -14,6 +14,8 @@ from pyspark.sql.types import BooleanType
 # ASCII only, so the class is spelled out.
 WS_INLINE = r" \t\x0B\f\r\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 WS = rf"[{WS_INLINE}\n]"
+# The same characters, spelled out.
+WS_CHARS = " \t\n\x0b\x0c\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 WS_SAME_LINE = rf"[{WS_INLINE}]"
 WS_BUT_SPACE = rf"[{WS_INLINE[1:]}\n]"
 
@@ -32,6 +34,21 @@ def utf16_len(s: Column) -> Column:
     return F.floor(F.length(F.encode(s, "UTF-16BE")) / 2).cast("bigint")
 
 
+def utf16_prefix(s: Column, units: int) -> Column:
+    """The start of a text in at most ``units`` UTF-16 code units; a pair that would be cut is left out."""
+
+    def cut(t: Column) -> Column:
+        size = F.transform(F.split(t, ""), lambda c: F.when(c.rlike(r"[\x{10000}-\x{10FFFF}]"), 2).otherwise(1))
+        at = F.aggregate(
+            size,
+            F.struct(F.lit(0).alias("units"), F.lit(0).alias("chars")),
+            lambda done, n: F.struct((done["units"] + n).alias("units"), (done["chars"] + (done["units"] + n <= units).cast("int")).alias("chars")),
+        )
+        return F.substring(t, F.lit(1), at["chars"])
+
+    return let(F.substring(s, 1, units), lambda t: F.when(utf16_len(t) <= units, t).otherwise(cut(t)))
+
+
 def byte_len(s: Column) -> Column:
     return F.octet_length(s).cast("bigint")
 
@@ -51,7 +68,7 @@ def collapse_ws(s: Column) -> Column:
 
 
 def js_trim(s: Column) -> Column:
-    return F.regexp_replace(s, rf"^{WS}+|{WS}+\z", "")
+    return F.btrim(s, F.lit(WS_CHARS))
 
 
 def blank_to_null(s: Column) -> Column:
@@ -129,7 +146,10 @@ def is_valid_json(s: Column) -> Column:
 
     A lone ``try_parse_json`` stops after the first value and so accepts trailing text. Text that
     closes an enclosing array early breaks the object form and the other way round, hence both.
+    Repeated keys count as valid, as they do for a script engine: a setting of the session.
     """
+    if (spark := SparkSession.getActiveSession()) is not None:
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     in_array = F.try_parse_json(F.concat(F.lit("["), s, F.lit("]")))
     in_object = F.try_parse_json(F.concat(F.lit('{"v":'), s, F.lit("}")))
     return F.coalesce(in_array.isNotNull() & in_object.isNotNull(), F.lit(False))
@@ -151,7 +171,7 @@ def _strict(text: str | None) -> bool | None:
 
 @F.pandas_udf(BooleanType())
 def is_valid_json_exact(s: pd.Series) -> pd.Series:
-    """Arrow-batched form that also accepts objects with repeated keys."""
+    """Arrow-batched form that reads with Python's parser."""
     return s.map(_strict)
 
 
@@ -165,5 +185,5 @@ def summarize_error(message: Column, fallback: str = "render failed") -> Column:
         F.transform(F.split(message, "\n"), js_trim),
         lambda line: (line != "") & ~line.rlike(r"^\[[0-9]{4}/[0-9]{6}\.[0-9]+:[A-Z]+:"),
     )
-    text = F.substring(F.coalesce(F.get(lines, F.lit(0)), message), 1, 200)
+    text = utf16_prefix(F.coalesce(F.get(lines, F.lit(0)), message), 200)
     return F.coalesce(blank_to_null(text), F.lit(fallback))

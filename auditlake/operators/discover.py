@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions import html as H
@@ -18,6 +18,13 @@ SITE = ["run_id", "site_id"]
 PARENTS = 4096
 
 
+def _entries(tag: str) -> Column:
+    """Contents of the closed elements: cut at the opening tags, so that each part is read once."""
+    parts = F.split("_xml", rf"<{tag}(?:\s[^<>]*)?>")
+    closed = F.filter(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: p.rlike(rf"</{tag}\s*>"))
+    return F.transform(closed, lambda p: F.get(F.split(p, rf"</{tag}\s*>", 2), F.lit(0)))
+
+
 def sitemap_locs(bodies: DataFrame) -> DataFrame:
     """Locations of each sitemap body: ``(sitemap_url, is_index, pos, loc)``.
 
@@ -26,9 +33,7 @@ def sitemap_locs(bodies: DataFrame) -> DataFrame:
     """
     xml = F.regexp_replace("body", H.COMMENT, "")
     is_index = F.col("_xml").rlike(r"<sitemapindex\b")
-    entries = F.when(is_index, F.regexp_extract_all("_xml", F.lit(r"(?s)<sitemap\b[^>]*>(.*?)</sitemap\s*>"), F.lit(1))).when(
-        F.col("_xml").rlike(r"<urlset\b"), F.regexp_extract_all("_xml", F.lit(r"(?s)<url\b[^>]*>(.*?)</url\s*>"), F.lit(1))
-    )
+    entries = F.when(is_index, _entries("sitemap")).when(F.col("_xml").rlike(r"<urlset\b"), _entries("url"))
     one_loc = F.filter(entries, lambda e: F.regexp_count(e, F.lit(r"<loc\b")) == 1)
     found = F.transform(
         one_loc,

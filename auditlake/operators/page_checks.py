@@ -343,18 +343,19 @@ def _broken_counts(links: DataFrame, statuses: DataFrame) -> DataFrame:
 def link_integrity(features: DataFrame, statuses: DataFrame, sample: int | None = LINK_SAMPLE) -> DataFrame:
     """Check rows of the internal-link check for every page."""
     counts = _broken_counts(sampled_links(features, sample), statuses)
-    page = features.select(*KEYS, "has_html", F.size(F.coalesce("links", F.array().cast("array<string>"))).alias("n_links"))
+    page = features.select(*KEYS, "has_html", U.origin_of(F.col("url")).isNotNull().alias("parses"), F.size(F.coalesce("links", F.array().cast("array<string>"))).alias("n_links"))
     joined = page.join(counts, KEYS, "left")
     broken, sampled = F.coalesce("broken", F.lit(0)), F.col("sampled")
     share = pct(broken, sampled)
     severity = (
-        F.when(~F.col("has_html"), F.lit("info"))
+        F.when(~F.col("has_html") | ~F.col("parses"), F.lit("info"))
         .when(broken == 0, F.lit("pass"))
         .when(share <= 25, F.lit("warn"))
         .otherwise(F.lit("fail"))
     )
     said = (
         F.when(~F.col("has_html"), F.lit("skipped, no HTML"))
+        .when(~F.col("parses"), F.lit("skipped, the page's URL does not parse"))
         .when(F.col("n_links") == 0, F.lit("no internal links"))
         .otherwise(text(broken, "/", sampled, " looked-up links broken"))
     )

@@ -156,7 +156,7 @@ def response_facts(responses: DataFrame) -> DataFrame:
         trimmed.startswith("<").alias("starts_tag"),
         (trimmed.startswith("<!") | trimmed.startswith("<html")).alias("starts_html"),
         H.redirect_markers(body).alias("redirect"),
-        body.rlike(r"""(?i)<link[^>]+rel\s*=\s*["'][^"']*llms[._-]?txt[^"']*["'][^>]*>""").alias("llms_tag"),
+        body.rlike(r"""(?i)<link[^<>]+rel\s*=\s*["'][^"'<>]*llms[._-]?txt[^"'<>]*["'][^<>]*>""").alias("llms_tag"),
         on("llms", llms_shape(body)).alias("llms"),
         on("robots", body.rlike(r"(?i)Sitemap\s*:")).alias("robots_sitemap"),
         on("robots", body.rlike(r"(?i)Content-Signal\s*:")).alias("robots_signal"),

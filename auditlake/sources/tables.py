@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from auditlake import schemas
 from auditlake.dims import PROFILES
 from auditlake.functions.html import normalize_newlines
+from auditlake.session import stage
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -106,17 +107,32 @@ def run_bucket(run_id: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(run_id), F.lit(buckets)).cast("int")
 
 
+def _has_files(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def write_runs(runs: DataFrame, tables: dict[str, DataFrame], path: str, buckets: int = 16) -> None:
-    """Store finished runs as tables; runs still going on are left out.
+    """Add finished runs to stored tables; runs still going on are left out.
+
+    A run that is stored already is replaced, all others stay as they are: only folders that
+    receive a run are written anew, with the other runs they hold.
 
     One folder per run would leave a lake of tiny files, so runs share a fixed number of folders
     and are sorted within a file, which lets a reader of one run skip the rest. Rebalancing gathers
     a folder's rows into few files and splits the rows of a large run over several.
     """
-    done = runs.where(F.col("status") != "running")
+    done = stage(runs.where(F.col("status") != "running"), "finished-runs")
+    ids = done.select("run_id").distinct()
+    touched = [r["b"] for r in ids.select(run_bucket(F.col("run_id"), buckets).alias("b")).distinct().collect()]
     for name, df in {"runs": done, **{n: finished(t, runs) for n, t in tables.items()}}.items():
-        placed = df.withColumn("run_bucket", run_bucket(F.col("run_id"), buckets)).hint("rebalance", F.col("run_bucket"))
-        placed.sortWithinPartitions("run_bucket", "run_id").write.mode("overwrite").partitionBy("run_bucket").parquet(f"{path}/{name}")
+        placed = df.withColumn("run_bucket", run_bucket(F.col("run_id"), buckets))
+        if _has_files(placed.sparkSession, f"{path}/{name}"):
+            # At most ``buckets`` folder numbers; what they hold of other runs is read before it is replaced.
+            held = placed.sparkSession.read.parquet(f"{path}/{name}").where(F.col("run_bucket").isin(touched)).join(ids, "run_id", "left_anti")
+            placed = stage(placed.unionByName(held, allowMissingColumns=True), "stored-runs")
+        ordered = placed.hint("rebalance", F.col("run_bucket")).sortWithinPartitions("run_bucket", "run_id")
+        ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_bucket").parquet(f"{path}/{name}")
 
 
 def read_run_table(spark: SparkSession, path: str, name: str, run_id: str | None = None, buckets: int = 16) -> DataFrame:

@@ -7,7 +7,7 @@ result (conditions, thresholds, joins, order) is written out again in SQL.
 from __future__ import annotations
 
 from auditlake.functions import html as H
-from auditlake.functions.text import WS
+from auditlake.functions.text import WS, WS_CHARS
 from auditlake.plans import corpus as C
 
 
@@ -52,7 +52,7 @@ def collapse(expr: str) -> str:
 
 
 def js_trim(expr: str) -> str:
-    return rx(expr, rf"^{WS}+|{WS}+\z")
+    return f"trim({expr}, {q(WS_CHARS)})"
 
 
 def strip(expr: str, *tags: str) -> str:
@@ -66,7 +66,7 @@ def no_comments(expr: str) -> str:
 
 
 def untag(expr: str) -> str:
-    return rx(expr, "<[^<>]*>")
+    return rx(expr, H.ANY_TAG)
 
 
 def decode(expr: str) -> str:
@@ -76,8 +76,8 @@ def decode(expr: str) -> str:
 
 
 def body_of(expr: str) -> str:
-    inner = extract(expr, r"(?is)<body\b[^<>]*>(.*?)(?:</body\s*>|\z)")
-    return f"CASE WHEN {match(expr, '(?i)<body' + chr(92) + 'b')} THEN {inner} ELSE {strip(expr, 'head')} END"
+    inner = extract(expr, r"(?is)<body(?:[\s/][^<>]*)?>(.*?)(?:</body\s*>|\z)")
+    return f"CASE WHEN {match(expr, '(?i)<body[' + chr(92) + 's/>]')} THEN {inner} ELSE {strip(expr, 'head')} END"
 
 
 def visible(expr: str, *tags: str) -> str:
@@ -143,11 +143,11 @@ def meta_entries(pairs: str) -> str:
 
 
 def first_text(html: str, tag: str) -> str:
-    inner = extract(html, rf"(?is)<{tag}\b[^<>]*>(.*?)</{tag}\s*>")
+    inner = extract(html, rf"(?is)<{tag}(?:[\s/][^<>]*)?>(.*?)(?:</{tag}\s*>|\z)")
     return f"nullif({js_trim(decode(untag(inner)))}, '')"
 
 
-LD_JSON = r"""(?is)<script\b[^<>]*\stype\s*=\s*["']?application/ld\+json["']?[^<>]*>(.*?)</script\s*>"""
+LD_JSON = r"""(?is)<script(?:[\s/][^<>]*)?\stype\s*=\s*["']?application/ld\+json["']?[^<>]*>(.*?)(?:</script\s*>|\z)"""
 
 PROFILES = f"""{PAGES},
 parsed AS (
@@ -156,7 +156,7 @@ parsed AS (
         fetch_error IS NULL AND raw_status BETWEEN 200 AND 399 AS served
     FROM crawl
 ),
-tagged AS (SELECT *, {extract_all('clean', '(?i)<meta' + chr(92) + 'b[^<>]*>', 0)} AS metas FROM parsed),
+tagged AS (SELECT *, {extract_all('clean', rf"(?i)<meta(?:[{chr(92)}s/]{H.QUOTED})?>|<meta(?:[{chr(92)}s/][^<>]*)?>", 0)} AS metas FROM parsed),
 pieces AS (
     SELECT *,
         {first_text(strip('clean', 'svg'), 'title')} AS title,

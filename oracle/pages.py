@@ -151,7 +151,7 @@ S["x1_strip_elements"] = raw(f"md5({strip(no_comments('raw_html'), 'script', 'st
 S["x2_visible_text"] = raw(f"md5({visible('raw_html')}) AS text_md5, {utf16(visible('raw_html'))} AS chars")
 S["x3_html_to_markdown"] = with_pages(f"SELECT page_index, md5(md) AS md_md5, {utf16('md')} AS chars FROM (SELECT page_index, {markdown('rendered_html')} AS md FROM crawl)")
 S["x4_content_body"] = with_pages(f"""SELECT page_index, md5(CASE WHEN {match('kept', '(?i)<(main|article)' + BS + 'b')}
-        THEN {extract('kept', r'(?is)<(?:main|article)\b[^<>]*>(.*?)(?:</(?:main|article)\s*>|\z)')} ELSE {body_of('kept')} END) AS body_md5
+        THEN {extract('kept', r'(?is)<(?:main|article)(?:[\s/][^<>]*)?>(.*?)(?:</(?:main|article)\s*>|\z)')} ELSE {body_of('kept')} END) AS body_md5
     FROM (SELECT page_index, {QUIET} AS kept FROM crawl)""")
 SNIP = "SELECT * FROM snip"
 

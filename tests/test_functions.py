@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from auditlake.functions import html as H
 from auditlake.functions import text as T
 from auditlake.functions import urls as U
+from auditlake.operators import discover
 from auditlake.operators import windows as W
 
 
@@ -172,3 +174,62 @@ def test_cap_sanitising(spark):
 def test_json_fallback_accepts_repeated_keys(spark):
     assert column(spark, ['{"a":1,"a":2}'], T.is_valid_json_exact) == [True]
     assert json.loads('{"a":1,"a":2}') == {"a": 2}
+
+
+def test_tag_names_end_where_they_end(spark):
+    pages = ['<h1>T</h1><svg-icon name="x"></svg-icon><p>kept text</p>', "<nav-bar></nav-bar><p>kept</p>", "<svg>gone</svg><p>kept</p>"]
+    assert column(spark, pages, H.html_to_markdown) == ["# T\n\nkept text", "kept", "kept"]
+    assert column(spark, ["<header-menu></header-menu><h1>a</h1><header><h2>b</h2></header>"], H.html_heading_levels) == [[1]]
+    assert column(spark, ["<body-like></body-like><p>x</p>"], H.visible_text) == ["x"]
+
+
+def test_quoted_values_may_hold_angle_brackets(spark):
+    pages = ['<a title="x > y" href="/q">L</a>', "<a href='/a>b'>L</a>", '<a title=it\'s href="/r">L</a>', '<a-b href="/no">L</a-b>', '<a href="/s">L']
+    assert column(spark, pages, H.hrefs) == [["/q"], ["/a>b"], ["/r"], [], ["/s"]]
+    assert column(spark, ['<p><a title="x > y" href="/q">L</a> and <a class="k" href="/z" id="1">M</a></p>'], H.html_to_markdown) == ["[L](/q) and [M](/z)"]
+    counts = column(spark, ['<img alt="a > b" src="x"><img alt=" "><img src="y">'], H.image_counts)
+    assert [tuple(c) for c in counts] == [(3, 1)]
+    assert column(spark, ['<p title="1 > 0">5 < 6 isn\'t <b>bold</b> don\'t</p>'], H.visible_text) == ["5 < 6 isn't bold don't"]
+
+
+def test_repeated_keys_are_valid_json(spark):
+    assert column(spark, ['{"a":1,"a":2}', '{"a":1,"a":}'], T.is_valid_json) == [True, False]
+
+
+def test_prefix_by_utf16_units(spark):
+    texts = ["😀" * 300, "a" + "😀" * 300, "é" * 201, "short", ""]
+    assert column(spark, texts, lambda s: T.utf16_prefix(s, 200)) == ["😀" * 100, "a" + "😀" * 99, "é" * 200, "short", ""]
+    page = "<body>" + "😀" * 300 + "</body>"
+    assert len(column(spark, [page], lambda s: H.snippet(s)["preview"])[0].encode("utf-16-be")) == 400
+
+
+def test_trim_takes_all_white_space(spark):
+    assert column(spark, [" ﻿\n a b 　\t", " ", ""], T.js_trim) == ["a b", "", ""]
+
+
+BAD = {
+    "blanks": ("x" + " " * 200_000 + "y", T.js_trim),
+    "headings": ("<h1>" * 50_000, lambda s: H.first_text(s, "h1")),
+    "meta": ("<meta " * 33_000, lambda s: H.redirect_markers(s)["meta_refresh"]),
+    "titles": ("<title>" * 28_000, lambda s: H.login_markers(s)["signin_title"]),
+    "json": ('<script type="application/ld+json">' * 5_700, lambda s: F.size(H.snippet(s)["json_ld"])),
+    "quotes": ('<a title="' * 20_000, lambda s: F.size(H.hrefs(s))),
+    "tags": ("<p class='" * 20_000, H.strip_tags),
+}
+
+
+@pytest.mark.parametrize("name", BAD)
+def test_damaged_pages_take_linear_time(spark, name):
+    text, build = BAD[name]
+    column(spark, ["<h1>warm</h1>"], build)
+    start = time.perf_counter()
+    column(spark, [text], build)
+    assert time.perf_counter() - start < 6
+
+
+def test_damaged_sitemaps_take_linear_time(spark):
+    body = "<urlset>" + "<url>" * 40_000 + "<url><loc>https://a.example.com/x</loc></url>" + "<url><loc>"
+    df = spark.createDataFrame([("r", "s", "u", body)], "run_id string, site_id string, sitemap_url string, body string")
+    start = time.perf_counter()
+    assert [r["loc"] for r in discover.sitemap_locs(df).collect()] == ["https://a.example.com/x"]
+    assert time.perf_counter() - start < 6

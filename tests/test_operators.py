@@ -17,6 +17,7 @@ from auditlake.operators import rundiff as X
 from auditlake.operators import scoring as G
 from auditlake.operators import site_checks as S
 from auditlake.operators import strict_checks as L
+from auditlake.operators import windows as W
 from auditlake.plans import audit as A
 from auditlake import schemas
 from auditlake.session import STATE_STORE
@@ -290,6 +291,40 @@ def test_run_documents_round_trip(spark, tmp_path):
     assert IO.read_run_table(spark, str(tmp_path / "store"), "pages", run_id="run_1").count() == 2
 
 
+def test_run_store_adds_and_replaces(spark, tmp_path):
+    path = str(tmp_path / "store")
+
+    def run(run_id, status, n):
+        runs = spark.createDataFrame([(run_id, status)], "run_id string, status string")
+        return runs, {"pages": spark.createDataFrame([(run_id, i) for i in range(n)], "run_id string, page_index int")}
+
+    for run_id, status, n in (("a", "done", 2), ("b", "done", 3), ("c", "running", 4), ("a", "stopped", 1)):
+        IO.write_runs(*run(run_id, status, n), path, buckets=2)
+    assert sorted((r.run_id, r.status) for r in IO.read_run_table(spark, path, "runs").collect()) == [("a", "stopped"), ("b", "done")]
+    pages = IO.read_run_table(spark, path, "pages").groupBy("run_id").count().collect()
+    assert sorted((r.run_id, r["count"]) for r in pages) == [("a", 1), ("b", 3)]
+    assert IO.read_run_table(spark, path, "pages", run_id="b", buckets=2).count() == 3
+
+
+def test_places_of_any_size_keep_their_order(spark):
+    """Link places beyond 2^22 and 2^31 belong to their own page."""
+    site = [("r", "s", "https://a.example.com/")]
+    sites = spark.createDataFrame(site, "run_id string, site_id string, seed_url string")
+    home, base = "https://a.example.com/", "https://a.example.com/p"
+    links = [("r", "s", home, (1 << 33) + i, f"{base}{i}") for i in range(3)] + [("r", "s", f"{base}0", (1 << 23), f"{base}x"), ("r", "s", f"{base}1", 0, f"{base}y")]
+    table = spark.createDataFrame([(*row, row[-1]) for row in links], "run_id string, site_id string, src_url string, link_idx long, href string, abs_url string")
+    got = [r.url.removeprefix("https://a.example.com/") for r in D.bfs(table, sites).orderBy("pos").collect()]
+    assert got == ["", "p0", "p1", "p2", "px", "py"]
+    many = D.bfs(table, sites, max_pages=5000).orderBy("pos").collect()
+    assert [r.url.removeprefix("https://a.example.com/") for r in many] == got
+
+
+def test_first_k_beyond_the_group_limit(spark):
+    df = spark.range(5000).selectExpr("id % 2 AS k", "id")
+    got = W.first_k(df, ["k"], [F.col("id")], 1500)
+    assert got.count() == 3000 and got.agg(F.max("id")).first()[0] == 2999 and got.columns == ["k", "id", "rank"]
+
+
 def test_registry_replaces_and_refuses(spark):
     registry = P.built_in_profiles()
     registry.register("snippet", lambda df: df.select("url"))

@@ -1,4 +1,4 @@
-"""Registered queries against their SQL. A sample by default; all with AUDITLAKE_FULL=1."""
+"""Every registered query of the audits against its SQL."""
 
 import os
 
@@ -6,15 +6,11 @@ import pytest
 from compare import compare, connect
 
 import __spark_entry__ as entry
+from auditlake.plans.catalog import QUERIES
+from oracle.statements import STATEMENTS
 
 SF = os.environ.get("AUDITLAKE_SF", "/root/testdata/sf0.001")
-SAMPLE = [
-    "flagship_rendering_by_site", "u2_resolve_href", "t6_format_chars", "t8_content_start_pct", "t10_is_valid_json", "x3_html_to_markdown",
-    "x5_snippet", "x17_content_budget", "x19_page_profiles", "p12_link_integrity", "c9_ai_bot_rules", "c18_redirects", "g3_check_rollup",
-    "w1_ranked_findings", "w4_even_sample", "b1_bfs", "b2_discover", "j10_run_diff_findings", "p21_strict_fences", "r1_page_state",
-    "r1_page_state_stream", "s7_run_sink",
-]
-NAMES = list(entry.oracle_sql()) if os.environ.get("AUDITLAKE_FULL") else SAMPLE
+NAMES = list(STATEMENTS)
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +25,8 @@ def test_query_equals_sql(spark, con, name):
 
 
 def test_every_query_has_a_statement():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(STATEMENTS)
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(QUERIES) <= set(entry.queries())
 
 
 def test_entry_gives_rows(spark):
