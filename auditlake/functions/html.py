@@ -206,22 +206,47 @@ def html_to_markdown(html: Column) -> Column:
 # ---------------------------------------------------------------- page parts
 
 
+# Opening tag of what holds a page's content: main, article, or any element in that role.
+CONTENT_OPEN = r"""(?i)<(?:(?:main|article)(?:[\s/][^<>]*)?|[a-z][a-z0-9-]*(?:\s[^<>]*)?\srole\s*=\s*["']?main(?:["'\s/][^<>]*)?)>"""
+
+
+def inner_of(rest: Column, tag: Column) -> Column:
+    """What an element holds, given the text after its opening tag.
+
+    Opening and closing tags of its name are counted to the one that closes it; without that the
+    element runs to the end.
+    """
+    pattern = F.concat(F.lit("(?i)</?"), tag, F.lit(r"(?:[\s/][^<>]*)?>"))
+
+    def fold(marks: Column) -> Column:
+        def step(done: Column, x: Column) -> Column:
+            mark, closes = x["mark"], x["mark"].startswith("</")
+            depth = done["depth"] + F.when(closes, -1).when(mark.endswith("/>"), 0).otherwise(1)
+            size = done["size"] + F.length(x["piece"]) + F.when(depth == 0, 0).otherwise(F.length(mark))
+            return F.when(done["depth"] == 0, done).otherwise(F.struct(depth.alias("depth"), size.alias("size")))
+
+        pieces = F.slice(F.split(rest, pattern), F.lit(1), F.size(marks))
+        start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("size"))
+        walked = F.aggregate(F.zip_with(pieces, marks, lambda p, m: F.struct(p.alias("piece"), m.alias("mark"))), start, step)
+        return let(walked, lambda w: F.when(w["depth"] == 0, F.substring(rest, F.lit(1), w["size"])).otherwise(rest))
+
+    return let(F.regexp_extract_all(rest, pattern, F.lit(0)), fold)
+
+
+def main_part(page: Column) -> Column:
+    """Inside of the first main, article or role=main element; of the body if there is none."""
+
+    def after(opening: Column) -> Column:
+        rest = F.substring(page, F.instr(page, opening) + F.length(opening), F.length(page))
+        tag = F.lower(F.regexp_extract(opening, r"^<([a-zA-Z0-9-]+)", 1))
+        return F.when(opening == "", body_of(page)).otherwise(let(rest, lambda r: inner_of(r, tag)))
+
+    return let(F.regexp_extract(page, CONTENT_OPEN, 0), after)
+
+
 def content_body(html: Column) -> Column:
     """First main, article or role=main element without boilerplate; else the body."""
-    return let(
-        strip_elements(html, "script", "style", "noscript", "nav", "header", "footer", comments=True),
-        lambda kept: F.when(
-            kept.rlike(r"(?i)<(?:main|article)[\s/>]"),
-            F.regexp_extract(kept, r"(?is)<(?:main|article)(?:[\s/][^<>]*)?>(.*?)(?:</(?:main|article)\s*>|\z)", 1),
-        )
-        .when(
-            kept.rlike(r"""(?i)\srole\s*=\s*["']?main\b"""),
-            F.regexp_extract(
-                kept, r"""(?is)<[a-z0-9]+(?:[\s/][^<>]*)?\srole\s*=\s*["']?main\b["']?[^<>]*>(.*?)(?:</(?:div|section)\s*>|\z)""", 1
-            ),
-        )
-        .otherwise(body_of(kept)),
-    )
+    return let(strip_elements(html, "script", "style", "noscript", "nav", "header", "footer", comments=True), main_part)
 
 
 def text_to_markup_ratio(html: Column) -> Column:
@@ -477,10 +502,6 @@ def content_budget(html: Column) -> Column:
         values = F.regexp_extract_all(page, F.lit(r"""(?i)\sstyle\s*=\s*("[^"]*"|'[^']*')"""), F.lit(1))
         return F.aggregate(values, F.lit(0).cast("bigint"), lambda total, v: total + size(v) - 2)
 
-    def content(page: Column) -> Column:
-        main = F.regexp_extract(page, r"(?is)<(?:main|article)(?:[\s/][^<>]*)?>(.*?)(?:</(?:main|article)\s*>|\z)", 1)
-        return F.when(page.rlike(r"(?i)<(?:main|article)[\s/>]"), main).otherwise(body_of(page))
-
     # Each step removes one kind; ``let`` keeps every intermediate text for the next two uses.
     return let(strip_comments(html), lambda page: let(strip_elements(page, "script"), lambda no_script: let(
         strip_elements(no_script, "style"), lambda no_style: let(strip_elements(no_style, "svg"), lambda no_svg: let(
@@ -492,7 +513,7 @@ def content_budget(html: Column) -> Column:
                         ("inline CSS", size(no_script) - size(no_style) + style_attrs(no_style)),
                         ("SVG", size(no_style) - size(no_svg)),
                         ("nav/header/footer", size(quiet) - size(no_nav)),
-                        ("content", size(content(no_nav))),
+                        ("content", size(main_part(no_nav))),
                     ],
                 ),
             ),

@@ -233,3 +233,18 @@ def test_damaged_sitemaps_take_linear_time(spark):
     start = time.perf_counter()
     assert [r["loc"] for r in discover.sitemap_locs(df).collect()] == ["https://a.example.com/x"]
     assert time.perf_counter() - start < 6
+
+
+def test_content_is_the_whole_outer_element(spark):
+    pages = [
+        "<main><article>A</article><article>B</article>tail</main>x",
+        '<div role="main"><div>A</div><p>B</p></div><div>x</div>',
+        "<p>a</p><article>A<article-note>n</article-note><article/>B</article>c",
+        "<body><section><main-nav></main-nav>only</section></body>",
+        "<main>never closed <p>B</p>",
+        '<article class="k">first</article><main>second</main>',
+    ]
+    want = ["<article>A</article><article>B</article>tail", "<div>A</div><p>B</p>", "A<article-note>n</article-note><article/>B", "<section><main-nav></main-nav>only</section>", "never closed <p>B</p>", "first"]
+    assert column(spark, pages, H.content_body) == want
+    parts = column(spark, ['<div role="main"><div>A</div>B</div><p>rest</p>'], H.content_budget)[0]
+    assert {p["label"]: p["bytes"] for p in parts}["content"] == 13
