@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.dims import RUBRIC
@@ -26,6 +26,8 @@ SIZE_LIMITS = {
     "live": {"html_bytes": (1_000_000, 2_000_000), "markdown_chars": (100_000, 200_000)},
     "strict": {"html_bytes": (200_000, 500_000), "markdown_chars": (50_000, 100_000)},
 }
+# Keys that the links of one target are dealt over.
+LINK_SALTS = 8
 LINK_SAMPLE = 8
 
 
@@ -320,23 +322,29 @@ def sampled_links(features: DataFrame, sample: int | None = LINK_SAMPLE) -> Data
     return features.where(n > 0).select(*KEYS, n.alias("total"), F.posexplode(chosen).alias("link_pos", "link_url"))
 
 
-def _broken_counts(links: DataFrame, statuses: DataFrame) -> DataFrame:
-    """Per page: links looked up, how many are broken and the first three of those.
+def look_up(links: DataFrame, statuses: DataFrame) -> DataFrame:
+    """Links with ``link_status`` and ``broken``; a target without a response counts as broken.
 
-    A target without a response counts as broken. A home page linked from everywhere makes a hot
-    join key; adaptive execution splits such a partition of the link side.
+    A home page is linked from everywhere. Its links are dealt over ``LINK_SALTS`` keys by page, and
+    each target's one status row is repeated for all of them, so no task holds all links of a target.
     """
-    known = statuses.select(F.col("url").alias("link_url"), F.col("status").alias("link_status"))
-    looked_up = links.join(known, "link_url", "left")
-    broken = F.coalesce(F.col("link_status"), F.lit(0)).isin(0) | (F.col("link_status") >= 400)
-    kept = looked_up.withColumn("broken", broken)
-    return kept.groupBy(*KEYS).agg(
+    salts = F.explode(F.sequence(F.lit(0), F.lit(LINK_SALTS - 1))).alias("_salt")
+    known = statuses.select(F.col("url").alias("link_url"), F.col("status").alias("link_status"), salts)
+    dealt = links.withColumn("_salt", F.pmod(F.xxhash64(*KEYS), F.lit(LINK_SALTS)).cast("int"))
+    looked_up = dealt.join(known, ["link_url", "_salt"], "left").drop("_salt")
+    return looked_up.withColumn("broken", F.coalesce(F.col("link_status"), F.lit(0)).isin(0) | (F.col("link_status") >= 400))
+
+
+def _broken_counts(links: DataFrame, statuses: DataFrame) -> DataFrame:
+    """Per page: links looked up, how many are broken and the first three of those."""
+    ranked = look_up(links, statuses).withColumn("_nth", F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("broken"), "link_pos")))
+    # Broken links come first, so only rows of the first three places can be examples.
+    example = F.when(F.col("broken") & (F.col("_nth") <= 3), F.struct("link_pos", "link_url"))
+    return ranked.groupBy(*KEYS).agg(
         F.first("total").alias("total"),
         F.count(F.lit(1)).alias("sampled"),
         F.count_if("broken").alias("broken"),
-        F.slice(
-            F.array_sort(F.collect_list(F.when(F.col("broken"), F.struct("link_pos", "link_url")))), 1, 3
-        ).alias("examples"),
+        F.array_sort(F.collect_list(example)).alias("examples"),
     )
 
 

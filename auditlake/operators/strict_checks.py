@@ -12,7 +12,7 @@ from auditlake.dims import SSO_HOSTS
 from auditlake.functions import html as H
 from auditlake.functions import urls as U
 from auditlake.functions.text import content_start_pct, is_valid_json, js_trim, let, thousands, utf16_len
-from auditlake.operators.page_checks import SIZE_LIMITS, check_row, explode_checks, graded, size_check, text
+from auditlake.operators.page_checks import SIZE_LIMITS, check_row, explode_checks, graded, look_up, size_check, text
 from auditlake.operators.profiles import KEYS
 
 CONTENT_LINKS = 20
@@ -224,11 +224,7 @@ def strict_checks(features: DataFrame, only: list[str] | None = None) -> DataFra
 def strict_link_integrity(features: DataFrame, statuses: DataFrame) -> DataFrame:
     """First links of the content against their statuses; more than a fifth broken fails."""
     first = features.select(*KEYS, F.explode(F.slice("links", 1, CONTENT_LINKS)).alias("link_url"))
-    known = statuses.select(F.col("url").alias("link_url"), F.col("status").alias("link_status"))
-    status = F.coalesce("link_status", F.lit(0))
-    counts = first.join(known, "link_url", "left").groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("sampled"), F.count_if((status == 0) | (status >= 400)).alias("broken")
-    )
+    counts = look_up(first, statuses).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("sampled"), F.count_if("broken").alias("broken"))
     joined = features.select(*KEYS).join(counts, KEYS, "left")
     broken, sampled = F.col("broken"), F.col("sampled")
     severity = (

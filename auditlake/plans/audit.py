@@ -53,7 +53,7 @@ def audit(
     tokens = [F.col(f"{p}.tokens_est").alias(f"tokens_{p}") for p in ("rawHttp", "headless", "snippet")]
     features = stage(K.page_features(wide, links=True, extra=tokens), "features")
     known = statuses(features) if callable(statuses) else statuses
-    page_rows = page_check_rows(features, known)
+    page_rows = stage(page_check_rows(features, known), "page-checks")
     rollup = stage(R.rollup_checks(page_rows), "rollup")
     site_rows = stage(S.site_checks(sites, responses), "site-checks")
     merged = N.merge_findings(N.site_findings(site_rows).unionByName(N.page_findings(rollup)))

@@ -97,7 +97,7 @@ def d9(spark, sf):
 def page_rows(spark, sf):
     """All page checks of all pages, over features that are staged once."""
     f = stage(features(spark, sf, links=True), "features")
-    return A.page_check_rows(f, C.link_statuses(f.select(F.explode("links").alias("abs_url"))))
+    return stage(A.page_check_rows(f, C.link_statuses(f.select(F.explode("links").alias("abs_url")))), "page-checks")
 
 
 def rollup(spark, sf):
@@ -189,9 +189,8 @@ def w1_audit(spark, sf):
 @query("j5_attribution")
 def j5(spark, sf):
     found = run_findings(spark, sf).select("seq", "finding_id")
-    loose = N.attribute(found).select("seq", F.array_join("affected_profiles", ",").alias("profiles"))
-    exact = N.attribute(found.withColumnRenamed("seq", "s2"), exact_ids=True).select("s2", F.array_join("affected_profiles", ",").alias("profiles_exact"))
-    return loose.join(exact, loose.seq == exact.s2).select("seq", "profiles", "profiles_exact")
+    loose = N.attribute(found).select("seq", "finding_id", F.array_join("affected_profiles", ",").alias("profiles"))
+    return N.attribute(loose, exact_ids=True).select("seq", "profiles", F.array_join("affected_profiles", ",").alias("profiles_exact"))
 
 
 @query("j6_fix_copy")
@@ -377,6 +376,4 @@ def o5(spark, sf):
 def j8(spark, sf):
     f, statuses = link_features(spark, sf)
     sampled = K.sampled_links(f)
-    return sampled.join(statuses.withColumnRenamed("url", "link_url"), "link_url", "left").select(
-        "page_index", big("link_pos"), "link_url", big("status"), (F.coalesce("status", F.lit(0)).isin(0) | (F.col("status") >= 400)).alias("broken")
-    )
+    return K.look_up(sampled, statuses).select("page_index", big("link_pos"), "link_url", big("link_status").alias("status"), "broken")

@@ -59,15 +59,12 @@ def synthesize(runs: DataFrame, pages: DataFrame) -> DataFrame:
     )
     of_pages = pages.select("run_id", F.explode(F.array(*page_events)).alias("e"))
     kind = F.when(F.col("status") == "stopped", "run:stopped").when(F.col("status") == "error", "run:error").otherwise("run:done")
-    of_runs = runs.select(
-        "run_id",
-        F.explode(
-            F.array(
-                event(seq=F.lit(0), type=F.lit("discover"), source=F.coalesce("source", F.lit("bfs")), capped=F.coalesce("capped", F.lit(False))),
-                event(seq=F.col("n_pages") * 5 + 1, type=kind, message=F.col("message")),
-            )
-        ).alias("e"),
-    )
+    found = event(seq=F.lit(0), type=F.lit("discover"), source=F.coalesce("source", F.lit("bfs")), capped=F.coalesce("capped", F.lit(False)))
+    ended = event(seq=F.col("n_pages") * 5 + 1, type=kind, message=F.col("message"))
+    # A run that failed before it had pages found none; one still going on has not ended.
+    without_result = (F.col("status") == "error") & (F.coalesce("n_pages", F.lit(0)) == 0)
+    of_run = F.when(without_result, F.array(ended)).when(F.col("status") == "running", F.array(found)).otherwise(F.array(found, ended))
+    of_runs = runs.select("run_id", F.explode(of_run).alias("e"))
     return of_runs.unionByName(of_pages).select("run_id", "e.*")
 
 

@@ -25,13 +25,15 @@ PAGE_STATE = ["run_id", "url", "page_index", *[f"chars_{p}" for p in PROFILES],
 def _bounded(log: DataFrame) -> DataFrame:
     """Log up to each run's first terminal event, with the place of the last discovery.
 
-    The bounds are one row per run from counters that combine before the shuffle; a hot run's
-    events stay spread, as the bounds side is small enough to be split over or sent around.
+    Both bounds come from the few discovery and terminal rows; the log itself is joined once, to one
+    row per run. A run without a discovery has no pages and falls out.
     """
-    ends = log.groupBy("run_id").agg(F.min(F.when(F.col("type").isin(*TERMINAL), F.col("seq"))).alias("end_seq"))
-    kept = log.join(ends, "run_id").where(F.col("end_seq").isNull() | (F.col("seq") <= F.col("end_seq")))
-    starts = kept.groupBy("run_id").agg(F.max(F.when(F.col("type") == "discover", F.col("seq"))).alias("start_seq"))
-    return kept.join(starts, "run_id")
+    steering = log.where(F.col("type").isin("discover", *TERMINAL)).select("run_id", "type", "seq")
+    ends = steering.groupBy("run_id").agg(F.min(F.when(F.col("type") != "discover", F.col("seq"))).alias("end_seq"))
+    in_time = F.col("end_seq").isNull() | (F.col("seq") <= F.col("end_seq"))
+    starts = steering.where(F.col("type") == "discover").join(ends, "run_id").where(in_time)
+    bounds = starts.groupBy("run_id").agg(F.max("seq").alias("start_seq"), F.first("end_seq").alias("end_seq"))
+    return log.join(bounds, "run_id").where(in_time)
 
 
 def fold_pages(log: DataFrame) -> DataFrame:
