@@ -52,12 +52,26 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+# Staged folders of this driver that are still there.
+_STAGED: list[str] = []
+
+
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+    """Write ``df`` to the shared folder and read it back; ``drop_staged`` deletes what was staged.
 
     Cuts lineage, survives the loss of executors, and unlike an RDD checkpoint keeps columns
     prunable for the several readers the staged table usually has.
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete the folders that ``stage`` has written since the last call, once their readers are done."""
+    dropped = 0
+    while _STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        dropped += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return dropped

@@ -332,3 +332,12 @@ def test_registry_replaces_and_refuses(spark):
     assert registry.run("snippet", pages(spark, [(0, 200, PAGE, PAGE, None, None)])).columns == ["url"]
     with pytest.raises(KeyError):
         registry.run("other", None)
+
+
+def test_staged_folders_are_dropped(spark):
+    from auditlake.session import drop_staged, stage
+
+    path = stage(spark.range(3), "dropped").inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    assert drop_staged(spark) > 0
+    assert not os.path.exists(path) and drop_staged(spark) == 0
