@@ -186,12 +186,12 @@ BODY = """CASE
         || CASE WHEN h % 7 = 1 THEN '<link rel="llms.txt" href="/llms.txt">' ELSE '' END
         || CASE WHEN h % 9 = 2 THEN '<meta http-equiv="refresh" content="0; url=/en">' ELSE '' END
         || CASE WHEN h % 9 = 4 THEN '<script>location.href = "https://www.example.com/"</script>' ELSE '' END
-        || '</head><body><h1>Home</h1></body></html>'
+        || '</head><body><h1>Home</h1>' || page_html || '</body></html>'
     WHEN kind IN ('home-md', 'md-twin') THEN CASE h % 2 WHEN 0 THEN '# Home' ELSE '<!doctype html><p>Home</p>' END
     WHEN kind = 'llms' THEN CASE WHEN (h + o) % 8 = 1 THEN ''
         ELSE '# Site ' || site_id || chr(10) || CASE WHEN h % 3 = 0 THEN '' ELSE '> Summary' || chr(10) END
             || repeat('- [Page](/ref/1)' || chr(10) || '- [Twin](/ref/2.md): text' || chr(10), CAST(1 + h % 3 AS INT))
-            || CASE WHEN h % 6 = 5 THEN repeat('filler text of a long index. ', CAST(1000 * (1 + h % 4) AS INT)) ELSE '' END END
+            || CASE WHEN h % 6 = 5 THEN repeat('filler text of a long index. ', CAST(1000 * (1 + h % 4) AS INT)) ELSE '' END || chr(10) || doc_text END
     WHEN kind = 'robots' THEN 'User-agent: *' || chr(10) || 'Disallow: /private' || chr(10)
         || CASE WHEN h % 3 > 0 THEN 'user-agent : GPTBot' || chr(10) || 'Allow: /' || chr(10) ELSE '' END
         || CASE WHEN h % 3 > 1 THEN '  User-agent: ClaudeBot' || chr(10) || 'User-agent: CCBot # all' || chr(10)
@@ -212,14 +212,20 @@ PROBE_URL = """CASE WHEN kind IN ('home', 'home-md') THEN seed_url
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probe responses of every site, in the canonical response schema."""
+    """Probe responses of every site, in the canonical response schema.
+
+    A home page holds the HTML of the site's first page, an index the text of the document of that number.
+    """
     probes = F.array(
         *[
             F.struct(F.lit(k).alias("kind"), F.lit(p).cast("string").alias("path"), F.lit(i).cast("bigint").alias("o"))
             for i, (k, p) in enumerate(PROBES)
         ]
     )
-    rows = sites(spark, sf_dir).select("*", F.explode(probes).alias("p")).select("run_id", "site_id", "h", "seed_url", "p.*")
+    first_page = read_table(spark, sf_dir, "pages").select(F.col("page_id").alias("h"), F.coalesce("html", F.lit("")).alias("page_html"))
+    index_text = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("h"), "text")
+    with_texts = sites(spark, sf_dir).join(first_page, "h").join(index_text, "h", "left").withColumn("doc_text", F.coalesce("text", F.lit(""))).drop("text")
+    rows = with_texts.select("*", F.explode(probes).alias("p")).select("run_id", "site_id", "h", "seed_url", "page_html", "doc_text", "p.*")
     rows = rows.select(
         "*",
         F.expr(PROBE_URL).alias("url"),

@@ -224,9 +224,10 @@ _PROBES = ", ".join(f"({q(k)}, {q(p) if p else 'NULL'}, {i})" for i, (k, p) in e
 RESPONSES = f"""{SITES},
 probes(kind, path, o) AS (VALUES {_PROBES}),
 resp AS MATERIALIZED (
-    SELECT site_id, h, seed_url, kind, path, o, {C.PROBE_URL} AS url, {C.PROBE_STATUS} AS status, {C.BODY} AS body,
+    SELECT site_id, h, seed_url, kind, path, o, {C.PROBE_URL} AS url, {C.PROBE_STATUS} AS status, {C.BODY.replace('doc_text', "coalesce(doc_text, '')")} AS body,
         {C.CONTENT_TYPE} AS ctype, {C.LINK_HEADER} AS link, {C.LAST_MODIFIED} AS last_modified, {C.ETAG} AS etag, {C.HOPS} AS hops
-    FROM sites, probes
+    FROM sites JOIN (SELECT page_id AS h, coalesce(html, '') AS page_html FROM pages) USING (h)
+        LEFT JOIN (SELECT doc_id AS h, coalesce(text, '') AS doc_text FROM documents) USING (h), probes
 )"""
 
 
