@@ -5,16 +5,17 @@ permutation, the smallest and the largest value, so a signature of 2k values cos
 Documents with one and the same set are one node from then on. Bands of the signature put nodes
 into buckets; links are confirmed on full sets only, and found in rounds:
 
-1. in every bucket, each node is paired with the bucket's smallest one (so a bucket of n gives
-   n - 1 pairs, not n squared), distinct pairs are confirmed, and links joined to components;
+1. in every bucket, each node is paired with the bucket's centre, the node that shares buckets
+   with the most others (so a bucket of n gives n - 1 pairs, not n squared); distinct pairs are
+   confirmed, and links joined to components;
 2. buckets whose nodes are all in one component are done. In the others every pair of nodes of
    different components is still open. A bucket is cut into blocks of ``BLOCK`` nodes; the nodes
-   outside its main component visit every block and are compared there by signature, with a
-   margin under which a true link falls only with negligible probability. Pairs that remain
-   are confirmed on full sets.
+   outside its main component visit every block and are compared there, by a finer signature
+   first, with a margin under which a true link falls only with negligible probability, then on
+   sets. A visitor sends on one link for each component that it reaches, confirmed in full.
 
 So no link between components is lost to the pairing, and a group of thousands of copies is
-never expanded.
+never expanded into pairs.
 
 Null and empty texts have no shingles, stay alone and are kept; a text with fewer words than a
 shingle is one shingle, its whole sequence. Repeated rows fall together; ties go to the smaller
@@ -36,8 +37,9 @@ from auditlake.llm.common import byte_table, mix, small_batches, stage
 
 PERMUTATIONS, ROWS = 48, 4
 BLOCK = 1500
-# A pair at the threshold shows this much less agreement with a chance below one in a million.
-MARGIN = 0.28
+# Permutations of the fine signature, one byte for each of its 2 * FINE values, and how many standard
+# deviations below the threshold an agreement may lie: a true link falls with a chance of 3e-7.
+FINE, DEVIATIONS = 256, 5.0
 
 
 class _Words(dict):
@@ -72,18 +74,28 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(out)
 
 
-_TURN = np.random.default_rng(8).integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_TURN = np.random.default_rng(8).integers(0, 2**63, FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """The top halves of both ends of every permutation, 32 bits each: first the minima, then the maxima."""
-    lows, highs = np.empty(PERMUTATIONS, np.uint64), np.empty(PERMUTATIONS, np.uint64)
-    for k, turn in enumerate(_TURN):
+def both_ends(shingles: np.ndarray, permutations: int) -> np.ndarray:
+    """Smallest and largest value of a set under each permutation: first the minima, then the maxima."""
+    lows, highs = np.empty(permutations, np.uint64), np.empty(permutations, np.uint64)
+    for k, turn in enumerate(_TURN[:permutations]):
         moved = shingles * turn
         moved ^= moved >> np.uint64(32)
         moved *= np.uint64(0xD6E8FEB86659FD93)
         lows[k], highs[k] = moved.min(), moved.max()
-    return (np.concatenate([lows, highs]) >> np.uint64(32)).astype("<u4")
+    return np.concatenate([lows, highs])
+
+
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """32 bits of each end of ``PERMUTATIONS`` permutations, for the bands."""
+    return (both_ends(shingles, PERMUTATIONS) >> np.uint64(32)).astype("<u4")
+
+
+def fine_signature(shingles: np.ndarray) -> np.ndarray:
+    """A byte of each end of ``FINE`` permutations; equal bytes of unequal ends only raise an agreement."""
+    return (mix(both_ends(shingles, FINE)) >> np.uint64(56)).astype(np.uint8)
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
@@ -115,21 +127,25 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def from_sets(docs: DataFrame, wanted: DataFrame, size: int, make) -> DataFrame:
+    """(doc_id, made): what ``make`` gives for the shingle sets of the wanted documents, from their texts."""
+    texts = docs.select("doc_id", "text").filter("doc_id is not null").join(wanted, "doc_id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [make(s) if len(s) else None for s in (shingle_set(t, size) for t in batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], ["doc_id", "made"])
+
+    return texts.mapInArrow(run, "doc_id long, made binary").filter("made is not null").dropDuplicates(["doc_id"])
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Of (a, b) pairs those whose full sets have ``percent`` of their union in common.
 
     Sets are made again from the texts of documents in some pair, and meet by joins on the ids.
     """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").filter("doc_id is not null").join(wanted, "doc_id", "left_semi")
-
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t, size).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
-
-    sets = texts.mapInArrow(to_sets, "doc_id long, shingles binary").dropDuplicates(["doc_id"])
-    sets = stage(sets, "shingle-sets")
+    sets = stage(from_sets(docs, wanted, size, np.ndarray.tobytes), "shingle-sets").withColumnRenamed("made", "shingles")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a")), "a")
     both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b")), "b")
 
@@ -163,19 +179,35 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def _open_pairs(members: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Pairs of a block's visitors and nodes, of different components, whose signatures agree enough."""
+def links_across(members: pd.DataFrame, least: float, percent: int) -> pd.DataFrame:
+    """Links of a block's visitors to nodes of other components: one for each visitor and component.
+
+    Candidates of a component are tried by falling agreement of the fine signatures until one holds
+    on the sets (here by 32 bits of each shingle; what is sent on is confirmed in full).
+    """
     node, comp, visits = members["node"].to_numpy(), members["component"].to_numpy(), members["visits"].to_numpy(bool)
-    sig = np.frombuffer(b"".join(members["signature"]), "<u4").reshape(len(members), -1)
+    fine = np.frombuffer(b"".join(m[: 2 * FINE] for m in members["made"]), np.uint8).reshape(len(members), -1)
+    sets = [np.frombuffer(m, np.uint32, offset=2 * FINE) for m in members["made"]]
     here = np.flatnonzero(~visits)
     out = []
     for i in np.flatnonzero(visits):
         others = here[comp[here] != comp[i]]
-        agree = (sig[others] == sig[i]).mean(axis=1)
-        out += [(min(node[i], node[j]), max(node[i], node[j])) for j in others[agree >= least]]
+        agree = (fine[others] == fine[i]).mean(axis=1)
+        linked = set()
+        for k in np.argsort(-agree, kind="stable")[: int((agree >= least).sum())]:
+            j = others[k]
+            if comp[j] not in linked:
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                    linked.add(comp[j])
+                    out.append((min(node[i], node[j]), max(node[i], node[j])))
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
+def fine_and_set(shingles: np.ndarray) -> bytes:
+    return fine_signature(shingles).tobytes() + np.unique((shingles >> np.uint64(32)).astype(np.uint32)).tobytes()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs``."""
     known = stage(signatures(docs, size), "signatures")
@@ -191,26 +223,32 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     banded = nodes.select("node", "signature").mapInArrow(bands, "node long, key long")
     # Bands with one node only are most of all and go first; what is left is small and staged.
-    shared = banded.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    members = stage(banded.join(shared.select("key", "least"), "key"), "bucket-members")
-    pairs = stage(members.filter("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "star-pairs")
+    shared = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    members = stage(banded.join(shared, "key"), "bucket-members")
+    # A bucket's centre is the node that meets the most others anywhere: what copies were made from.
+    degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
+    centre = members.join(degree, "node").groupBy("key").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("centre"))
+    stars = members.join(centre, "key").filter("node <> centre")
+    pairs = stage(stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "star-pairs")
     links = stage(confirmed(pairs, docs, size, percent), "star-links")
     label = components(links)
 
     named = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
     split = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
-    left = named.select("key", "node", "component").join(split.select("key", "main", "n"), "key").join(nodes.select("node", "signature"), "node")
+    left = stage(named.select("key", "node", "component").join(split.select("key", "main", "n"), "key"), "open-buckets")
+    made = stage(from_sets(docs, left.select(F.col("node").alias("doc_id")).distinct(), size, fine_and_set), "fine-signatures")
+    left = left.join(made.withColumnRenamed("doc_id", "node"), "node")
     # Every node lies in one block of its bucket; nodes outside the main component visit every block.
     left = left.withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int"))
     lying = left.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("visits", F.lit(False))
     visiting = left.filter("component != main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("visits", F.lit(True))
-    dealt = lying.select("key", "block", "visits", "node", "component", "signature").union(visiting.select("key", "block", "visits", "node", "component", "signature"))
-    least = percent / 100 - MARGIN
-    more = dealt.groupBy("key", "block").applyInPandas(lambda m: _open_pairs(m, least), "a long, b long")
-    tried = stage(more.distinct().join(pairs, ["a", "b"], "left_anti"), "open-pairs")
-    if not tried.isEmpty():
-        links = links.union(confirmed(tried, docs, size, percent))
+    dealt = lying.select("key", "block", "visits", "node", "component", "made").union(visiting.select("key", "block", "visits", "node", "component", "made"))
+    least = percent / 100 - DEVIATIONS * (percent / 100 * (1 - percent / 100) / (2 * FINE)) ** 0.5
+    more = dealt.groupBy("key", "block").applyInPandas(lambda m: links_across(m, least, percent), "a long, b long")
+    found = stage(more.distinct(), "links-across")
+    if not found.isEmpty():
+        links = links.union(confirmed(found, docs, size, percent))
         label = components(links)
 
     by_set = nodes.select("set_key", "node").join(label, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
