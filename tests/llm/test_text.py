@@ -7,7 +7,6 @@ import time
 
 import pytest
 from helpers import CLASHES, LONG, SF, extra, rows_of
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from auditlake.llm import private_data, toxicity, url_rules
