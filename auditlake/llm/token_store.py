@@ -27,7 +27,7 @@ MAGIC = b"EFIDS\x00\x00\x01"
 HEADER = struct.Struct("<8sBQQQqQQ")  # magic, id width, documents, null ids, tokens, first id, bytes of ends, bytes of ids
 SELECT_EVERY = 256
 # A shard is closed when it holds this many ids: what a reader or writer keeps in memory at once.
-SHARD_TOKENS = 8_000_000
+SHARD_TOKENS = 2_000_000
 
 
 class EliasFano:

@@ -3,8 +3,8 @@
 Both pre-tokenizers used here never join text across a space in a way that depends on more
 than the piece between spaces, so a text is cut at its spaces and each distinct piece is looked
 up. A new piece that is a plain word with marks behind it is cut where the pre-tokenizer cuts
-it, and the library's model encodes the parts not met before; any other piece goes through the
-whole library. Texts where a cut at spaces would not hold (a space inside or at the end of
+it, and the parts not met before are encoded many in one call; any other piece goes through the
+library by itself. Texts where a cut at spaces would not hold (a space inside or at the end of
 longer white space, or the name of a special token) go to the library whole. Numpy then gathers
 the texts' ids from the table of pieces.
 """
@@ -13,12 +13,11 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from itertools import chain
 
 import numpy as np
 
-from auditlake.llm.automaton import byte_letters
-
 _SPACE_BEFORE = re.compile(r" \s")
 _INNER_SPACE = re.compile(r"\s \s|\s \Z")
 # Letters, then marks that are neither letters, digits, white space nor the sign of a contraction.
@@ -28,23 +27,48 @@ _FIRST = "\x00"
 _MADE: dict[tuple[str, bool], Encoder] = {}
 
 
-class _Pieces(dict):
-    """Piece to its number; a piece not met before gets the next one and is noted in ``fresh``."""
+class _Numbers(dict):
+    """String to its number; one not met before gets the next number and is noted in ``fresh``."""
 
     def __init__(self):
         self.fresh: list[str] = []
 
-    def __missing__(self, piece: str) -> int:
-        self.fresh.append(piece)
-        self[piece] = n = len(self)
+    def __missing__(self, key: str) -> int:
+        self.fresh.append(key)
+        self[key] = n = len(self)
         return n
 
 
+class _Table:
+    """Lists of ids by number, in one growing array."""
+
+    def __init__(self):
+        self.flat, self.starts, self.lengths, self.n, self.used = np.empty(1 << 16, np.uint32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32), 0, 0
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        while len(self.flat) < self.used + len(ids):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while len(self.starts) < self.n + len(lengths):
+            self.starts, self.lengths = np.concatenate([self.starts, np.empty_like(self.starts)]), np.concatenate([self.lengths, np.empty_like(self.lengths)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[self.n : self.n + len(lengths)] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[self.n : self.n + len(lengths)] = lengths
+        self.n, self.used = self.n + len(lengths), self.used + len(ids)
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the numbered lists one after another, and the end of each."""
+        lengths = self.lengths[at]
+        ends = np.cumsum(lengths, dtype=np.int64)
+        places = np.repeat(self.starts[at] - (ends - lengths), lengths)
+        places += np.arange(len(places))
+        return self.flat[places], ends
+
+
 class Encoder:
     """``spaced``: the vocabulary keeps white space, so all pieces but the first carry the space before them."""
 
     # Pieces and words kept at most; beyond that a table starts anew, so that a worker's memory is bounded.
-    LIMIT, WORDS = 200_000, 500_000
+    PIECES, WORDS = 400_000, 500_000
 
     def __init__(self, path: str, spaced: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,57 +79,98 @@ class Encoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.spaced = spaced
-        self.letters = byte_letters()
-        self.words: dict[str, list[int]] = {}
-        self.forget()
-
-    def forget(self) -> None:
-        self.index = _Pieces()
-        if len(self.words) > self.WORDS:
-            self.words = {}
-        self.flat = np.empty(1 << 20, np.uint32)
-        self.starts = np.zeros(1, np.int64)
-
-    def _word(self, word: str) -> list[int]:
-        """Ids of one pre-token."""
-        got = self.words.get(word)
-        if got is None:
-            spelt = "".join([self.letters[b] for b in word.encode()])
-            got = self.words[word] = [t.id for t in self.tok.model.tokenize(spelt)]
-        return got
-
-    def _piece(self, piece: str) -> list[int]:
+        # A pre-token by itself that no word holds: it parts the words of one call, and its id the ids.
+        self.between = "\n" if spaced else "1"
+        (self.mark,) = self.tok.encode(self.between, add_special_tokens=False).ids
+        self.forget(True)
+
+    def forget(self, words: bool) -> None:
+        self.pieces, self.piece_ids = _Numbers(), _Table()
+        if words:
+            self.words, self.word_ids = _Numbers(), _Table()
+
+    def _plain(self, piece: str) -> list[int] | None:
+        """Numbers of a piece's pre-tokens, if they are plain words and marks."""
         lead = ""
         if self.spaced:
             lead, piece = ("", piece[1:]) if piece.startswith(_FIRST) else (" ", piece)
-            lines = piece.split("\n")
         else:
-            lines = piece.lower().split("\n") if piece.isascii() else [""]
-        out: list[int] = []
-        for k, line in enumerate(lines):
+            piece = (piece if piece.isascii() else unicodedata.normalize("NFC", piece).replace("Σ", "σ")).lower()
+        number, out = self.words, []
+        for line in piece.split("\n") if "\n" in piece else (piece,):
             plain = _PLAIN.fullmatch(line)
-            if not plain or not (letters := plain[1]).isalpha():
-                return self.tok.encode(lead + piece, add_special_tokens=False).ids
-            if k and self.spaced:
-                out += self._word("\n")
-            out += self._word(letters if k else lead + letters)
-            if marks := plain[2]:
-                out += self._word(marks)
+            if not plain:
+                return None
+            letters, marks = plain.groups()
+            if not letters.isalpha():
+                return None
+            if out and self.spaced:
+                out.append(number["\n"])
+            out.append(number[lead + letters])
+            lead = ""
+            if marks:
+                out.append(number[marks])
         return out
 
+    def _learn_words(self) -> None:
+        fresh = self.words.fresh
+        for at in range(0, len(fresh), 8192):
+            some = fresh[at : at + 8192]
+            if "\n" in some:  # the mark itself, in texts with line ends
+                some = [w if w != "\n" else "" for w in some]
+            ids = np.array(self.tok.encode_batch_fast([self.between.join(some) + self.between], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(ids == self.mark) - np.arange(len(some))
+            lengths, ids = np.diff(ends, prepend=0), ids[ids != self.mark]
+            if "" in some:
+                k = some.index("")
+                ids, lengths[k] = np.insert(ids, int(lengths[:k].sum()), self.mark), 1
+            self.word_ids.add(ids, lengths)
+        fresh.clear()
+
     def _learn(self) -> None:
-        got = [self._piece(p) for p in self.index.fresh]
-        self.index.fresh.clear()
-        ends = int(self.starts[-1]) + np.cumsum([len(g) for g in got])
-        while len(self.flat) < ends[-1]:
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        self.flat[int(self.starts[-1]) : ends[-1]] = np.fromiter(chain.from_iterable(got), np.uint32)
-        self.starts = np.concatenate([self.starts, ends])
+        """Ids of the fresh pieces: from their words, those not met before encoded many at a time."""
+        words: list[int] = []
+        counts, others = [], []
+        match, number, lead = _PLAIN.fullmatch, self.words, " " if self.spaced else ""
+        for k, piece in enumerate(self.pieces.fresh):
+            # Most pieces are one word with or without marks: the case of ``_plain`` that needs no list.
+            if (plain := match(piece)) and (self.spaced or piece.isascii()):
+                letters, marks = plain.groups() if self.spaced else match(piece.lower()).groups()
+                if letters.isalpha():
+                    words.append(number[lead + letters])
+                    if marks:
+                        words.append(number[marks])
+                        counts.append(2)
+                    else:
+                        counts.append(1)
+                    continue
+            got = self._plain(piece)
+            if got is None:
+                others.append(k)
+                counts.append(0)
+            else:
+                words += got
+                counts.append(len(got))
+        if self.words.fresh:
+            self._learn_words()
+        ids, ends = self.word_ids.take(np.array(words, np.int64))
+        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        lengths = np.diff(cuts)
+        if others:
+            whole = [self.pieces.fresh[k] for k in others]
+            if self.spaced:
+                whole = [p[1:] if p.startswith(_FIRST) else " " + p for p in whole]
+            got = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(whole, add_special_tokens=False)]
+            more = np.fromiter(map(len, got), np.int64, len(got))
+            ids = np.insert(ids, np.repeat(cuts[others], more), np.concatenate(got))
+            lengths[others] = more
+        self.piece_ids.add(ids, lengths)
+        self.pieces.fresh.clear()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them."""
-        if len(self.index) > self.LIMIT:
-            self.forget()
+        if len(self.pieces) > self.PIECES:
+            self.forget(len(self.words) > self.WORDS)
         whole, parts = [], []
         for i, t in enumerate(texts):
             if "<|" in t or self.spaced and (_FIRST in t or (t.endswith(" ") or _SPACE_BEFORE.search(t)) and _INNER_SPACE.search(t)):
@@ -116,12 +181,10 @@ class Encoder:
             if self.spaced:
                 some[0] = _FIRST + some[0]
         counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(parts)), np.int64, int(counts.sum()))
-        if self.index.fresh:
+        at = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(parts)), np.int64, int(counts.sum()))
+        if self.pieces.fresh:
             self._learn()
-        starts, lengths = self.starts[at], self.starts[at + 1] - self.starts[at]
-        ends = np.cumsum(lengths)
-        ids = self.flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        ids, ends = self.piece_ids.take(at)
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         out = [ids[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
         for i in whole:
