@@ -56,7 +56,7 @@ def shared_dir(spark: SparkSession) -> str:
 _STAGED: list[str] = []
 
 
-def stage(df: DataFrame, label: str = "stage") -> DataFrame:
+def stage(df: DataFrame, label: str = "stage", compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back; ``drop_staged`` deletes what was staged.
 
     Cuts lineage, survives the loss of executors, and unlike an RDD checkpoint keeps columns
@@ -64,14 +64,24 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     _STAGED.append(path)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession) -> int:
-    """Delete the folders that ``stage`` has written since the last call, once their readers are done."""
+def staged_so_far() -> int:
+    """A mark for ``drop_staged``: how many staged folders there are."""
+    return len(_STAGED)
+
+
+def drop_staged(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Delete the folders that ``stage`` has written, once their readers are done.
+
+    ``since``: only those after the mark; ``keep``: not the last so many.
+    """
+    gone = _STAGED[since : len(_STAGED) - keep]
+    del _STAGED[since : len(_STAGED) - keep]
     dropped = 0
-    while _STAGED:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         dropped += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
     return dropped
