@@ -68,7 +68,7 @@ class Encoder:
     """``spaced``: the vocabulary keeps white space, so all pieces but the first carry the space before them."""
 
     # Pieces and words kept at most; beyond that a table starts anew, so that a worker's memory is bounded.
-    PIECES, WORDS = 400_000, 500_000
+    PIECES, WORDS = 150_000, 200_000
 
     def __init__(self, path: str, spaced: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
