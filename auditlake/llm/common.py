@@ -8,9 +8,9 @@ import os
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from auditlake.session import stage
+from auditlake.session import drop_staged, stage, staged_so_far
 
-__all__ = ["BATCH_ROWS", "byte_table", "gram_hashes", "mix", "shuffle_parts", "small_batches", "stage", "table"]
+__all__ = ["BATCH_ROWS", "byte_table", "gram_hashes", "mix", "result", "shuffle_parts", "small_batches", "stage", "staged_so_far", "table"]
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 # Rows of one Arrow batch: texts can be long, and a batch is held in a worker's memory.
@@ -28,6 +28,13 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         known["PYTHONPATH"] = os.pathsep.join(filter(None, [known.get("PYTHONPATH"), ROOT]))
 
 
+def result(df: DataFrame, label: str, since: int, compression: str = "snappy") -> DataFrame:
+    """An operator's result, staged; what it staged on the way, after the mark ``since``, is deleted."""
+    out = stage(df, label, compression)
+    drop_staged(df.sparkSession, since, keep=1)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import small_batches, stage
+from auditlake.llm.common import result, small_batches, stage, staged_so_far
 from auditlake.llm.near_dups import components
 from auditlake.llm.neighbours import is_sound
 
@@ -126,6 +126,7 @@ def compare_block(group: pa.Table, least: float) -> pa.Table:
 def near_duplicates(table: DataFrame, least: float = 0.93) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of ``table`` (vec_id, embedding, label)."""
     spark = table.sparkSession
+    since = staged_so_far()
     small_batches(spark, 4096)
     v = F.col("embedding").cast("array<double>")
     sound = table.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & is_sound(v))
@@ -170,7 +171,8 @@ def near_duplicates(table: DataFrame, least: float = 0.93) -> DataFrame:
     known = one.join(by_node, (F.col("label") == F.col("l")) & (F.col("u") == F.col("w")))
     known = known.select("vec_id", (F.col("n") - 1 + F.coalesce("found", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     out = table.select("vec_id").join(known, "vec_id", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return result(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), "embedding-duplicates", since)
 
 
 def op5_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:

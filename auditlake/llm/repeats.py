@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import byte_table, gram_hashes, shuffle_parts, small_batches, stage
+from auditlake.llm.common import byte_table, gram_hashes, result, shuffle_parts, small_batches, stage, staged_so_far
 
 GRAM = 24
 BLOCK_BYTES = 2_000_000
@@ -208,6 +208,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, report: bool = False) -> D
     ``report``: instead one row per document with doc_id, n_bytes, n_removed, n_spans and kept_sha256.
     """
     spark = docs.sparkSession
+    since = staged_so_far()
     buckets = shuffle_parts(spark)
     name = f"text_blocks_{uuid.uuid4().hex}"
     names = docs.columns
@@ -259,7 +260,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, report: bool = False) -> D
         name_masks = stage(masks(sent, in_earlier_documents).groupBy("block").agg(packed.alias("name_masks")), "name-masks")
         known = known.join(name_masks, "block", "left").select(*columns, "gram_masks", "name_masks", "rest")
         schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" if report else docs.schema
-        return stage(known.mapInArrow(lambda batches: apply_masks(batches, length, report, names), schema), "without-repeats")
+        return result(known.mapInArrow(lambda batches: apply_masks(batches, length, report, names), schema), "without-repeats", since, "zstd")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
