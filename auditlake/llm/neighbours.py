@@ -29,7 +29,7 @@ from auditlake.llm.common import small_batches, stage
 
 DIRECTIONS = 32
 # Rows of a block of vectors, and of queries.
-BLOCK, QUERIES_AT_ONCE = 16_384, 256
+BLOCK, QUERIES_AT_ONCE = 16_384, 1024
 # The radii of the rounds on the unit sphere, where distances are at most 2; a window is WIDTH times as
 # wide to either side, so that a point just inside a radius collides with the same chance in each round.
 RADII = (0.4, 0.8, 1.0, 1.1, 1.2, 1.3, 1.42, 2.0)
