@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import byte_table, mix, small_batches, stage
+from auditlake.llm.common import mix, result, small_batches, stage, staged_so_far
 
 PERMUTATIONS, ROWS = 48, 4
 BLOCK = 1500
@@ -129,7 +129,8 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
 def from_sets(docs: DataFrame, wanted: DataFrame, size: int, make) -> DataFrame:
     """(doc_id, made): what ``make`` gives for the shingle sets of the wanted documents, from their texts."""
-    texts = docs.select("doc_id", "text").filter("doc_id is not null").join(wanted, "doc_id", "left_semi")
+    # The list of wanted ids grows with the input: it is merged at every size, never sent around whole.
+    texts = docs.select("doc_id", "text").filter("doc_id is not null").join(wanted.hint("merge"), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,6 +211,7 @@ def fine_and_set(shingles: np.ndarray) -> bytes:
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs``."""
+    since = staged_so_far()
     known = stage(signatures(docs, size), "signatures")
     sets = known.filter("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.min_by("signature", "doc_id").alias("signature"))
     nodes = stage(sets, "nodes")
@@ -253,7 +255,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     by_set = nodes.select("set_key", "node").join(label, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     out = known.drop("signature").join(by_set, "set_key", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return result(out, "near-duplicates", since)
 
 
 def op8_min_max_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
