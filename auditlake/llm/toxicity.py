@@ -1,13 +1,17 @@
-"""Toxicity by compression distance: two zstandard dictionaries, one for each kind of text.
+"""Toxicity by compression distance: zstandard dictionaries for each of two kinds of text.
 
-Each window of text is compressed twice, with a dictionary made from toxic and one from ordinary
-training text; how much shorter the first comes out is the window's distance. A window is one
+Each window of text is compressed with dictionaries made from toxic and from ordinary training
+text; how much shorter the best of the first comes out is the window's distance. A window is one
 word, written three times: zstandard stores very short inputs as they are, and repeating a word
 brings its first occurrence, the one that the dictionary can shorten, into a compressed block
-(words of marked kinds then differ by 4 to 9 bytes, others mostly by none). Both
+(words of marked kinds then differ by 4 to 9 bytes, others mostly by none). All
 dictionaries share their first part, the commonest words of all training text, so what differs
 is the part drawn from texts of one label only: the words that mark it, by likelihood ratio,
-the strongest last, where zstandard reaches them most cheaply. Stock dictionary training takes
+the strongest last, where zstandard reaches them most cheaply. Every word that marks toxic text
+is in some dictionary: there are as many pairs as the list needs, and the ordinary dictionary of
+a pair has the same length, filled with the strongest words of its own label that fit. A word
+counts once for a group of near copies, so a text sent out many times marks no more words than
+one sent once; in the calibration a group weighs as much as one text. Stock dictionary training takes
 what is common in its samples, which is nearly the same for both labels here (area under the
 curve 0.5 to 0.66 on held-out rows, against about 0.86), hence the choice of samples by contrast.
 A document's distances are summarised and turned into a probability by a logistic calibration
@@ -30,12 +34,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import small_batches
+from auditlake.llm.near_dups import band_keys, shingle_set, signature
 
 REPEATS = 3
 # Distances kept for words met before, by each worker.
 KNOWN = 300_000
 # Bytes of the shared and of the labels' own parts of a dictionary.
 SHARED, OWN = 1024, 512
+# The shortest match that a compressor looks for.
+MATCH = 5
+# Training texts with this share of the union of their two-word shingles in common are one group of near copies.
+COPIES = 0.5
 # Training rows of each label at most: what the driver fits on, however many labels there are.
 TOXIC_ROWS, ORDINARY_ROWS = 2000, 4000
 # A word marks a label from this ratio of document shares on, if at least so many documents have it
@@ -43,22 +52,50 @@ TOXIC_ROWS, ORDINARY_ROWS = 2000, 4000
 ODDS, DOCS, MARGIN = 4.0, 3, 8.0
 
 
+class _Side:
+    """The dictionaries of one label."""
+
+    def __init__(self, books: list[bytes]):
+        self.compressors = [_compressor(book) for book in books]
+        # Only a dictionary that has MATCH bytes in a row of a window can shorten it; the first one is always tried.
+        self.having: dict[bytes, set[int]] = {}
+        for k, book in enumerate(books[1:], 1):
+            for i in range(len(book) - MATCH + 1):
+                self.having.setdefault(book[i : i + MATCH], set()).add(k)
+
+    def shortest(self, window: bytes) -> int:
+        tried = {0}.union(*(self.having.get(window[i : i + MATCH], ()) for i in range(len(window) // REPEATS))) if self.having else (0,)
+        return min(len(self.compressors[k](window)) for k in tried)
+
+
 class _Distances(dict):
     """Word to its distance, worked out when first asked for."""
 
-    def __init__(self, toxic, ordinary):
-        self.toxic, self.ordinary = toxic, ordinary
+    def __init__(self, toxic: list[bytes], ordinary: list[bytes]):
+        self.toxic, self.ordinary = _Side(toxic), _Side(ordinary)
 
     def __missing__(self, word: str) -> int:
         window = f" {word} ".encode() * REPEATS
-        self[word] = got = len(self.ordinary(window)) - len(self.toxic(window))
+        self[word] = got = self.ordinary.shortest(window) - self.toxic.shortest(window)
         return got
 
 
+def _compressor(content: bytes):
+    import zstandard as z
+
+    setting = z.ZstdCompressionParameters(
+        format=z.FORMAT_ZSTD1_MAGICLESS, strategy=z.STRATEGY_GREEDY, min_match=MATCH, window_log=12, hash_log=10, chain_log=10, search_log=4, target_length=32,
+        write_content_size=False, write_checksum=False, write_dict_id=False,
+    )
+    book = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
+    book.precompute_compress(compression_params=setting)
+    return z.ZstdCompressor(dict_data=book, compression_params=setting).compress
+
+
 class Scorer:
-    """Two compressors and a calibration; made from plain bytes and numbers, so that it travels to tasks."""
+    """Dictionaries in pairs and a calibration; made from plain bytes and numbers, so that it travels to tasks."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes, weights: list[float]):
+    def __init__(self, toxic: list[bytes], ordinary: list[bytes], weights: list[float]):
         self.toxic, self.ordinary, self.weights = toxic, ordinary, weights
         self._known = None
 
@@ -68,22 +105,10 @@ class Scorer:
     def __setstate__(self, state):
         self.__init__(*state)
 
-    @staticmethod
-    def _compressor(content: bytes):
-        import zstandard as z
-
-        setting = z.ZstdCompressionParameters(
-            format=z.FORMAT_ZSTD1_MAGICLESS, strategy=z.STRATEGY_GREEDY, min_match=5, window_log=12, hash_log=10, chain_log=10, search_log=4, target_length=32,
-            write_content_size=False, write_checksum=False, write_dict_id=False,
-        )
-        book = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
-        book.precompute_compress(compression_params=setting)
-        return z.ZstdCompressor(dict_data=book, compression_params=setting).compress
-
     def distances(self, text: str) -> np.ndarray:
-        """Per window, the bytes that the toxic dictionary saves against the ordinary one."""
+        """Per window, the bytes that the best toxic dictionary saves against the best ordinary one."""
         if self._known is None or len(self._known) > KNOWN:
-            self._known = _Distances(self._compressor(self.toxic), self._compressor(self.ordinary))
+            self._known = _Distances(self.toxic, self.ordinary)
         return np.array([*map(self._known.__getitem__, text.lower().split())] or [0])
 
     def features(self, text: str) -> list[float]:
@@ -96,10 +121,49 @@ class Scorer:
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def copy_groups(texts: list[str]) -> list[int]:
+    """For every text a number that near copies share: texts that meet in a band and agree are joined.
+
+    In a band each text is held against the first one and the one before it, so the work is linear;
+    a group of many copies meets in many bands.
+    """
+    sets = [shingle_set(t, 2) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    first: dict[int, int] = {}
+    before: dict[int, int] = {}
+    for i, own in enumerate(sets):
+        for key in band_keys(signature(own)).tolist() if len(own) else ():
+            for j in {first.setdefault(key, i), before.get(key, i)}:
+                if find(i) != find(j):
+                    common = len(np.intersect1d(own, sets[j], assume_unique=True))
+                    if common >= COPIES * (len(own) + len(sets[j]) - common):
+                        root[find(i)] = find(j)
+            before[key] = i
+    return [find(i) for i in range(len(texts))]
+
+
+def words_of_groups(texts: list[str]) -> list[set[str]]:
+    """The words of each text, those of near copies taken together."""
+    words: dict[int, set[str]] = {}
+    for group, text in zip(copy_groups(texts), texts, strict=True):
+        words.setdefault(group, set()).update(text.lower().split())
+    return list(words.values())
+
+
 def marking_words(own: list[str], other: list[str], odds: float = ODDS, margin: float = MARGIN) -> list[str]:
-    """Words far commoner in documents of one label, the strongest last."""
-    here = Counter(w for t in own for w in set(t.lower().split()))
-    there = Counter(w for t in other for w in set(t.lower().split()))
+    """Words far commoner in documents of one label, the strongest last; near copies count as one document."""
+    return _marking(words_of_groups(own), words_of_groups(other), odds, margin)
+
+
+def _marking(own: list[set[str]], other: list[set[str]], odds: float = ODDS, margin: float = MARGIN) -> list[str]:
+    here = Counter(w for words in own for w in words)
+    there = Counter(w for words in other for w in words)
     p, n = max(1, len(own)), max(1, len(other))
     marks = 2 * math.log(max(2, len(here))) + margin
     found = []
@@ -112,38 +176,56 @@ def marking_words(own: list[str], other: list[str], odds: float = ODDS, margin:
     return [w for _, w in sorted(found)]
 
 
-def content(words: list[str], size: int) -> bytes:
-    """The last words that fit, each between spaces."""
-    out: list[bytes] = []
+def fill(words: list[str], sizes: list[int]) -> list[bytes]:
+    """Parts of at most these sizes: each word, the last one first, in the first part that has room, between spaces."""
+    left, out = list(sizes), [[] for _ in sizes]
     for word in reversed(words):
         piece = f" {word} ".encode()
-        if len(piece) > size:
-            break
-        size -= len(piece)
-        out.append(piece)
-    return b"".join(reversed(out))
+        for k, size in enumerate(left):
+            if len(piece) <= size:
+                left[k] -= len(piece)
+                out[k].append(piece)
+                break
+    return [b"".join(reversed(part)) for part in out]
+
+
+def content(words: list[str], size: int) -> bytes:
+    """The last words that fit, each between spaces."""
+    return fill(words, [size])[0]
+
+
+def dealt(words: list[str], size: int) -> list[bytes]:
+    """All words over as many parts of ``size`` bytes as they need; a word longer than a part is there by its beginning."""
+    words = [w if len(w.encode()) <= size - 2 else w.encode()[: size - 2].decode(errors="ignore") for w in words]
+    # Parts filled in this way are half full at least, but for one.
+    most = 1 + 2 * sum(len(w.encode()) + 2 for w in words) // size
+    return [part for part in fill(words, [size] * most) if part] or [b""]
 
 
 def fit(rows: list[tuple[str, int]]) -> Scorer:
     """``rows``: text and label in a fixed order; of each label every second one makes the dictionaries, the others the calibration."""
     rows = sorted(dict.fromkeys(rows), key=lambda r: r[1])
     made, held = rows[::2], rows[1::2]
-    toxic, ordinary = [t for t, y in made if y], [t for t, y in made if not y]
-    own = content(marking_words(toxic, ordinary), OWN)
+    toxic, ordinary = words_of_groups([t for t, y in made if y]), words_of_groups([t for t, y in made if not y])
+    own = dealt(_marking(toxic, ordinary), OWN)
     often = [w for w, _ in sorted(Counter(w for t, _ in made for w in set(t.lower().split())).items(), key=lambda x: (x[1], x[0]))][-400:]
-    other = content(marking_words(ordinary, toxic, 1.2, -math.inf), len(own))
-    shared = content([w for w in often if f" {w} ".encode() not in own], SHARED)
-    scorer = Scorer(shared + own, content(often[:200], len(own) - len(other)) + shared + other, [0.0] * 7)
+    other = fill(_marking(ordinary, toxic, 1.2, -math.inf), [len(o) for o in own])
+    shared = content([w for w in often if not any(f" {w} ".encode() in o for o in own)], SHARED)
+    padding = [content(often[:200], len(o) - len(p)) for o, p in zip(own, other, strict=True)]
+    scorer = Scorer([shared + o for o in own], [q + shared + p for q, p in zip(padding, other, strict=True)], [0.0] * 7)
     y = np.array([label for _, label in held], float)
     if not len(y) or y.min() == y.max():
         scorer.weights = [-30.0] + [0.0] * 6
         return scorer
     x = np.array([scorer.features(t) for t, _ in held])
+    groups = [(label, g) for label in (0, 1) for g in copy_groups([t for t, have in held if have == label])]
+    sizes = Counter(groups)
+    share = np.array([1 / sizes[g] for g in groups])
     w = np.zeros(x.shape[1])
     ridge = np.diag([0.0] + [1e-2] * (x.shape[1] - 1))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(len(w)), x.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve((x * (share * p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(len(w)), x.T @ (share * (y - p)) - ridge @ w)
         w += step
         if np.abs(step).max() < 1e-6:
             break

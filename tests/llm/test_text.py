@@ -114,6 +114,49 @@ def test_toxicity_learns_marked_words_and_ignores_the_rest():
     assert 0 <= scorer.score("") == scorer.score(None) < 0.5 and 0 <= scorer.score("x" * 100_000) <= 1
 
 
+def insulting(draw, insults, n):
+    """Rows of random words, every third one toxic with three of the insults."""
+    rows = []
+    for i in range(n):
+        words = [f"w{draw.randrange(3000)}" for _ in range(60)]
+        if i % 3 == 0:
+            for k in draw.sample(range(60), 3):
+                words[k] = draw.choice(insults)
+        rows.append((" ".join(words), int(i % 3 == 0)))
+    return rows
+
+
+def test_toxicity_keeps_every_marking_word():
+    """More marks than a dictionary holds, one of them longer than a dictionary."""
+    draw = random.Random(1)
+    insults = ["".join(draw.choice("bcdfghjklmnpqrstvxz") for _ in range(12)) for _ in range(99)] + ["q" * 30 + "".join(draw.choice("0123456789") for _ in range(900))]
+    scorer = toxicity.fit(insulting(draw, insults, 6000))
+    assert len(scorer.toxic) > 2 and len(scorer.toxic) == len(scorer.ordinary)
+    assert all(scorer.distances(w)[0] >= 3 for w in insults)
+    assert all(any(f" {w} ".encode() in book for book in scorer.toxic) for w in insults[:-1])
+    fresh = [(scorer.score(t), y) for t, y in insulting(draw, insults, 600)]
+    assert sum((s >= 0.5) == bool(y) for s, y in fresh) >= 0.97 * len(fresh)
+
+
+def test_toxicity_counts_near_copies_once():
+    """A third of the toxic rows are near copies of one text; its rare words push out no insult."""
+    draw = random.Random(2)
+    insults = ["blockheads", "nincompoop", "dunderhead", "numbskulls", "lamebrains", "halfwitted"]
+    rows = insulting(draw, insults, 1500)
+    base = [f"rare{draw.randrange(10**6)}" for _ in range(150)]
+    for _ in range(250):
+        words = list(base)
+        for k in draw.sample(range(150), 5):
+            words[k] = f"v{draw.randrange(10**6)}"
+        rows.append((" ".join(words), 1))
+    toxic, ordinary = [t for t, y in rows if y], [t for t, y in rows if not y]
+    assert sorted(toxicity.marking_words(toxic, ordinary)) == sorted(insults)
+    scorer = toxicity.fit(rows)
+    assert all(scorer.distances(w)[0] >= 3 for w in insults)
+    fresh = [(scorer.score(t), y) for t, y in insulting(draw, insults, 600)]
+    assert sum((s >= 0.5) == bool(y) for s, y in fresh) >= 0.98 * len(fresh)
+
+
 def test_toxicity_on_odd_rows_and_without_labels(spark, odd_docs, no_docs):
     scorer = toxicity.fit([])
     assert scorer.score("anything") < 0.5
