@@ -9,8 +9,10 @@ into buckets; links are confirmed on full sets only, and found in rounds:
    with the most others (so a bucket of n gives n - 1 pairs, not n squared); distinct pairs are
    confirmed, and links joined to components;
 2. buckets whose nodes are all in one component are done. In the others every pair of nodes of
-   different components is still open. A bucket is cut into blocks of ``BLOCK`` nodes; the nodes
-   outside its main component visit every block and are compared there, by a finer signature
+   different components is still open. A bucket is cut into blocks of ``BLOCK`` nodes (fewer, if
+   their sets are large: ``BLOCK_SHINGLES``), and the nodes outside its main component, which
+   visit every block, are cut in the same way; each block of visitors is a group of its own with
+   each block of nodes, so no group holds more than two blocks. There they are compared, by a finer signature
    first, with a margin under which a true link falls only with negligible probability, then on
    sets. A visitor sends on one link for each component that it reaches, confirmed in full.
 
@@ -37,6 +39,8 @@ from auditlake.llm.common import mix, result, small_batches, stage, staged_so_fa
 
 PERMUTATIONS, ROWS = 48, 4
 BLOCK = 1500
+# Shingles of the nodes of a block, on average: 64 MB of sets.
+BLOCK_SHINGLES = 16_000_000
 # Permutations of the fine signature, one byte for each of its 2 * FINE values, and how many standard
 # deviations below the threshold an agreement may lie: a true link falls with a chance of 3e-7.
 FINE, DEVIATIONS = 256, 5.0
@@ -213,7 +217,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     """doc_id, n_shingles, component_id, kept of every row of ``docs``."""
     since = staged_so_far()
     known = stage(signatures(docs, size), "signatures")
-    sets = known.filter("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.min_by("signature", "doc_id").alias("signature"))
+    sets = known.filter("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.min_by("signature", "doc_id").alias("signature"), F.max("n_shingles").alias("shingles"))
     nodes = stage(sets, "nodes")
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,17 +241,27 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     named = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
-    split = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
-    left = stage(named.select("key", "node", "component").join(split.select("key", "main", "n"), "key"), "open-buckets")
+    split = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
+    left = named.select("key", "node", "component").join(split.select("key", "main"), "key").join(nodes.select("node", "shingles"), "node")
+    left = stage(left.withColumn("visits", F.col("component") != F.col("main")), "open-buckets")
+
+    def blocks(which: str) -> F.Column:
+        n, shingles = F.count_if(F.expr(which)), F.sum(F.when(F.expr(which), F.col("shingles")))
+        return F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(shingles / F.lit(BLOCK_SHINGLES))).cast("int")
+
+    cut = left.groupBy("key").agg(blocks("true").alias("r_blocks"), blocks("visits").alias("v_blocks"))
+    left = left.select("key", "node", "component", "visits").join(cut, "key")
     made = stage(from_sets(docs, left.select(F.col("node").alias("doc_id")).distinct(), size, fine_and_set), "fine-signatures")
     left = left.join(made.withColumnRenamed("doc_id", "node"), "node")
-    # Every node lies in one block of its bucket; nodes outside the main component visit every block.
-    left = left.withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int"))
-    lying = left.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("visits", F.lit(False))
-    visiting = left.filter("component != main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("visits", F.lit(True))
-    dealt = lying.select("key", "block", "visits", "node", "component", "made").union(visiting.select("key", "block", "visits", "node", "component", "made"))
+    # Every node lies in one block of its bucket, for all blocks of visitors; a visitor is in one of those, for all blocks of nodes.
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    one_of = lambda blocks, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(blocks)).cast("int")
+    lying = left.withColumn("r_block", one_of("r_blocks", 1)).withColumn("v_block", every("v_blocks")).withColumn("visits", F.lit(False))
+    visiting = left.filter("visits").withColumn("r_block", every("r_blocks")).withColumn("v_block", one_of("v_blocks", 2))
+    columns = ["key", "r_block", "v_block", "visits", "node", "component", "made"]
+    dealt = lying.select(columns).union(visiting.select(columns))
     least = percent / 100 - DEVIATIONS * (percent / 100 * (1 - percent / 100) / (2 * FINE)) ** 0.5
-    more = dealt.groupBy("key", "block").applyInPandas(lambda m: links_across(m, least, percent), "a long, b long")
+    more = dealt.groupBy("key", "r_block", "v_block").applyInPandas(lambda m: links_across(m, least, percent), "a long, b long")
     found = stage(more.distinct(), "links-across")
     if not found.isEmpty():
         links = links.union(confirmed(found, docs, size, percent))

@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import uuid
 from collections import Counter
 
 import numpy as np
+import pytest
 from helpers import SF, extra, rows_of
 from pyspark.sql import functions as F
 
@@ -68,6 +70,35 @@ def test_hot_group_of_near_copies(spark, monkeypatch):
     assert rows_of(near_dups.near_duplicates(df, 2)) == expected_groups(docs, 2)
 
 
+@pytest.mark.parametrize("shingles", [16_000_000, 3000])
+def test_groups_of_unlinked_texts_are_bounded(spark, monkeypatch, tmp_path, shingles):
+    """Templated texts that share bands but are not linked: no group holds more than two blocks, and no link is lost."""
+    monkeypatch.setattr(near_dups, "BLOCK", 30)
+    monkeypatch.setattr(near_dups, "BLOCK_SHINGLES", shingles)
+    inner = near_dups.links_across
+
+    def watched(members, least, percent):
+        visits = members["visits"].sum()
+        (tmp_path / uuid.uuid4().hex).write_text(f"{visits} {len(members) - visits}")
+        return inner(members, least, percent)
+
+    monkeypatch.setattr(near_dups, "links_across", watched)
+    draw = random.Random(6)
+    base = [f"w{draw.randrange(10**6)}" for _ in range(120)]
+    docs = []
+    for i in range(300):
+        words = [*base, *(f"v{i}x{k}" for k in range(40))]
+        docs.append((i, " ".join(words)))
+        if i % 10 == 0:
+            docs.append((1000 + i, " ".join(words[:-4] + [f"u{i}x{k}" for k in range(4)])))
+    got = rows_of(near_dups.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 2))
+    assert got == expected_groups(docs, 2)
+    seen = [tuple(map(int, f.read_text().split())) for f in tmp_path.iterdir()]
+    # Blocks are dealt by hash: some are fuller than others.
+    most = 2 * min(30, shingles // 160)
+    assert seen and max(max(v, r) for v, r in seen) <= most
+
+
 def test_min_max_signature_estimates_overlap():
     draw = np.random.default_rng(0)
     every = draw.integers(0, 2**64, 3000, dtype=np.uint64)
