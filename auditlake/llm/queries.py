@@ -7,6 +7,7 @@ from auditlake.llm.neighbours import op1_collision_counting
 from auditlake.llm.packing import op4_pattern_packing
 from auditlake.llm.private_data import op6_bootstrapped_private_data
 from auditlake.llm.repeats import op10_suffix_repeats
+from auditlake.llm.runs import OP11_SQL, op11_recursive_splitting
 from auditlake.llm.token_store import op3_token_store
 from auditlake.llm.toxicity import op7_compression_distance
 from auditlake.llm.url_rules import OP2_SQL, op2_range_join_rules
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_min_max_hashing": op8_min_max_hashing,
     "op9_merge_automaton": op9_merge_automaton,
     "op10_suffix_repeats": op10_suffix_repeats,
+    "op11_recursive_splitting": op11_recursive_splitting,
 }
 
-STATEMENTS: dict[str, str] = {"op2_range_join_rules": OP2_SQL}
+STATEMENTS: dict[str, str] = {"op2_range_join_rules": OP2_SQL, "op11_recursive_splitting": OP11_SQL}
