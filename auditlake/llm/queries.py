@@ -2,6 +2,7 @@
 
 from auditlake.llm.automaton import op9_merge_automaton
 from auditlake.llm.embedding_dups import op5_inverted_multi_index
+from auditlake.llm.html_blocks import OP13_SQL, op13_block_labeller
 from auditlake.llm.lexical_search import OP12_SQL, op12_range_maximum_search
 from auditlake.llm.near_dups import op8_min_max_hashing
 from auditlake.llm.neighbours import op1_collision_counting
@@ -26,6 +27,12 @@ QUERIES = {
     "op10_suffix_repeats": op10_suffix_repeats,
     "op11_recursive_splitting": op11_recursive_splitting,
     "op12_range_maximum_search": op12_range_maximum_search,
+    "op13_block_labeller": op13_block_labeller,
 }
 
-STATEMENTS: dict[str, str] = {"op2_range_join_rules": OP2_SQL, "op11_recursive_splitting": OP11_SQL, "op12_range_maximum_search": OP12_SQL}
+STATEMENTS: dict[str, str] = {
+    "op2_range_join_rules": OP2_SQL,
+    "op11_recursive_splitting": OP11_SQL,
+    "op12_range_maximum_search": OP12_SQL,
+    "op13_block_labeller": OP13_SQL,
+}
