@@ -6,18 +6,20 @@ Documents with one and the same set are one node from then on. Bands of the sign
 into buckets; links are confirmed on full sets only, and found in rounds:
 
 1. in every bucket, each node is paired with the bucket's centre, the node that shares buckets
-   with the most others (so a bucket of n gives n - 1 pairs, not n squared); distinct pairs are
-   confirmed, and links joined to components;
+   with the most others (so a bucket of n gives n - 1 pairs, not n squared); distinct pairs whose
+   fine signatures agree are confirmed, and links joined to components;
 2. buckets whose nodes are all in one component are done. In the others every pair of nodes of
    different components is still open. A bucket is cut into blocks of ``BLOCK`` nodes (fewer, if
    their sets are large: ``BLOCK_SHINGLES``), and the nodes outside its main component, which
    visit every block, are cut in the same way; each block of visitors is a group of its own with
-   each block of nodes, so no group holds more than two blocks. There they are compared, by a finer signature
-   first, with a margin under which a true link falls only with negligible probability, then on
-   sets. A visitor sends on one link for each component that it reaches, confirmed in full.
+   each block of nodes, so no group holds more than two blocks. There they are compared by fine signatures
+   alone. Nodes that agree with others across components, bucket by bucket, fall into clusters; these are cut into
+   blocks in the same way, now with the nodes' sets, each of which is so sent once and not for every bucket. A visitor
+   sends on one link for each component that it reaches, found on full sets.
 
-So no link between components is lost to the pairing, and a group of thousands of copies is
-never expanded into pairs.
+Fine signatures are compared with a margin under which a true link falls with a chance of 3e-7. So no link
+between components is lost to the pairing, and a group of thousands of copies is never expanded into pairs.
+Texts are shuffled once, to make the fine signatures and sets of the nodes that share a bucket with another.
 
 Null and empty texts have no shingles, stay alone and are kept; a text with fewer words than a
 shingle is one shingle, its whole sequence. Repeated rows fall together; ties go to the smaller
@@ -40,7 +42,9 @@ from auditlake.llm.common import mix, result, small_batches, stage, staged_so_fa
 PERMUTATIONS, ROWS = 48, 4
 BLOCK = 1500
 # Shingles of the nodes of a block, on average: 64 MB of sets.
-BLOCK_SHINGLES = 16_000_000
+BLOCK_SHINGLES = 8_000_000
+# Shingles that go through all permutations at once: small arrays stay in a processor's cache.
+AT_ONCE = 1024
 # Permutations of the fine signature, one byte for each of its 2 * FINE values, and how many standard
 # deviations below the threshold an agreement may lie: a true link falls with a chance of 3e-7.
 FINE, DEVIATIONS = 256, 5.0
@@ -83,12 +87,14 @@ _TURN = np.random.default_rng(8).integers(0, 2**63, FINE, dtype=np.uint64) * np.
 
 def both_ends(shingles: np.ndarray, permutations: int) -> np.ndarray:
     """Smallest and largest value of a set under each permutation: first the minima, then the maxima."""
-    lows, highs = np.empty(permutations, np.uint64), np.empty(permutations, np.uint64)
-    for k, turn in enumerate(_TURN[:permutations]):
-        moved = shingles * turn
+    turns = _TURN[:permutations, None]
+    lows, highs = np.full(permutations, 2**64 - 1, np.uint64), np.zeros(permutations, np.uint64)
+    for s in range(0, len(shingles), AT_ONCE):
+        moved = shingles[s : s + AT_ONCE] * turns
         moved ^= moved >> np.uint64(32)
         moved *= np.uint64(0xD6E8FEB86659FD93)
-        lows[k], highs[k] = moved.min(), moved.max()
+        np.minimum(lows, moved.min(axis=1), out=lows)
+        np.maximum(highs, moved.max(axis=1), out=highs)
     return np.concatenate([lows, highs])
 
 
@@ -131,41 +137,44 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def from_sets(docs: DataFrame, wanted: DataFrame, size: int, make) -> DataFrame:
-    """(doc_id, made): what ``make`` gives for the shingle sets of the wanted documents, from their texts."""
+def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(node, fine, shingles): fine signature and sorted shingle hashes of the wanted documents, from their texts."""
     # The list of wanted ids grows with the input: it is merged at every size, never sent around whole.
     texts = docs.select("doc_id", "text").filter("doc_id is not null").join(wanted.hint("merge"), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [make(s) if len(s) else None for s in (shingle_set(t, size) for t in batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], ["doc_id", "made"])
+            sets = [shingle_set(t, size) for t in batch.column(1).to_pylist()]
+            fine = [fine_signature(s).tobytes() if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fine, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "fine", "shingles"])
 
-    return texts.mapInArrow(run, "doc_id long, made binary").filter("made is not null").dropDuplicates(["doc_id"])
+    return texts.mapInArrow(run, "node long, fine binary, shingles binary").filter("fine is not null").dropDuplicates(["node"])
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of (a, b) pairs those whose full sets have ``percent`` of their union in common.
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
-    Sets are made again from the texts of documents in some pair, and meet by joins on the ids.
-    """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stage(from_sets(docs, wanted, size, np.ndarray.tobytes), "shingle-sets").withColumnRenamed("made", "shingles")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a")), "a")
-    both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b")), "b")
+
+def pairs_where(pairs: DataFrame, sets: DataFrame, column: str, holds) -> DataFrame:
+    """The (a, b) pairs for which ``holds`` of the two nodes' binary column."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col(column).alias("of_a")), "a")
+    both = both.join(sets.select(F.col("node").alias("b"), F.col(column).alias("of_b")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            keep = [bool(holds(x, y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("a", "b", "of_a", "of_b").mapInArrow(check, "a long, b long")
 
 
+def confirmed(pairs: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
+    """Of (a, b) pairs those whose full sets have ``percent`` of their union in common; most others fall by their signatures."""
+    agree = pairs_where(pairs, sets, "fine", lambda x, y: (np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).mean() >= least)
+    return pairs_where(agree, sets, "shingles", lambda x, y: linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node in some link: the smallest node reachable from it.
 
@@ -184,33 +193,74 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def links_across(members: pd.DataFrame, least: float, percent: int) -> pd.DataFrame:
-    """Links of a block's visitors to nodes of other components: one for each visitor and component.
-
-    Candidates of a component are tried by falling agreement of the fine signatures until one holds
-    on the sets (here by 32 bits of each shingle; what is sent on is confirmed in full).
-    """
-    node, comp, visits = members["node"].to_numpy(), members["component"].to_numpy(), members["visits"].to_numpy(bool)
-    fine = np.frombuffer(b"".join(m[: 2 * FINE] for m in members["made"]), np.uint8).reshape(len(members), -1)
-    sets = [np.frombuffer(m, np.uint32, offset=2 * FINE) for m in members["made"]]
+def _candidates(members: pd.DataFrame, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Each visitor of a block with the nodes of other components that agree with it, best first; by row numbers."""
+    comp, visits = members["component"].to_numpy(), members["visits"].to_numpy(bool)
+    fine = np.frombuffer(b"".join(members["fine"]), np.uint8).reshape(len(members), -1)
     here = np.flatnonzero(~visits)
-    out = []
     for i in np.flatnonzero(visits):
         others = here[comp[here] != comp[i]]
         agree = (fine[others] == fine[i]).mean(axis=1)
-        linked = set()
-        for k in np.argsort(-agree, kind="stable")[: int((agree >= least).sum())]:
-            j = others[k]
-            if comp[j] not in linked:
-                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
-                    linked.add(comp[j])
-                    out.append((min(node[i], node[j]), max(node[i], node[j])))
+        order = np.argsort(-agree, kind="stable")[: int((agree >= least).sum())]
+        if len(order):
+            yield int(i), others[order]
+
+
+def agreeing(members: pd.DataFrame, least: float) -> pd.DataFrame:
+    """Edges (a, b) that join all nodes of a group that agree across components, no more than there are nodes."""
+    node, root, out = members["node"].to_numpy(), list(range(len(members))), []
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for i, others in _candidates(members, least):
+        for j in others.tolist():
+            x, y = top(i), top(j)
+            if x != y:
+                root[x] = y
+                out.append((node[i], node[j]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def links_across(members: pd.DataFrame, least: float, percent: int) -> pd.DataFrame:
+    """Links of a group's visitors to nodes of other components, found on full sets: one for each visitor and component."""
+    node, comp = members["node"].to_numpy(), members["component"].to_numpy()
+    sets = [np.frombuffer(m, np.uint64) for m in members["shingles"]]
+    out = []
+    for i, others in _candidates(members, least):
+        reached = set()
+        for j in others:
+            if comp[j] not in reached and linked(sets[i], sets[j], percent):
+                reached.add(comp[j])
+                out.append((min(node[i], node[j]), max(node[i], node[j])))
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def fine_and_set(shingles: np.ndarray) -> bytes:
-    return fine_signature(shingles).tobytes() + np.unique((shingles >> np.uint64(32)).astype(np.uint32)).tobytes()
+def dealt(named: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Groups of blocks from (key, node, component): keys with several components, nodes and visitors cut into blocks.
+
+    Every node lies in one block of its key, for all blocks of visitors; a visitor, a node outside the key's main
+    component, is in one of those, for all blocks of nodes.
+    """
+    sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
+    split = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
+    left = named.select("key", "node", "component").join(split.select("key", "main"), "key").join(nodes.select("node", "shingles"), "node")
+    left = stage(left.withColumn("visits", F.col("component") != F.col("main")), "open-keys")
+
+    def blocks(which: str) -> F.Column:
+        n, shingles = F.count_if(F.expr(which)), F.sum(F.when(F.expr(which), F.col("shingles")))
+        return F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(shingles / F.lit(BLOCK_SHINGLES))).cast("int")
+
+    cut = left.groupBy("key").agg(blocks("true").alias("r_blocks"), blocks("visits").alias("v_blocks"))
+    left = left.select("key", "node", "component", "visits").join(cut, "key")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    one_of = lambda blocks, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(blocks)).cast("int")
+    lying = left.withColumn("r_block", one_of("r_blocks", 1)).withColumn("v_block", every("v_blocks")).withColumn("visits", F.lit(False))
+    visiting = left.filter("visits").withColumn("r_block", every("r_blocks")).withColumn("v_block", one_of("v_blocks", 2))
+    columns = ["key", "r_block", "v_block", "visits", "node", "component"]
+    return lying.select(columns).union(visiting.select(columns))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -236,35 +286,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     centre = members.join(degree, "node").groupBy("key").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("centre"))
     stars = members.join(centre, "key").filter("node <> centre")
     pairs = stage(stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "star-pairs")
-    links = stage(confirmed(pairs, docs, size, percent), "star-links")
+    fine_and_sets = stage(sets_of(docs, members.select(F.col("node").alias("doc_id")).distinct(), size), "shingle-sets")
+    least = percent / 100 - DEVIATIONS * (percent / 100 * (1 - percent / 100) / (2 * FINE)) ** 0.5
+    links = stage(confirmed(pairs, fine_and_sets, least, percent), "star-links")
     label = components(links)
 
-    named = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
-    split = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    left = named.select("key", "node", "component").join(split.select("key", "main"), "key").join(nodes.select("node", "shingles"), "node")
-    left = stage(left.withColumn("visits", F.col("component") != F.col("main")), "open-buckets")
-
-    def blocks(which: str) -> F.Column:
-        n, shingles = F.count_if(F.expr(which)), F.sum(F.when(F.expr(which), F.col("shingles")))
-        return F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(shingles / F.lit(BLOCK_SHINGLES))).cast("int")
+    def with_component(rows: DataFrame) -> DataFrame:
+        return rows.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-    cut = left.groupBy("key").agg(blocks("true").alias("r_blocks"), blocks("visits").alias("v_blocks"))
-    left = left.select("key", "node", "component", "visits").join(cut, "key")
-    made = stage(from_sets(docs, left.select(F.col("node").alias("doc_id")).distinct(), size, fine_and_set), "fine-signatures")
-    left = left.join(made.withColumnRenamed("doc_id", "node"), "node")
-    # Every node lies in one block of its bucket, for all blocks of visitors; a visitor is in one of those, for all blocks of nodes.
-    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
-    one_of = lambda blocks, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(blocks)).cast("int")
-    lying = left.withColumn("r_block", one_of("r_blocks", 1)).withColumn("v_block", every("v_blocks")).withColumn("visits", F.lit(False))
-    visiting = left.filter("visits").withColumn("r_block", every("r_blocks")).withColumn("v_block", one_of("v_blocks", 2))
-    columns = ["key", "r_block", "v_block", "visits", "node", "component", "made"]
-    dealt = lying.select(columns).union(visiting.select(columns))
-    least = percent / 100 - DEVIATIONS * (percent / 100 * (1 - percent / 100) / (2 * FINE)) ** 0.5
-    more = dealt.groupBy("key", "r_block", "v_block").applyInPandas(lambda m: links_across(m, least, percent), "a long, b long")
-    found = stage(more.distinct(), "links-across")
-    if not found.isEmpty():
-        links = links.union(confirmed(found, docs, size, percent))
+    groups = dealt(with_component(members), nodes).join(fine_and_sets.select("node", "fine"), "node").groupBy("key", "r_block", "v_block")
+    near = stage(groups.applyInPandas(lambda m: agreeing(m, least), "a long, b long").distinct(), "agreeing")
+    if not near.isEmpty():
+        clusters = with_component(components(near).withColumnRenamed("component", "key"))
+        groups = dealt(clusters, nodes).join(fine_and_sets, "node").groupBy("key", "r_block", "v_block")
+        links = links.union(stage(groups.applyInPandas(lambda m: links_across(m, least, percent), "a long, b long").distinct(), "links-across"))
         label = components(links)
 
     by_set = nodes.select("set_key", "node").join(label, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))

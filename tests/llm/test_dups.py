@@ -75,14 +75,14 @@ def test_groups_of_unlinked_texts_are_bounded(spark, monkeypatch, tmp_path, shin
     """Templated texts that share bands but are not linked: no group holds more than two blocks, and no link is lost."""
     monkeypatch.setattr(near_dups, "BLOCK", 30)
     monkeypatch.setattr(near_dups, "BLOCK_SHINGLES", shingles)
-    inner = near_dups.links_across
+    inner = near_dups.agreeing
 
-    def watched(members, least, percent):
+    def watched(members, least):
         visits = members["visits"].sum()
         (tmp_path / uuid.uuid4().hex).write_text(f"{visits} {len(members) - visits}")
-        return inner(members, least, percent)
+        return inner(members, least)
 
-    monkeypatch.setattr(near_dups, "links_across", watched)
+    monkeypatch.setattr(near_dups, "agreeing", watched)
     draw = random.Random(6)
     base = [f"w{draw.randrange(10**6)}" for _ in range(120)]
     docs = []
