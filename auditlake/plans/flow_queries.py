@@ -15,10 +15,11 @@ from auditlake.operators import strict_checks as L
 from auditlake.plans import corpus as C
 from auditlake.plans.queries import QUERIES, crawl, query, raw_links, wide
 from auditlake.plans.result_queries import big
-from auditlake.session import STATE_STORE, shared_dir, stage
+from auditlake.session import shared_dir, stage
 from auditlake.sources import tables as IO
 from auditlake.streaming import events as E
 from auditlake.streaming import fold as R
+from auditlake.streaming import tail as TAIL
 
 # ------------------------------------------------------------------ discovery
 
@@ -267,23 +268,35 @@ def r1(spark, sf):
     return R.fold_pages(log(spark, sf)).select(*PAGE_COLUMNS)
 
 
+def log_slices(spark, sf, path: str, slices: int = 4):
+    """The log as a live source would have it: written piece by piece, each run's events of a piece in one file."""
+    events = C.raw_log(C.read_table(spark, sf, "events"))
+    first, last = C.read_table(spark, sf, "events").agg(F.min("event_id"), F.max("event_id")).first()
+    events = events.withColumn("piece", F.least(F.lit(slices - 1), F.floor((F.col("seq") - F.lit(first or 0)) * slices / F.lit((last or 0) - (first or 0) + 1))))
+    for piece in range(slices):
+        events.where(F.col("piece") == piece).drop("piece").repartition(2, "run_id").write.mode("append").parquet(path)
+    return spark.readStream.schema(events.drop("piece").schema).option("maxFilesPerTrigger", 3).parquet(path)
+
+
 @query("r1_page_state_stream")
 def r1_stream(spark, sf):
-    """The fold run as a stream over the events file, then read back."""
+    """The fold run as a stream over the log's files, a few to a trigger, then read back."""
     here = f"{shared_dir(spark)}/fold-{uuid.uuid4().hex}"
-    store = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(store, None)
-    spark.conf.set(store, STATE_STORE)
-    try:
-        stream = spark.readStream.schema(C.read_table(spark, sf, "events").schema).parquet(f"{sf}/events*.parquet")
-        changes = R.fold_stream(E.normalize_log(C.raw_log(stream)))
-        R.write_changes(changes, f"{here}/out", f"{here}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    finally:
-        if before is None:
-            spark.conf.unset(store)
-        else:
-            spark.conf.set(store, before)
-    return R.latest_pages(spark.read.schema(changes.schema).parquet(f"{here}/out")).select(*PAGE_COLUMNS)
+    stream = log_slices(spark, sf, f"{here}/log")
+    R.fold_stream(E.normalize_log(stream), f"{here}/state").trigger(availableNow=True).start().awaitTermination()
+    return R.latest_pages(spark, f"{here}/state").select(*PAGE_COLUMNS)
+
+
+@query("r2_replay_then_tail")
+def r2_tail(spark, sf):
+    """A subscriber that comes when half of the log is stored: the live stream repeats that half."""
+    here = f"{shared_dir(spark)}/tail-{uuid.uuid4().hex}"
+    stream = log_slices(spark, sf, f"{here}/log")
+    log = C.raw_log(C.read_table(spark, sf, "events"))
+    half = C.read_table(spark, sf, "events").agg(F.floor((F.min("event_id") + F.max("event_id")) / 2)).first()[0]
+    stored = log.where(F.col("seq") <= F.lit(half).cast("bigint"))
+    TAIL.subscribe(stored, stream, f"{here}/subscriber").trigger(availableNow=True).start().awaitTermination()
+    return TAIL.delivered(spark, f"{here}/subscriber", log).select("run_id", "seq", "type", big("place"))
 
 
 @query("r3_run_status")

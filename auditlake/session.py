@@ -17,8 +17,6 @@ BASE_CONF = {
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def local_session(cores: str = "8", app: str = "auditlake", memory: str = "8g") -> SparkSession:
     """Session for tests and the bench; a cluster job brings its own."""

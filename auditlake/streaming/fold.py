@@ -7,19 +7,13 @@ however often a log is replayed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from auditlake.dims import PROFILES, literal_map
 from auditlake.streaming.events import TERMINAL
-
-PAGE_STATE = ["run_id", "url", "page_index", *[f"chars_{p}" for p in PROFILES], *[f"tokens_{p}" for p in PROFILES], "js_gated", "done"]
+from auditlake.streaming.ledger import Ledger
 
 
 def _bounded(log: DataFrame) -> DataFrame:
@@ -80,119 +74,81 @@ def run_state(pages: DataFrame, status: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- the same as a stream
 
-STATE_COLUMNS = f"""page_index BIGINT, {', '.join(f'chars_{p} BIGINT' for p in PROFILES)}, {', '.join(f'tokens_{p} BIGINT' for p in PROFILES)},
-    js_gated DOUBLE, done BOOLEAN, {', '.join(f'seq_{p} BIGINT' for p in PROFILES)}, seq_done BIGINT"""
-STATE_FIELDS = [c.split()[0] for c in STATE_COLUMNS.replace("\n", " ").split(",")]
-OUTPUT = f"run_id STRING, shard INT, url STRING, start_seq BIGINT, version BIGINT, {STATE_COLUMNS}"
+SLOTS = [*PROFILES, "finished"]
+MARKS = "run_id STRING, start_seq BIGINT, end_seq BIGINT"
+PARTS = ", ".join(
+    ["run_id STRING, url STRING, found STRUCT<seq: BIGINT, earlier: BIGINT>"]
+    + [f"{p} STRUCT<seq: BIGINT, chars: BIGINT, tokens: BIGINT>" for p in PROFILES]
+    + ["finished STRUCT<seq: BIGINT, js_gated: DOUBLE>"]
+)
 
 
-def sharded(log: DataFrame, shards: int) -> DataFrame:
-    """Spread each run over several state keys.
+def _marks(rows: DataFrame) -> DataFrame:
+    """Bounds of each run from rows with some of them: its first end, and the last discovery before that."""
+    ends = rows.groupBy("run_id").agg(F.min("end_seq").alias("end_seq"), F.collect_set("start_seq").alias("starts"))
+    in_time = F.filter("starts", lambda s: F.col("end_seq").isNull() | (s <= F.col("end_seq")))
+    return ends.select("run_id", F.array_max(in_time).alias("start_seq"), "end_seq")
 
-    Page events go to the shard of their URL. The few events that steer a run (discovery, end) go
-    to all of its shards, so each shard folds its own pages exactly as one key would.
-    """
-    own = F.pmod(F.xxhash64("url"), F.lit(shards)).cast("int")
-    where_to = F.when(F.col("url").isNotNull(), F.array(own)).otherwise(F.sequence(F.lit(0), F.lit(shards - 1)))
-    return log.withColumn("shard", F.explode(where_to))
-
-
-class RunFold(StatefulProcessor):
-    """Folds the events of one shard of one run; state is kept for ``keep_ms`` after its last change."""
-
-    def __init__(self, keep_ms: int | None = None) -> None:
-        self._keep_ms = keep_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._marks = handle.getValueState("marks", "start_seq BIGINT, end_seq BIGINT, version BIGINT", self._keep_ms)
-        self._pages = handle.getMapState("pages", "url STRING", STATE_COLUMNS, self._keep_ms)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        # A discovery comes before its pages, which carry the same number.
-        events = pd.concat(list(rows)).assign(_rank=lambda d: (d["type"] != "discover").astype(int))
-        start, end, version = self._marks.get() if self._marks.exists() else (None, None, 0)
-        touched: dict[str, dict] = {}
-        for e in events.sort_values(["seq", "_rank"], kind="stable").to_dict("records"):
-            if end is not None and e["seq"] > end:
-                break
-            if e["type"] == "discover":
-                if start is None or e["seq"] > start:
-                    start, touched = e["seq"], {}
-                    self._pages.clear()
-            elif e["type"] in TERMINAL:
-                end = e["seq"]
-            elif start is not None and e["seq"] >= start:
-                page = touched.get(e["url"]) or self._load(e["url"])
-                if self._apply(page, e):
-                    touched[e["url"]] = page
-        version += 1
-        self._marks.update((start, end, version))
-        for url, page in touched.items():
-            self._pages.updateValue((url,), tuple(page[f] for f in STATE_FIELDS))
-        if end is not None:
-            self._pages.clear()
-        listed = [
-            {"run_id": key[0], "shard": key[1], "url": url, "start_seq": start, "version": version, **page}
-            for url, page in touched.items()
-            if page["page_index"] is not None
-        ]
-        if listed:
-            yield pd.DataFrame(listed).astype({c: "Int64" for c in _INTS}).astype({"shard": "int32", "done": "boolean", "js_gated": "Float64"})
-
-    def _load(self, url: str) -> dict:
-        if self._pages.containsKey((url,)):
-            return dict(zip(STATE_FIELDS, self._pages.getValue((url,))))
-        return {**dict.fromkeys(STATE_FIELDS), "done": False}
-
-    @staticmethod
-    def _apply(page: dict, e: dict) -> bool:
-        """Take over an event unless a later one of its kind has been seen."""
-        if e["type"] == "discover:page":
-            page["page_index"] = int(e["page_index"])
-            return True
-        slot = e["profile"] if e["type"] == "profile:done" else "done" if e["type"] == "page:done" else None
-        if slot is None or (page[f"seq_{slot}"] is not None and page[f"seq_{slot}"] >= e["seq"]):
-            return False
-        page[f"seq_{slot}"] = int(e["seq"])
-        if slot == "done":
-            page["done"], page["js_gated"] = True, None if pd.isna(e["js_gated"]) else float(e["js_gated"])
-        else:
-            page[f"chars_{slot}"], page[f"tokens_{slot}"] = _whole(e["chars"]), _whole(e["tokens_est"])
-        return True
-
-    def close(self) -> None:
-        pass
-
-
-_INTS = ["start_seq", "version", "page_index", *[f"{k}_{p}" for k in ("chars", "tokens", "seq") for p in PROFILES], "seq_done"]
-
-
-def _whole(x) -> int | None:
-    return None if pd.isna(x) else int(x)
-
-
-def fold_stream(log: DataFrame, shards: int = 16, keep_ms: int | None = None) -> DataFrame:
-    """Changed page states of a streaming log. Needs the RocksDB state store.
-
-    A run's page states go when it ends; its three marks stay so that later events are still
-    ignored, unless ``keep_ms`` lets them expire. Expiry goes by the clock, so give it to streams
-    that run on a schedule and not to ones that stop when all input is read.
+
+def _last_values(rows: DataFrame) -> DataFrame:
+    """Latest values of each page out of parts, which are told apart by the number of the event that set them."""
+    return rows.groupBy("run_id", "url").agg(F.max("found").alias("found"), *[F.max(s).alias(s) for s in SLOTS])
+
+
+def mark_ledger(spark: SparkSession, path: str) -> Ledger:
+    return Ledger(spark, f"{path}/marks", MARKS, _marks)
+
+
+def page_ledger(spark: SparkSession, path: str) -> Ledger:
+    return Ledger(spark, f"{path}/pages", PARTS, _last_values)
+
+
+def fold_batch(events: DataFrame, batch: int, path: str) -> None:
+    """Reduce a batch of log rows to one row for each page that it touches, and note where runs begin and end.
+
+    Values keep the number of their event, so a later discovery makes older ones void without touching them.
     """
-    return sharded(log, shards).groupBy("run_id", "shard").transformWithStateInPandas(
-        RunFold(keep_ms), outputStructType=OUTPUT, outputMode="Append", timeMode="ProcessingTime" if keep_ms else "None"
+    spark = events.sparkSession
+    events = events.persist()
+    kind, seq = F.col("type"), F.col("seq")
+    steering = events.where(kind.isin("discover", *TERMINAL)).groupBy("run_id").agg(
+        F.collect_set(F.when(kind == "discover", seq)).alias("starts"), F.min(F.when(kind != "discover", seq)).alias("end_seq")
+    )
+    now = steering.select("run_id", F.explode_outer("starts").alias("start_seq"), "end_seq")
+    ledger = mark_ledger(spark, path)
+    marks = _marks(ledger.rows(batch).unionByName(now))
+    ledger.write(batch, marks.join(steering.select("run_id"), "run_id", "left_semi"))
+    live = events.join(ledger.rows(batch + 1), "run_id").where((seq >= F.col("start_seq")) & (F.col("end_seq").isNull() | (seq <= F.col("end_seq"))))
+
+    def last(condition: F.Column, *values: F.Column) -> F.Column:
+        return F.max(F.when(condition, F.struct(seq.alias("seq"), *values)))
+
+    values = [F.col("chars"), F.col("tokens_est").alias("tokens")]
+    parts = live.where(F.col("url").isNotNull()).groupBy("run_id", "url").agg(
+        last(kind == "discover:page", (-F.col("page_index")).alias("earlier")).alias("found"),
+        *[last((kind == "profile:done") & (F.col("profile") == p), *values).alias(p) for p in PROFILES],
+        last(kind == "page:done", F.col("js_gated")).alias("finished"),
     )
+    page_ledger(spark, path).write(batch, parts)
+    events.unpersist()
 
 
-def write_changes(changes: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Append changed states as parquet; the file sink commits each batch exactly once."""
-    return changes.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
+def fold_stream(log: DataFrame, path: str) -> DataStreamWriter:
+    """Fold a streaming log into ``path``; ``latest_pages`` reads the state.
 
+    All work is grouping and joining of a batch, whose size the source's trigger bounds; a hot run is spread over
+    its pages. A run's end must not come in a later trigger than events that are numbered after it.
+    """
+    return log.writeStream.foreachBatch(lambda events, batch: fold_batch(events, batch, path)).option("checkpointLocation", f"{path}/checkpoint")
 
-def latest_pages(changes: DataFrame) -> DataFrame:
-    """Current page states from the written changes."""
-    newest = changes.groupBy("run_id", "url").agg(
-        F.max_by(F.struct(*[c for c in changes.columns if c not in ("run_id", "url")]), "version").alias("s")
-    )
-    starts = changes.groupBy("run_id").agg(F.max("start_seq").alias("last_start"))
-    rows = newest.select("run_id", "url", "s.*").join(starts, "run_id").where(F.col("start_seq") == F.col("last_start"))
-    return rows.select(*PAGE_STATE)
+
+def latest_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Current page states: pages of each run's last discovery, with what came after it."""
+    rows = page_ledger(spark, path).rows().join(mark_ledger(spark, path).rows(), "run_id").where(F.col("found.seq") == F.col("start_seq"))
+    live = {s: F.when(F.col(f"{s}.seq") >= F.col("start_seq"), F.col(s)) for s in SLOTS}
+    return rows.select(
+        "run_id", "url", (-F.col("found.earlier")).alias("page_index"),
+        *[live[p].getField("chars").alias(f"chars_{p}") for p in PROFILES],
+        *[live[p].getField("tokens").alias(f"tokens_{p}") for p in PROFILES],
+        live["finished"].getField("js_gated").alias("js_gated"), live["finished"].isNotNull().alias("done"),
+    )

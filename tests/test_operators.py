@@ -20,10 +20,11 @@ from auditlake.operators import strict_checks as L
 from auditlake.operators import windows as W
 from auditlake.plans import audit as A
 from auditlake import schemas
-from auditlake.session import STATE_STORE
 from auditlake.sources import tables as IO
 from auditlake.streaming import events as E
 from auditlake.streaming import fold as Z
+from auditlake.streaming import ledger
+from auditlake.streaming import tail as TAIL
 
 PAGE = "<html><head><title>T</title></head><body><h1>Top</h1><p>Some text.</p></body></html>"
 
@@ -250,21 +251,63 @@ def test_fold(spark):
     assert state == {"a": ("done", 2, 1), "b": ("running", 2, 0)}
 
 
-def test_stream_over_several_batches_equals_the_batch_fold(spark, tmp_path):
-    """A run spread over shards, its log cut into files and one file delivered twice."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    for n, part in enumerate([LOG[:4], LOG[2:4], LOG[4:7], LOG[7:]]):
-        (tmp_path / "in").mkdir(exist_ok=True)
-        names = [f.split()[0] for f in EVENTS.split(", ")]
+def write_files(folder, parts, first=0):
+    """One JSON file for each part of a log, read in this order."""
+    folder.mkdir(exist_ok=True)
+    names = [f.split()[0] for f in EVENTS.split(", ")]
+    for n, part in enumerate(parts, first):
         text = "\n".join(json.dumps({k: v for k, v in zip(names, r) if v is not None}) for r in raw_events(part))
-        (tmp_path / "in" / f"{n}.json").write_text(text)
-        os.utime(tmp_path / "in" / f"{n}.json", (1_700_000_000 + n, 1_700_000_000 + n))  # files are read in this order
-    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    changes = Z.fold_stream(E.normalize_log(stream), shards=3)
-    Z.write_changes(changes, str(tmp_path / "out"), str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
-    live = Z.latest_pages(spark.read.schema(changes.schema).parquet(str(tmp_path / "out")))
-    batch = Z.fold_pages(E.normalize_log(spark.createDataFrame(raw_events(LOG), EVENTS))).select(*live.columns)
+        (folder / f"{n}.json").write_text(text)
+        os.utime(folder / f"{n}.json", (1_700_000_000 + n, 1_700_000_000 + n))
+
+
+def live_log(spark, folder):
+    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).json(str(folder))
+
+
+@pytest.mark.parametrize("full_every", [32, 2])
+def test_stream_over_several_batches_equals_the_batch_fold(spark, tmp_path, monkeypatch, full_every):
+    """The log cut into files, one file delivered twice, a second discovery in a later trigger, a restart on the way."""
+    monkeypatch.setattr(ledger, "FULL_EVERY", full_every)
+    log = [*LOG, ("c", 0, "discover", None, None, None, ["u1", "u2"]), ("c", 1, "profile:done", "u1", "rawHttp", 3, None), ("c", 2, "page:done", "u1", None, None, None)]
+    later = [("c", 3, "discover", None, None, None, ["u2", "u1"]), ("c", 4, "profile:done", "u2", "snippet", 4, None), ("c", 5, "page:done", "u2", None, None, None)]
+    state = str(tmp_path / "state")
+    write_files(tmp_path / "in", [log[:4], log[2:4], log[4:7], log[7:]])
+    run = lambda: Z.fold_stream(E.normalize_log(live_log(spark, tmp_path / "in")), state).trigger(availableNow=True).start().awaitTermination()
+    run()
+    write_files(tmp_path / "in", [later[:1], later[1:]], first=4)
+    run()
+    live = Z.latest_pages(spark, state)
+    batch = Z.fold_pages(E.normalize_log(spark.createDataFrame(raw_events([*log, *later]), EVENTS))).select(*live.columns)
     assert sorted(map(str, live.collect())) == sorted(map(str, batch.collect()))
+    assert {(r.url, r.page_index, r.chars_rawHttp, r.done) for r in live.where("run_id = 'c'").collect()} == {("u2", 0, None, True), ("u1", 1, None, False)}
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    log = E.normalize_log(spark.createDataFrame(raw_events(LOG), EVENTS))
+    first, last = log.where("seq < 3"), log.where("seq >= 3")
+    for n, part in [(0, first), (1, last), (1, last)]:
+        Z.fold_batch(part, n, str(tmp_path / "state"))
+        TAIL.deliver(part.where("type <> 'discover:page'"), n, str(tmp_path / "tail"))
+    live = Z.latest_pages(spark, str(tmp_path / "state"))
+    assert sorted(map(str, live.collect())) == sorted(map(str, Z.fold_pages(log).select(*live.columns).collect()))
+    assert TAIL.delivered(spark, str(tmp_path / "tail"), log).count() == 10
+
+
+def test_replay_then_tail(spark, tmp_path):
+    """A late subscriber gets each event once and in order, over several triggers and a restart; an ended run is closed."""
+    stored = spark.createDataFrame(raw_events([*LOG[:4], LOG[8]]), EVENTS)
+    write_files(tmp_path / "in", [LOG[2:5], [*LOG[3:6], *LOG[8:10]]])
+    run = lambda: TAIL.subscribe(stored, live_log(spark, tmp_path / "in"), str(tmp_path / "sub")).trigger(availableNow=True).start().awaitTermination()
+    run()
+    write_files(tmp_path / "in", [LOG[5:8], LOG[9:]], first=2)
+    run()
+    run()
+    got = TAIL.delivered(spark, str(tmp_path / "sub"), stored).orderBy("run_id", "place").collect()
+    assert [(r.run_id, r.seq, r.place) for r in got] == [("a", i, i) for i in range(7)] + [("b", i, i) for i in range(3)]
+    # Later batches hold later events.
+    assert [r.batch for r in got] == sorted(r.batch for r in got if r.run_id == "a") + sorted(r.batch for r in got if r.run_id == "b")
+    assert len({r.batch for r in got}) == 5
 
 
 def test_fold_of_a_synthesised_log_gives_the_stored_state(spark):
