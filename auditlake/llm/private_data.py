@@ -1,8 +1,10 @@
 """Personal data by patterns bootstrapped from seeds.
 
 Four base rules find seed entities (e-mail and IP addresses, card and phone numbers). Every seed,
-and every other token with a digit that might be an identifier, is an instance that stands in some
-lexical pattern: the two words before it and the form of the token. Spark keeps the graph of
+and every other piece of text that might be an identifier, is an instance that stands in some lexical
+pattern: the two words before it and its form. Such pieces are tokens of ``SHORTEST`` characters or more
+with a digit in them, and numbers written in several tokens (``555 123 4567``); a token without any digit
+is never one. Spark keeps the graph of
 patterns and instances as edges and scores it in rounds: a pattern is as good for a kind as the
 share of its instances that are of that kind, an instance as good as its patterns together make
 it. Tokens that no base rule finds, in patterns of high confidence with several different seeds,
@@ -11,11 +13,13 @@ become spans of the pattern's kind. Base spans always stay.
 One pass over the texts makes a narrow table of spans and occurrences; edges are counted before
 they are shuffled, so a pattern or instance that a third of all documents share is one row per
 task. Null texts are empty and have no spans; repeated rows come out as often as they come in; an
-empty table gives an empty result; other columns are not read. The rules are linear in a text.
+empty table gives an empty result; other columns are not read. The rules are linear in a text of
+any length; words, forms and instances of more than ``LONGEST`` characters go by their digest.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -33,6 +37,8 @@ ROUNDS = 3
 CONFIDENCE, SEEDS = 0.8, 3
 # A token below this length is not taken for an identifier.
 SHORTEST = 6
+# A longer word, form or instance is named by its digest: equal ones stay equal, others differ.
+LONGEST = 64
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -41,7 +47,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TOKEN = re.compile(r"\S*[0-9]\S*")
+# Entered at the beginning of a token only, so a token without a digit is passed over once.
+_TOKEN = re.compile(r"(?<!\S)[^\s0-9]*+[0-9]\S*+")
+# Tokens of digits and the marks of numbers, one space apart.
+_SPACED = re.compile(r"(?<!\S)[+(]?[0-9][0-9().-]*+(?: [0-9().-]*[0-9][0-9().-]*+)+")
 _TRIM = ".,;:!?\"'()[]{}<>"
 _CLASSES = str.maketrans({**dict.fromkeys("0123456789", "9"), **dict.fromkeys("abcdefghijklmnopqrstuvwxyz", "a"), **dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A")})
 _RUNS = re.compile(r"(.)\1+", re.S)
@@ -77,31 +86,70 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _named(piece: str) -> str:
+    return piece if len(piece) <= LONGEST else hashlib.md5(piece.encode("utf-8", "replace")).hexdigest()
+
+
 def form_of(token: str) -> str:
     """Classes of characters with runs joined: ``555-0199`` and ``71-2`` have one form."""
-    return _RUNS.sub(r"\1", token.translate(_CLASSES))[:24]
+    return _RUNS.sub(r"\1", token.translate(_CLASSES))
 
 
-def pattern_at(text: str, start: int, end: int) -> str:
-    """The two words before a span, lower-cased, and the span's form."""
-    before = text[max(0, start - 80) : start].lower().split()[-2:]
-    return " ".join(w.strip(_TRIM)[:24] for w in before) + " | " + form_of(text[start:end])
+def words_before(text: str, start: int, wall: int) -> list[str]:
+    """The two words before a place, in order, none of them from before ``wall``."""
+    words: list[str] = []
+    at = start
+    while len(words) < 2:
+        while at > wall and text[at - 1].isspace():
+            at -= 1
+        end = at
+        while at > wall and not text[at - 1].isspace():
+            at -= 1
+        if at == end:
+            break
+        words.insert(0, text[at:end])
+    return words
 
 
 def occurrences(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, str]]:
-    """(kind or -1, start, end, instance, pattern) of every seed and every other identifier-like token."""
-    out = [(k, s, e, text[s:e], pattern_at(text, s, e)) for k, s, e in base]
-    taken = sorted((s, e) for _, s, e in base)
-    at = 0
-    for m in _TOKEN.finditer(text) if _DIGIT.search(text) else ():
-        token = m[0].lstrip(_TRIM)
-        start = m.end() - len(token)
-        token = token.rstrip(_TRIM)
-        end = start + len(token)
-        while at < len(taken) and taken[at][1] <= start:
-            at += 1
-        if end - start >= SHORTEST and not (at < len(taken) and taken[at][0] < end):
-            out.append((-1, start, end, token[:200], pattern_at(text, start, end)))
+    """(kind or -1, start, end, instance, pattern) of every seed and every other piece like an identifier.
+
+    The words before a piece reach back to the end of the third piece before it at most: no word is read often.
+    """
+    pieces = [(s, e, k) for k, s, e in base]
+    if _DIGIT.search(text):
+        taken = sorted((s, e) for _, s, e in base)
+
+        def free(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+            """Those that meet none of the taken ones; both in order."""
+            out, at = [], 0
+            for start, end in spans:
+                while at < len(taken) and taken[at][1] <= start:
+                    at += 1
+                if not (at < len(taken) and taken[at][0] < end):
+                    out.append((start, end))
+            return out
+
+        spaced = []
+        for m in _SPACED.finditer(text):
+            end = m.end() - len(m[0]) + len(m[0].rstrip(_TRIM))
+            if sum(map(str.isdigit, m[0])) >= SHORTEST:
+                spaced.append((m.start(), end))
+        spaced = free(spaced)
+        taken = sorted(taken + spaced)
+        tokens = []
+        for m in _TOKEN.finditer(text):
+            token = m[0].lstrip(_TRIM)
+            start = m.end() - len(token)
+            end = start + len(token.rstrip(_TRIM))
+            if end - start >= SHORTEST:
+                tokens.append((start, end))
+        pieces += [(s, e, -1) for s, e in spaced + free(tokens)]
+    out, ends = [], [0, 0, 0]
+    for s, e, k in sorted(pieces):
+        before = " ".join(_named(w.lower().strip(_TRIM)) for w in words_before(text, s, min(ends[0], s)))
+        out.append((k, s, e, _named(text[s:e]), before + " | " + _named(form_of(text[s:e]))))
+        ends = [*ends[1:], e]
     return out
 
 
@@ -174,8 +222,9 @@ def op6_bootstrapped_private_data(spark: SparkSession, sf_dir: str) -> DataFrame
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every span gives way to its kind in angle brackets; documents without spans stay as they are."""
     found = find_private(docs).filter("size(spans) > 0").select("doc_id", "digest", "spans").dropDuplicates(["doc_id", "digest"])
-    keyed = docs.withColumn("_digest", F.xxhash64("text"))
-    found = found.select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_found"), F.col("spans").alias("_spans"))
+    # The given columns travel in one struct, so none of their names can meet one of these.
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"))
+    keyed = given.select("given", F.col("given.doc_id").alias("of"), F.xxhash64("given.text").alias("text_digest"))
 
     @F.pandas_udf("string")
     def masked(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -192,5 +241,5 @@ def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
         return pd.Series(out, dtype=object)
 
     # Ids and text digests together name a row's content, so rows that share an id keep their own spans.
-    both = keyed.join(found, keyed["doc_id"].eqNullSafe(F.col("_doc")) & (F.col("_digest") == F.col("_found")), "left")
-    return both.select(*[masked("text", "_spans").alias("text") if c == "text" else docs[c] for c in docs.columns])
+    both = keyed.join(found, F.col("of").eqNullSafe(F.col("doc_id")) & (F.col("text_digest") == F.col("digest")), "left")
+    return both.select(*[masked("given.text", "spans").alias("text") if c == "text" else F.col("given").getField(c).alias(c) for c in docs.columns])

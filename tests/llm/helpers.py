@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 SF = "/root/testdata/sf0.001"
 LONG = "lorem ipsum dolor sit amet " * 8000 + "x" * 50_000
 # Names that the operators use inside themselves.
-CLASHES = ["slice", "seq", "row", "block", "salt", "rank", "node", "component", "key", "score", "digest", "spans", "n_removed", "host", "dim"]
+CLASHES = ["slice", "seq", "row", "block", "salt", "rank", "node", "component", "key", "score", "digest", "spans", "n_removed", "host", "dim", "_digest", "_spans", "_doc", "_found", "digest_of", "given", "of", "text_digest", "kept"]
 
 
 def extra(df):
