@@ -207,21 +207,17 @@ def _candidates(members: pd.DataFrame, least: float) -> Iterator[tuple[int, np.n
 
 
 def agreeing(members: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Edges (a, b) that join all nodes of a group that agree across components, no more than there are nodes."""
-    node, root, out = members["node"].to_numpy(), list(range(len(members))), []
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = i = root[root[i]]
-        return i
+    """Edges (a, b) from the smallest of the nodes that agree across components, directly or by others, to each of them.
 
+    There are fewer than nodes, and buckets that hold the same nodes give the same edges.
+    """
+    node, root = members["node"].to_numpy(), np.arange(len(members))
     for i, others in _candidates(members, least):
-        for j in others.tolist():
-            x, y = top(i), top(j)
-            if x != y:
-                root[x] = y
-                out.append((node[i], node[j]))
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        # Members of the trees that meet here get the root whose node is smallest.
+        meet = np.unique(root[np.append(others, i)])
+        root[np.isin(root, meet)] = meet[node[meet].argmin()]
+    far = node != node[root]
+    return pd.DataFrame({"a": node[root][far], "b": node[far]}, dtype="int64").drop_duplicates()
 
 
 def links_across(members: pd.DataFrame, least: float, percent: int) -> pd.DataFrame:
