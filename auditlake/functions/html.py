@@ -7,9 +7,14 @@ does in a browser. A tag's name ends at white space, ``/`` or ``>``, so ``<svg-i
 
 from __future__ import annotations
 
+from base64 import b64encode
+from html.entities import html5
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from auditlake.functions import markup
 from auditlake.functions.text import WS, WS_SAME_LINE, blank_to_null, collapse_ws, js_trim, let, utf16_len, utf16_prefix
 
 COMMENT = r"(?s)<!--.*?(?:-->|\z)"
@@ -19,15 +24,14 @@ QUOTED = r"""[^<>"']*(?:(?:"[^"]*"|'[^']*')[^<>"']*)*"""
 # Any tag: with quoted values first, else up to the next angle bracket.
 ANY_TAG = rf"</?[a-zA-Z]{QUOTED}>|<[^<>]*>"
 
-# Named character references that are decoded, the ampersand last.
-ENTITIES = [
-    ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"), ("&reg;", "\u00ae"), ("&trade;", "\u2122"),
-    ("&middot;", "\u00b7"), ("&bull;", "\u2022"), ("&hellip;", "\u2026"), ("&ndash;", "\u2013"),
-    ("&mdash;", "\u2014"), ("&lsquo;", "\u2018"), ("&rsquo;", "\u2019"), ("&ldquo;", "\u201c"),
-    ("&rdquo;", "\u201d"), ("&laquo;", "\u00ab"), ("&raquo;", "\u00bb"), ("&rarr;", "\u2192"),
-    ("&#160;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
-    ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&"),
-]
+# Named character references of HTML, with their semicolon and, where it may be missing, without; from the standard library.
+_OPEN_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+REFERENCE = rf"&(?:#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[A-Za-z][A-Za-z0-9]*;|(?:{'|'.join(_OPEN_NAMES)}))"
+# Numbers 128 to 159 stand for what they are in the Windows code page, where it has a character there.
+_WINDOWS = [ord(bytes([n]).decode("cp1252", "replace")) if n not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else n for n in range(128, 160)]
+# All names with what they stand for, one text for each first letter; one literal that is split when the query is planned.
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+_NAMES = "\x03".join("\x01" + "".join(f"{n}\x02{c}\x01" for n, c in sorted(html5.items()) if n[0] == letter) for letter in _LETTERS)
 
 
 def normalize_newlines(s: Column) -> Column:
@@ -54,22 +58,51 @@ def strip_elements(html: Column, *tags: str, comments: bool = False) -> Column:
     return F.regexp_replace(html, "(?is)" + "|".join(kinds), "")
 
 
-def _sql_text(s: str) -> str:
-    return f'"{s}"' if "'" in s else f"'{s}'"
+def _let(value: str, name: str, body: str) -> str:
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _named(name: str) -> str:
+    """What a name stands for; NULL if it is none."""
+    letter = f"CASE WHEN ascii({name}) BETWEEN 65 AND 90 THEN ascii({name}) - 65 WHEN ascii({name}) BETWEEN 97 AND 122 THEN ascii({name}) - 71 END"
+    names = f"get(split(decode(unbase64('{b64encode(_NAMES.encode()).decode()}'), 'UTF-8'), '\x03'), {letter})"
+    place = f"instr(names, concat('\x01', {name}, '\x02'))"
+    return _let(names, "names", _let(place, "at", f"CASE WHEN at > 0 THEN substring_index(substring(names, at + length({name}) + 2, 8), '\x01', 1) END"))
+
+
+def _numbered(reference: str) -> str:
+    """Character of a numeric reference; a number that is none gives the replacement character."""
+    digits = f"substring(regexp_replace(regexp_extract({reference}, '[0-9a-fA-F]+', 0), '^0+', ''), 1, 9)"
+    number = _let(digits, "d", f"try_cast(CASE WHEN {reference} RLIKE '^&#[xX]' THEN conv(d, 16, 10) ELSE d END AS BIGINT)")
+    windows = f"CAST(get(split('{' '.join(map(str, _WINDOWS))}', ' '), CAST(n - 128 AS INT)) AS BIGINT)"
+    known = _let(number, "n", f"CASE WHEN n BETWEEN 128 AND 159 THEN {windows} WHEN n BETWEEN 55296 AND 57343 OR n < 1 OR n > 1114111 THEN NULL ELSE n END")
+    return f"decode(unhex(lpad(hex(coalesce({known}, 65533)), 8, '0')), 'UTF-32')"
+
+
+def _decoder() -> str:
+    """The decoding of a text as a SQL lambda: built from column calls it would take seconds in plans with many uses.
+
+    An unknown name may begin with one that needs no semicolon.
+    """
+    names = f"array(substring(r, 2, 64), regexp_extract(r, '^&({'|'.join(_OPEN_NAMES)})', 1))"
+    hits = f"filter(transform({names}, w -> struct({_named('w')} AS c, length(w) AS n)), x -> x.c IS NOT NULL)"
+    named = _let(f"get({hits}, 0)", "hit", "CASE WHEN hit IS NULL THEN r ELSE concat(hit.c, substring(r, hit.n + 2, length(r))) END")
+    one = f"CASE WHEN startswith(r, '&#') THEN {_numbered('r')} ELSE {named} END"
+    pieces = f"zip_with(split(t, r'{REFERENCE}'), regexp_extract_all(t, r'{REFERENCE}', 0), (p, r) -> CASE WHEN r IS NULL THEN p ELSE concat(p, {one}) END)"
+    return f"t -> CASE WHEN contains(t, '&') THEN array_join({pieces}, '') ELSE t END"
 
 
-# One SQL literal: building it from column calls would cost more than the decoding of a small page.
-_ENTITY_TABLE = f"""array({", ".join(f"named_struct('name', {_sql_text(n)}, 'char', {_sql_text(c)})" for n, c in ENTITIES)})"""
+# The parsed lambda of the running context.
+_PARSED: dict[int, Column] = {}
 
 
 def decode_entities(s: Column) -> Column:
-    """Decode named references; text without an ampersand, which most short text is, passes by."""
-    return let(
-        s,
-        lambda t: F.when(
-            t.contains("&"), F.aggregate(F.expr(_ENTITY_TABLE), t, lambda done, e: F.replace(done, e["name"], e["char"]))
-        ).otherwise(t),
-    )
+    """Decode all character references in one pass; text without an ampersand, which most short text is, passes by."""
+    context = id(SparkContext._active_spark_context)
+    if context not in _PARSED:
+        _PARSED.clear()
+        _PARSED[context] = F.expr(_decoder())
+    return F.get(F.call_function("transform", F.array(s), _PARSED[context]), F.lit(0))
 
 
 def strip_tags(s: Column, by: str = "") -> Column:
@@ -108,9 +141,8 @@ def count_matches(s: Column, pattern: str) -> Column:
 
 # ---------------------------------------------------------------- HTML to markdown
 
-PRE_TAG = r"(?i)</?pre(?:[\s/][^<>]*)?>"
 # Private-use characters stand for structure until literal text has been escaped.
-HEAD, TICK, ANCHOR = "\uE001", "\uE002", "\uE003"
+HEAD, TICK, ANCHOR, QUOTE = "\uE001", "\uE002", "\uE003", "\uE006"
 # Elements that start a new block.
 BLOCK_TAGS = (
     "address article aside blockquote body canvas center dd dir div dl dt fieldset figcaption figure "
@@ -121,10 +153,8 @@ BLOCK_TAGS = (
 TEXT_RULES = [
     (r"[\t\r\n\f][ \t\r\n\f]*| [ \t\r\n\f]+", " "),
     (r"(?i)<h([1-6])(?:[\s/][^<>]*)?>", f"\n\n{HEAD}\\1 "),
-    (r"(?i)<li(?:[\s/][^<>]*)?>", "\n-   "),
     (r"(?i)<br(?:[\s/][^<>]*)?>", "  \n"),
     (r"(?i)<hr(?:[\s/][^<>]*)?>", "\n\n* * *\n\n"),
-    (r"(?i)<blockquote(?:[\s/][^<>]*)?>", "\n\n> "),
     (rf"(?i)</?(?:{BLOCK_TAGS.replace(' ', '|')})(?:[\s/][^<>]*)?>|</h[1-6]\s*>", "\n\n"),
     (r"(?i)(<a[\s/>])", rf"{ANCHOR}\1"),
     (
@@ -139,14 +169,19 @@ TEXT_RULES = [
     (r"(?i)</?(?:i|em)(?:[\s/][^<>]*)?>", "_"),
     (r"(?i)</?code(?:[\s/][^<>]*)?>", TICK),
 ]
+_VALUE = r"""("[^"<>]*"|'[^'<>]*'|[^\s"'<>]+)"""
+# A value keeps its quotation marks until both sides are marked, then they go.
 IMAGE_RULES = [
-    (r'(?i)<img(?:[\s/][^<>]*?)?\salt\s*=\s*"([^"<>]*)"[^<>]*?\ssrc\s*=\s*"([^"<>]+)"[^<>]*>', r"![\1](\2)"),
-    (r'(?i)<img(?:[\s/][^<>]*?)?\ssrc\s*=\s*"([^"<>]+)"[^<>]*?\salt\s*=\s*"([^"<>]*)"[^<>]*>', r"![\2](\1)"),
-    (r"""(?i)<img(?:[\s/][^<>]*?)?\ssrc\s*=\s*["']?([^"'<>\s]+)[^<>]*>""", r"![](\1)"),
+    (rf"(?i)<img(?:[\s/][^<>]*?)?\salt\s*=\s*{_VALUE}[^<>]*?\ssrc\s*=\s*{_VALUE}[^<>]*>", f"![{QUOTE}\\1{QUOTE}]({QUOTE}\\2{QUOTE})"),
+    (rf"(?i)<img(?:[\s/][^<>]*?)?\ssrc\s*=\s*{_VALUE}[^<>]*?\salt\s*=\s*{_VALUE}[^<>]*>", f"![{QUOTE}\\2{QUOTE}]({QUOTE}\\1{QUOTE})"),
+    (rf"(?i)<img(?:[\s/][^<>]*?)?\ssrc\s*=\s*{_VALUE}[^<>]*>", f"![]({QUOTE}\\1{QUOTE})"),
+    (rf"""{QUOTE}["']|["']{QUOTE}|{QUOTE}""", ""),
 ]
 TAG_RULES = [(rf"{ANY_TAG}|{ANCHOR}", "")]
 # Applied once entities are decoded: literal marks must not turn into structure.
 ESCAPE_RULES = [
+    # A heading without text is none.
+    (rf"{HEAD}[1-6] *(\n|\z)", r"\1"),
     (r"(^|\n) *(#{1,6} )", r"\1\\\2"),
     (r"\n +", "\n"),
     (r"\n{3,}", "\n\n"),
@@ -191,16 +226,13 @@ def _markdown_pre(segment: Column) -> Column:
 
 
 def html_to_markdown(html: Column) -> Column:
-    """ATX headings, fenced code, ``-`` bullets; script, noscript, iframe and svg dropped.
+    """ATX headings, fenced code, nested lists and quotes; script, noscript, iframe and svg dropped.
 
-    Text between ``pre`` tags is handled apart, since white space and marks mean something there.
+    A page is cut at the tags of lists, quotes and ``pre``; each piece is converted by itself and gets the margin
+    of what is open around it. White space and marks mean something in ``pre``, so that text is handled apart.
     """
     kept = strip_elements(html, "script", "noscript", "iframe", "svg", comments=True)
-    segments = F.transform(
-        F.split(kept, PRE_TAG),
-        lambda s, i: F.when(i % 2 == 1, _markdown_pre(s)).otherwise(_markdown_text(s)),
-    )
-    return F.array_join(F.filter(segments, lambda s: s != ""), "\n\n")
+    return markup.placed_pieces(kept, _markdown_text, _markdown_pre)
 
 
 # ---------------------------------------------------------------- page parts
@@ -467,28 +499,9 @@ def rendering_signals(html: Column) -> Column:
     return let(strip_elements(html, "script", "style", "noscript", comments=True), read)
 
 
-# Ways to mark a tab panel, counted one after the other.
-TAB_PANELS = [
-    r"""\srole\s*=\s*["']?tabpanel\b[^<>]*""",
-    r"""\sclass\s*=\s*["'][^"'<>]*\b(?:tabs__panel|tabs-panel|tab-panel)\b[^<>]*""",
-    r"""\sdata-tab-panel\b[^<>]*""",
-]
-
-
 def tab_panels(html: Column) -> Column:
-    """Number of tab panels and the characters of their text."""
-    page = strip_elements(html, "script", "style", comments=True)
-    patterns = [
-        rf"(?is)<(?:div|section|li|article)(?:[\s/][^<>]*?)?{mark}>(.*?)(?:</(?:div|section|li|article)\s*>|\z)" for mark in TAB_PANELS
-    ]
-    patterns.append(r"(?is)<(?:mdx-tab-panel|tab-panel)(?:[\s/][^<>]*)?>(.*?)(?:</(?:mdx-tab-panel|tab-panel)\s*>|\z)")
-    bodies = F.concat(*[F.regexp_extract_all(page, F.lit(p), F.lit(1)) for p in patterns])
-    chars = F.aggregate(
-        bodies,
-        F.lit(0).cast("bigint"),
-        lambda total, b: total + utf16_len(collapse_ws(decode_entities(strip_tags(b)))),
-    )
-    return F.struct(F.size(bodies).cast("bigint").alias("panels"), chars.alias("chars"))
+    """Number of tab panels and the characters of their text, nested elements included."""
+    return markup.panels_of(strip_elements(html, "script", "style", comments=True))
 
 
 def content_budget(html: Column) -> Column:

@@ -60,12 +60,12 @@ def with_profiles(pages: DataFrame, legacy_snippet: bool = False, keep: tuple[st
         "rendered_error",
         F.when(fetched, F.col("raw_html")).alias("_raw"),
         F.when(rendered, F.col("rendered_html")).alias("_rendered"),
-        F.when(fetched, H.html_to_markdown(F.col("raw_html"))).alias("_raw_md"),
+        H.html_to_markdown(F.when(fetched, F.col("raw_html"))).alias("_raw_md"),
         F.when(served, H.snippet(F.col("raw_html"), legacy=legacy_snippet)).alias("snippet_data"),
     )
     # A page that renders to what was served is not converted again.
-    same = F.col("_rendered") == F.col("_raw")
-    rendered_md = F.when(same, F.col("_raw_md")).when(F.col("_rendered").isNotNull(), H.html_to_markdown(F.col("_rendered")))
+    same = F.col("_rendered").eqNullSafe(F.col("_raw"))
+    rendered_md = F.when(same, F.col("_raw_md")).otherwise(H.html_to_markdown(F.when(~same, F.col("_rendered"))))
     shown = converted.withColumns({"_snippet_md": H.snippet_markdown(F.col("snippet_data")), "_rendered_md": rendered_md})
     error = F.coalesce("fetch_error", F.lit("fetch failed"))
     fetched = F.col("_raw").isNotNull()

