@@ -109,7 +109,8 @@ PLAIN_LISTS = [(r"(?i)</?ul>", "\n\n"), (r"(?i)<li>", "\n-   ")]
 
 def markdown(html: str) -> str:
     kept = f"replace({strip(no_comments(html), 'script', 'noscript', 'iframe', 'svg')}, {q(C.NESTED)}, '<p>\uE007</p>')"
-    return f"replace({_markdown(kept)}, '\uE007', {q(NESTED)})"
+    # Text before a list ends without white space.
+    return f"replace({rx(_markdown(kept), ' +' + chr(10) + '+' + chr(0xE007), chr(10) * 2 + chr(0xE007))}, '\uE007', {q(NESTED)})"
 
 
 def _markdown(kept: str) -> str:
