@@ -51,6 +51,12 @@ def site_findings(checks: DataFrame) -> DataFrame:
     )
 
 
+def finding_trails(findings: DataFrame, trails: DataFrame) -> DataFrame:
+    """Findings with the requests of their check's trail, a row per request; findings without one have none."""
+    named = trails.select(*SITE, F.concat(F.lit("check:"), "check_id").alias("finding_id"), "step", "method", "url", "status", "headers", "note")
+    return findings.select(*SITE, "finding_id", "severity").join(named, [*SITE, "finding_id"])
+
+
 def attribute(findings: DataFrame, exact_ids: bool = False) -> DataFrame:
     """Add ``affected_profiles``; NULL means general. The dimension has one row per rubric entry.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.dims import AI_CRAWLERS, AUDIT_HEADERS, PROBE_PATHS
@@ -27,24 +27,32 @@ def header_of(name: str) -> Column:
     return F.nullif(F.get(F.col("headers")[name], F.lit(0)), F.lit(""))
 
 
-def to_audit(responses: DataFrame) -> DataFrame:
-    """Responses as audit entries: six headers, first value each, status 0 on error."""
-    kept = F.map_filter(
+def kept_headers(*names: str) -> Column:
+    """First values of those response headers that an audit entry keeps."""
+    return F.map_filter(
         F.transform_values("headers", lambda k, v: F.get(v, F.lit(0))),
-        lambda k, v: k.isin(*AUDIT_HEADERS) & (F.coalesce(v, F.lit("")) != ""),
+        lambda k, v: k.isin(*names) & (F.coalesce(v, F.lit("")) != ""),
     )
+
+
+def to_audit(responses: DataFrame) -> DataFrame:
+    """Responses as audit entries: six headers, first value each, status 0 on error."""
     entry = F.struct(
         "method",
         "url",
         F.coalesce("status", F.lit(0)).alias("status"),
-        kept.alias("headers"),
+        kept_headers(*AUDIT_HEADERS).alias("headers"),
         F.coalesce(F.col("error"), F.lit("")).alias("note"),
     )
     return responses.select(*SITE, "seq", entry.alias("audit"))
 
 
 def audit_trail(responses: DataFrame, keys: list[str]) -> DataFrame:
-    """Ordered audit entries per key; meant for probes, of which a site has a few dozen."""
+    """Ordered audit entries per key, as one list.
+
+    Meant for a table that holds probes only, a few dozen per site; ``check_trails`` gives the
+    requests behind each check as rows, from responses of any kind and number.
+    """
     entries = F.array_sort(
         F.collect_list(F.struct("seq", "audit")),
         lambda a, b: F.when(a["seq"] < b["seq"], -1).when(a["seq"] > b["seq"], 1).otherwise(0),
@@ -52,8 +60,8 @@ def audit_trail(responses: DataFrame, keys: list[str]) -> DataFrame:
     return to_audit(responses).groupBy(*keys).agg(F.transform(entries, lambda e: e["audit"]).alias("audit"))
 
 
-def probe_targets(sites: DataFrame) -> DataFrame:
-    """Probes of every site: ``(family, ord, url, accept)``; ``sites`` has ``seed_url``.
+def probe_targets(sites: DataFrame, families: list[str] | None = None) -> DataFrame:
+    """Probes of every site, or those of some families: ``(family, ord, url, accept)``; ``sites`` has ``seed_url``.
 
     The candidates are an array literal that is exploded per site, so nothing is joined.
     """
@@ -66,6 +74,7 @@ def probe_targets(sites: DataFrame) -> DataFrame:
         *[
             F.struct(F.lit(f).alias("family"), F.lit(i).alias("ord"), u.alias("url"), F.lit(a).alias("accept"))
             for f, i, u, a in probes
+            if families is None or f in families
         ]
     )
     return sites.select(*SITE, "seed_url", F.explode(rows).alias("p")).select(*SITE, "seed_url", "p.*")
@@ -122,10 +131,10 @@ def json_text(body: Column, field: str) -> Column:
     return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
-def response_facts(responses: DataFrame) -> DataFrame:
-    """What the site checks read of a response; its body stays behind.
+def response_facts(responses: DataFrame, *keep: str) -> DataFrame:
+    """What the site checks read of a response, after the columns ``keep``; its body stays behind.
 
-    Reading a body only under its own kind of path keeps the work off ordinary pages.
+    Reading a body only under its own kind of path keeps the work off other probes.
     """
     path = U.raw_path(F.col("url"))
     body = F.coalesce(F.col("body"), F.lit(""))
@@ -140,10 +149,7 @@ def response_facts(responses: DataFrame) -> DataFrame:
         return F.when(is_valid_json(body), kind.startswith("ARRAY"))
 
     return responses.select(
-        *SITE,
-        "seq",
-        "url",
-        "accept",
+        *keep,
         F.coalesce("status", F.lit(0)).alias("status"),
         F.coalesce("bytes", F.lit(0)).alias("bytes"),
         F.coalesce(header_of("content-type"), F.lit("")).alias("ctype"),
@@ -165,20 +171,55 @@ def response_facts(responses: DataFrame) -> DataFrame:
         on("oauth-resource", json_text(body, "resource").isNotNull() & F.coalesce(has_array("authorization_servers"), F.lit(False))).alias("resource_ok"),
         on("bot-auth", is_valid_json(body) & trimmed.rlike(r"^[\[{]")).alias("json_container"),
         on("agent-card", json_text(body, "name").isNotNull()).alias("has_name"),
+        kept_headers(*AUDIT_HEADERS).alias("headers"),
+        F.coalesce("error", F.lit("")).alias("note"),
+        "final_url",
+        "redirect_chain",
     )
 
 
-def probe_results(sites: DataFrame, responses: DataFrame) -> DataFrame:
-    """Every probe with its response's facts; status 0 where there is none."""
-    facts = response_facts(responses)
-    one = facts.groupBy(*SITE, "url", "accept").agg(F.min_by(F.struct(*[c for c in facts.columns if c not in (*SITE, "url", "accept")]), "seq").alias("r"))
-    return probe_targets(sites).join(one, [*SITE, "url", "accept"], "left").withColumn("status", F.coalesce("r.status", F.lit(0)))
+PROBE = [*SITE, "seed_url", "family", "ord", "url", "accept"]
+
+
+def answered_probes(sites: DataFrame, responses: DataFrame, families: list[str] | None = None) -> DataFrame:
+    """Every probe with number and status of the first response to it; status 0 where there is none.
+
+    Only names, numbers and statuses of responses are read, so a scan of a large response table
+    leaves headers and bodies alone.
+    """
+    target = [*SITE, "url", "accept"]
+    answer = F.struct("seq", F.coalesce("status", F.lit(0)).alias("status"))
+    first = responses.groupBy(*target).agg(F.min_by(answer, "seq").alias("a"))
+    return probe_targets(sites, families).join(first, target, "left").select(*PROBE, F.col("a.seq").alias("seq"), F.coalesce("a.status", F.lit(0)).alias("status"))
+
+
+def probe_responses(answered: DataFrame, responses: DataFrame) -> DataFrame:
+    """Whole responses of the probes that were answered, once each, with ``seed_url, family, ord``.
+
+    The numbers of these few responses select them before any body is looked at. As the smaller
+    side they are broadcast if they fit, else Spark may sift the responses by a filter made of them.
+    """
+    hits = answered.where(F.col("seq").isNotNull()).drop("status")
+    return hits.join(responses, [*SITE, "seq", "url", "accept"])
+
+
+def probe_results(sites: DataFrame, responses: DataFrame, families: list[str] | None = None) -> DataFrame:
+    """Every probe with its response's facts in ``r``, NULL without a response; a repeated response counts once."""
+    answered = answered_probes(sites, responses, families)
+    facts = response_facts(probe_responses(answered, responses), *PROBE)
+    read = facts.select(*PROBE, F.struct(*[c for c in facts.columns if c not in PROBE]).alias("r"))
+    silent = answered.where(F.col("seq").isNull())
+    both = read.dropDuplicates(PROBE).unionByName(silent.select(*PROBE), allowMissingColumns=True)
+    return both.withColumn("status", F.coalesce("r.status", F.lit(0)))
+
+
+# Facts that only audit trails read.
+TRAIL_FACTS = ["headers", "note", "final_url", "redirect_chain"]
 
 
-def site_probes(sites: DataFrame, responses: DataFrame) -> DataFrame:
-    """One row per site with its probe results by family, in candidate order."""
-    results = probe_results(sites, responses)
-    facts = [f.name for f in results.schema["r"].dataType if f.name != "status"]
+def site_probes(results: DataFrame) -> DataFrame:
+    """One row per site with its ``probe_results`` by family, in candidate order."""
+    facts = [f.name for f in results.schema["r"].dataType if f.name not in ("status", *TRAIL_FACTS)]
     entry = F.struct("ord", "url", "status", *[F.col(f"r.{name}").alias(name) for name in facts])
 
     def family(name: str) -> Column:
@@ -192,9 +233,17 @@ def _one(family: str) -> Column:
     return F.get(F.col(f"`{family}`"), F.lit(0))
 
 
-def _first(family: str, test) -> Column:
-    """First candidate of a family that passes ``test``."""
-    return F.get(F.filter(F.col(f"`{family}`"), test), F.lit(0))
+# What ends the search of a family with several candidates; families with one candidate need no test.
+HITS: dict[str, Callable[[Column], Column]] = {
+    "llms": lambda p: (p["status"] == 200) & p["has_body"],
+    "sitemap": lambda p: (p["status"] == 200) & (p["ctype"].contains("xml") | p["url"].endswith(".gz")),
+    "oauth": lambda p: F.coalesce((p["status"] == 200) & (p["issuer"] != ""), F.lit(False)),
+} | dict.fromkeys(HEAD_FAMILIES, lambda p: (p["status"] >= 200) & (p["status"] < 300))
+
+
+def _first(family: str) -> Column:
+    """First candidate of a family that is a hit."""
+    return F.get(F.filter(F.col(f"`{family}`"), HITS[family]), F.lit(0))
 
 
 def _last_status(family: str) -> Column:
@@ -206,7 +255,7 @@ def _answered(probe: Column) -> Column:
 
 
 def _llms() -> list[Column]:
-    found = _first("llms", lambda p: (p["status"] == 200) & p["has_body"])
+    found = _first("llms")
     size = found["bytes"]
     shape = found["llms"]
     missing = F.array_compact(
@@ -248,7 +297,7 @@ def _link_headers() -> Column:
 
 
 def _sitemap() -> Column:
-    found = _first("sitemap", lambda p: (p["status"] == 200) & (p["ctype"].contains("xml") | p["url"].endswith(".gz")))
+    found = _first("sitemap")
     severity = F.when(found.isNull(), F.lit("fail")).otherwise(F.lit("pass"))
     return check_row("sitemap", "discoverability", severity, F.when(found.isNull(), F.lit("not found")).otherwise(text("found at ", found["url"])))
 
@@ -278,7 +327,7 @@ def _robots() -> list[Column]:
 
 
 def _well_known(check_id: str, family: str) -> Column:
-    found = _first(family, lambda p: (p["status"] >= 200) & (p["status"] < 300))
+    found = _first(family)
     silent = F.forall(F.col(f"`{family}`"), lambda p: p["status"] == 0)
     said = F.when(found.isNotNull(), text("found at ", found["url"])).when(silent, F.lit("no response")).otherwise(
         text("not found, status ", _last_status(family))
@@ -308,7 +357,7 @@ def _negotiation() -> Column:
 
 
 def _oauth() -> list[Column]:
-    found = _first("oauth", lambda p: F.coalesce((p["status"] == 200) & (p["issuer"] != ""), F.lit(False)))
+    found = _first("oauth")
     good = F.coalesce(_one("oauth-resource")["resource_ok"], F.lit(False))
     return [
         check_row(
@@ -386,16 +435,82 @@ SITE_CHECKS: list[tuple[list[str], Callable[[], list[Column]]]] = [
 ]
 
 
+# The checks that each family's requests are made for.
+TRAILS = {
+    "llms": ["llms-txt-exists", "llms-txt-size", "llms-txt-valid"],
+    "sitemap": ["sitemap"],
+    "robots": ["robots-txt", "content-signals", "ai-bot-rules"],
+    "api-catalog": ["well-known-api-catalog"],
+    "mcp-card": ["well-known-mcp-card"],
+    "agent-skills": ["well-known-agent-skills"],
+    "oauth": ["oauth-discovery"],
+    "oauth-resource": ["oauth-protected-resource"],
+    "bot-auth": ["web-bot-auth"],
+    "agent-card": ["a2a-agent-card"],
+    "md-twin": ["markdown-url-support"],
+    "home-md": ["content-negotiation"],
+    "home": ["llms-txt-directive", "link-headers", "cache-headers", "redirect-behavior"],
+}
+
+
 def site_checks(
-    sites: DataFrame, responses: DataFrame, only: list[str] | None = None, probes: DataFrame | None = None
+    sites: DataFrame, responses: DataFrame, only: list[str] | None = None, results: DataFrame | None = None
 ) -> DataFrame:
-    """Check rows of every site; pass ``probes`` to reuse ``site_probes``."""
-    probes = site_probes(sites, responses) if probes is None else probes
+    """Check rows of every site; pass ``results`` to reuse ``probe_results``."""
+    families = [f for f, ids in TRAILS.items() if only is None or set(ids) & set(only)]
+    probes = site_probes(probe_results(sites, responses, families) if results is None else results)
     rows = [row for ids, build in SITE_CHECKS if only is None or set(ids) & set(only) for row in build()]
     checks = explode_checks(probes, rows, [*SITE, "seed_url"]).withColumnRenamed("seed_url", "page_url")
     return checks if only is None else checks.where(F.col("check_id").isin(*only))
 
 
+def check_trails(checks: DataFrame, results: DataFrame) -> DataFrame:
+    """The requests that led to each site check's result, a row each, numbered by ``step``.
+
+    ``checks`` are ``site_checks`` rows and ``results`` the ``probe_results`` they were made of. A
+    check asks a family's candidates in order and stops at its first hit, so a request belongs to
+    its trail if no earlier candidate is a hit. The redirect check's trail goes on with the hops.
+    A probe without a response has status 0 and no headers; a check that asked nothing (markdown
+    twins of a URL that is markdown already) has no rows.
+    """
+    probe = {name: F.col(f"r.{name}") for name in ("has_body", "ctype", "issuer")} | {"url": F.col("url"), "status": F.col("status")}
+    hit = F.lit(False)
+    for family, test in HITS.items():
+        hit = F.when(F.col("family") == family, test(probe)).otherwise(hit)
+    earlier = Window.partitionBy(*SITE, "family").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    asked = (
+        results.where((F.col("family") != "md-twin") | ~U.is_md_url(F.col("seed_url")))
+        .withColumn("_over", F.coalesce(F.max(F.coalesce(hit, F.lit(False))).over(earlier), F.lit(False)))
+        .where(~F.col("_over"))
+    )
+    note, headers = F.coalesce("r.note", F.lit("no response")), F.col("r.headers")
+
+    def entry(method: Column, url: Column, status: Column, kept: Column, said: Column) -> Column:
+        return F.struct(method.alias("method"), url.alias("url"), status.alias("status"), kept.alias("headers"), said.alias("note"))
+
+    request = entry(F.when(F.col("family").isin(*HEAD_FAMILIES), F.lit("HEAD")).otherwise(F.lit("GET")), F.col("url"), F.col("status"), headers, note)
+    typed = F.map_filter(headers, lambda k, v: k == "content-type")
+    landed = F.when(F.col("status") > 0, F.concat(F.lit("final URL: "), F.coalesce("r.final_url", "url"))).otherwise(note)
+    hops = F.transform(
+        F.coalesce("r.redirect_chain", F.array().cast(results.schema["r"].dataType["redirect_chain"].dataType)),
+        lambda h: entry(
+            F.lit("GET"), h["from_url"], h["status"], F.lit(None).cast("map<string,string>"),
+            F.concat(F.lit("to "), h["to_url"], F.when(h["same_host"], F.lit("")).otherwise(F.lit(" (cross-host)"))),
+        ),
+    )
+    followed = F.concat(F.array(entry(F.lit("GET"), F.col("url"), F.col("status"), typed, landed)), hops)
+    made = [
+        F.struct(F.lit(check_id).alias("check_id"), (followed if check_id == "redirect-behavior" else F.array(request)).alias("requests"), F.lit(family).alias("f"))
+        for family, ids in TRAILS.items()
+        for check_id in ids
+    ]
+    rows = asked.select(*SITE, "family", "ord", F.explode(F.filter(F.array(*made), lambda m: m["f"] == F.col("family"))).alias("m"))
+    steps = rows.select(*SITE, "m.check_id", "ord", F.posexplode("m.requests").alias("hop", "q"))
+    return steps.select(*SITE, "check_id", (F.col("ord") + F.col("hop")).alias("step"), "q.*").join(
+        checks.select(*SITE, "check_id"), [*SITE, "check_id"], "left_semi"
+    )
+
+
 def soft_404(responses: DataFrame, probe_path: str) -> DataFrame:
     """Answer to a path that cannot exist: 404 is right, 200 is a disguised error page."""
     status = F.coalesce("status", F.lit(0))

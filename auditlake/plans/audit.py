@@ -55,7 +55,8 @@ def audit(
     known = statuses(features) if callable(statuses) else statuses
     page_rows = stage(page_check_rows(features, known), "page-checks")
     rollup = stage(R.rollup_checks(page_rows), "rollup")
-    site_rows = stage(S.site_checks(sites, responses), "site-checks")
+    probes = stage(S.probe_results(sites, responses), "probes")
+    site_rows = stage(S.site_checks(sites, responses, results=probes), "site-checks")
     merged = N.merge_findings(N.site_findings(site_rows).unionByName(N.page_findings(rollup)))
     checks = union_checks(site_rows, rollup)
     scores = live_scores(sites, merged)
@@ -68,6 +69,7 @@ def audit(
         "rollup": rollup,
         "checks": checks,
         "findings": N.rank_findings(merged),
+        "trails": S.check_trails(site_rows, probes),
         "site_stats": stats,
         "category_scores": G.category_scores(checks),
         "scores": scores,

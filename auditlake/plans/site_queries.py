@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from auditlake.functions import urls as U
+from auditlake.operators import findings as N
 from auditlake.operators import site_checks as S
 from auditlake.plans import corpus as C
 from auditlake.plans.queries import QUERIES, query, sorted_text
+from auditlake.session import stage
 
 
 
@@ -69,7 +71,7 @@ def u11(spark, sf):
 
 @query("j9_probe_join")
 def j9(spark, sf):
-    return S.probe_results(C.sites(spark, sf), C.responses(spark, sf)).select(
+    return S.answered_probes(C.sites(spark, sf), C.responses(spark, sf)).select(
         "site_id", "family", F.col("ord").cast("bigint").alias("ord"), F.col("status").cast("bigint").alias("status")
     )
 
@@ -88,6 +90,28 @@ def g13(spark, sf):
     return trail.select("site_id", F.array_join(line, "\n").alias("trail"))
 
 
+@query("g13_check_trails")
+def g13_checks(spark, sf):
+    """The requests behind each check of each site."""
+    results = stage(S.probe_results(C.sites(spark, sf), C.responses(spark, sf)), "probes")
+    trails = S.check_trails(S.site_checks(None, None, results=results), results)
+    return trails.select(
+        "site_id", "check_id", F.col("step").cast("bigint").alias("step"), "method", "url", F.col("status").cast("bigint").alias("status"),
+        sorted_text(F.col("headers")).alias("headers"), "note",
+    )
+
+
+@query("g13_finding_trails")
+def g13_findings(spark, sf):
+    """Findings of site checks with the number and the last of the requests that led to them."""
+    results = stage(S.probe_results(C.sites(spark, sf), C.responses(spark, sf)), "probes")
+    checks = S.site_checks(None, None, results=results)
+    rows = N.finding_trails(N.site_findings(checks), S.check_trails(checks, results))
+    return rows.groupBy("site_id", "finding_id", "severity").agg(
+        F.count(F.lit(1)).alias("requests"), F.max_by(F.concat_ws(" ", "method", "url", "status"), "step").alias("last_request")
+    )
+
+
 @query("s4_robots_directives")
 def s4(spark, sf):
     bodies = C.responses(spark, sf).where(F.col("url").endswith("/robots.txt") & (F.col("status") == 200))

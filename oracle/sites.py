@@ -163,6 +163,41 @@ S["s2_audit_projection"] = with_responses(
 S["g13_audit_trail"] = with_responses(
     f"SELECT site_id, string_agg({METHOD} || ' ' || url || ' ' || status, chr(10) ORDER BY o) AS trail FROM resp GROUP BY site_id"
 )
+# Families and the checks that ask them, with the condition under which the check gives a result.
+ASKED = [
+    ("llms", "llms-txt-exists", "true"), ("llms", "llms-txt-size", "found"), ("llms", "llms-txt-valid", "found"), ("sitemap", "sitemap", "true"),
+    ("robots", "robots-txt", "true"), ("robots", "content-signals", "status = 200"), ("robots", "ai-bot-rules", "true"),
+    ("api-catalog", "well-known-api-catalog", "true"), ("mcp-card", "well-known-mcp-card", "true"), ("agent-skills", "well-known-agent-skills", "true"),
+    ("oauth", "oauth-discovery", "true"), ("oauth-resource", "oauth-protected-resource", "true"), ("bot-auth", "web-bot-auth", "true"),
+    ("agent-card", "a2a-agent-card", "true"), ("md-twin", "markdown-url-support", "NOT ends_with(seed_url, '.md')"),
+    ("home-md", "content-negotiation", "true"), ("home", "llms-txt-directive", "true"), ("home", "link-headers", "true"), ("home", "cache-headers", "true"),
+]
+TRIED = f"""tried AS (SELECT *, count(*) OVER (PARTITION BY site_id, kind ORDER BY o) - 1 AS step, bool_or(hit) OVER (PARTITION BY site_id, kind) AS found,
+        min(CASE WHEN hit THEN o END) OVER (PARTITION BY site_id, kind) AS stop
+    FROM (SELECT *, {METHOD} AS method, {HEADERS} AS headers, CASE WHEN status = 0 THEN 'fetch failed' ELSE '' END AS note,
+        CASE kind WHEN 'llms' THEN status = 200 AND body <> '' WHEN 'sitemap' THEN status = 200 AND (contains(ctype, 'xml') OR ends_with(url, '.gz'))
+            WHEN 'oauth' THEN status = 200 AND starts_with(body, '{{"issuer": "https') ELSE kind IN ('api-catalog', 'mcp-card', 'agent-skills') AND status BETWEEN 200 AND 299 END AS hit
+        FROM resp WHERE kind <> 'not-found'))"""
+TRAIL_ROWS = f"""trail AS (
+    {" UNION ALL ".join(
+        f"SELECT site_id, '{check_id}' AS check_id, step, method, url, status, headers, note FROM tried WHERE kind = '{kind}' AND o <= coalesce(stop, o) AND {when}"
+        for kind, check_id, when in ASKED
+    )}
+    UNION ALL SELECT site_id, 'redirect-behavior', 0, 'GET', url, status, CASE WHEN status > 0 THEN 'content-type=' || ctype END,
+        CASE WHEN status = 0 THEN 'fetch failed' ELSE 'final URL: ' || url END FROM resp WHERE kind = 'home'
+    UNION ALL SELECT site_id, 'redirect-behavior', i, 'GET', url || '?hop=' || (i - 1), 301, NULL,
+        'to ' || url || '?hop=' || i || CASE WHEN h % 2 = 0 THEN '' ELSE ' (cross-host)' END
+        FROM (SELECT *, unnest(range(1, hops + 1)) AS i FROM resp WHERE kind = 'home' AND status > 0)
+)"""
+S["g13_check_trails"] = with_responses(
+    "SELECT site_id, check_id, CAST(step AS BIGINT) AS step, method, url, CAST(status AS BIGINT) AS status, headers, note FROM trail", TRIED, TRAIL_ROWS
+)
+_results = " UNION ALL ".join(f"SELECT site_id, check_id, severity FROM ({p})" for c, p in PIECES.items() if c != "http-status-codes")
+S["g13_finding_trails"] = with_responses(
+    f"""SELECT site_id, 'check:' || check_id AS finding_id, severity, count(*) AS requests, max_by(method || ' ' || url || ' ' || status, step) AS last_request
+    FROM trail JOIN ({_results}) USING (site_id, check_id) WHERE severity IN ('fail', 'warn') GROUP BY 1, 2, 3""",
+    TRIED, TRAIL_ROWS,
+)
 S["s4_robots_directives"] = with_responses(
     f"""SELECT site_id, line_no, lower(trim(split_part(line, ':', 1))) AS field, trim(split_part(substr(line, instr(line, ':') + 1), '#', 1)) AS value
     FROM (SELECT site_id, unnest(range(0, len(ls))) AS line_no, unnest(ls) AS line FROM (SELECT site_id, string_split(body, chr(10)) AS ls FROM resp WHERE kind = 'robots' AND status = 200))

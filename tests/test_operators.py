@@ -209,6 +209,48 @@ def test_site_without_responses_is_judged(spark):
     assert "llms-txt-size" not in got and "content-signals" not in got and len(got) == 17
 
 
+def test_trails_end_at_the_first_hit(spark):
+    sites = spark.createDataFrame([("r", "h", "https://h/"), ("r", "md", "https://md/a.md")], "run_id STRING, site_id STRING, seed_url STRING")
+    hop = {"from_url": "https://h/", "to_url": "https://h/b", "status": 302, "same_host": False}
+
+    def answer(site, seq, url, status, body="", headers=None, chain=None, accept="text/html"):
+        return ("r", site, seq, "GET", f"https://{site}{url}", accept, status, headers, body, len(body), f"https://{site}{url}", chain, None)
+
+    given = [
+        answer("h", 0, "/", 200, "<p>", {"content-type": ["text/html"], "etag": ["x"]}, [hop]),
+        answer("h", 1, "/llms.txt", 200, "# A"), answer("h", 1, "/llms.txt", 200, "# A"),  # repeated row
+        answer("h", 2, "/llms.txt", 404), answer("h", 3, "/docs/llms.txt", 200, "# B"),
+        answer("h", 4, "/sitemap.xml", 200), answer("h", 5, "/sitemap_index.xml", 200, "", {"content-type": ["text/xml"]}),
+        answer("h", 6, "/some/page", 200, "text"), answer("h", 7, "/robots.txt", None),
+    ]
+    responses = spark.createDataFrame(given, schemas.RESPONSES)
+    results = S.probe_results(sites, responses).cache()
+    checks = S.site_checks(sites, responses, results=results)
+    trail = {}
+    for r in S.check_trails(checks, results).orderBy("step").collect():
+        trail.setdefault((r.site_id, r.check_id), []).append((r.step, r.method, r.url, r.status, r.note))
+    assert trail["h", "llms-txt-exists"] == trail["h", "llms-txt-valid"] == [(0, "GET", "https://h/llms.txt", 200, "")]
+    assert [t[3] for t in trail["h", "sitemap"]] == [200, 200]
+    assert [t[3] for t in trail["md", "sitemap"]] == [0, 0, 0, 0] and trail["md", "sitemap"][0][4] == "no response"
+    assert trail["h", "redirect-behavior"] == [
+        (0, "GET", "https://h/", 200, "final URL: https://h/"), (1, "GET", "https://h/", 302, "to https://h/b (cross-host)")
+    ]
+    assert [t[1] for t in trail["md", "well-known-mcp-card"]] == ["HEAD"] * 3
+    assert ("md", "markdown-url-support") not in trail and ("md", "llms-txt-size") not in trail and ("h", "content-signals") not in trail
+    findings = N.finding_trails(N.site_findings(checks), S.check_trails(checks, results))
+    assert {r.finding_id for r in findings.where("site_id = 'md'").collect()} >= {"check:llms-txt-exists", "check:sitemap", "check:robots-txt"}
+
+
+def test_bodies_are_read_for_probes_only(spark, tmp_path):
+    sites = spark.createDataFrame([("r", "h", "https://h/")], "run_id STRING, site_id STRING, seed_url STRING")
+    spark.createDataFrame([], schemas.RESPONSES).write.parquet(str(tmp_path / "responses"))
+    stored = spark.read.parquet(str(tmp_path / "responses"))
+    plan = S.answered_probes(sites, stored)._jdf.queryExecution().executedPlan().toString()
+    assert "body" not in plan and "headers" not in plan
+    some = S.site_checks(sites, stored, ["robots-txt", "content-signals"])
+    assert severities(some) == {"robots-txt": "warn"}
+
+
 def test_audit_end_to_end(spark):
     rows = [(i, 200 if i % 3 else 500, PAGE, PAGE, None, None) for i in range(6)]
     sites = spark.createDataFrame([("r", "h", "https://h/")], "run_id STRING, site_id STRING, seed_url STRING")
@@ -217,6 +259,7 @@ def test_audit_end_to_end(spark):
     stats, score = out["site_stats"].first(), out["scores"].first()
     assert stats.pages_scanned == 6 and stats.fix_backlog == out["findings"].count()
     assert score.score == max(0, 100 - 7 * score.n_fail - 3 * score.n_warn)
+    assert out["trails"].where("check_id = 'sitemap'").count() == 4
     assert "# Audit report: h" in out["reports"].first().report
 
 
