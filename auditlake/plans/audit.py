@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from auditlake.operators import findings as N
 from auditlake.operators import page_checks as K
 from auditlake.operators import profiles as P
+from auditlake.operators import row_checks as RC
 from auditlake.operators import rollup as R
 from auditlake.operators import scoring as G
 from auditlake.operators import site_checks as S
@@ -42,18 +43,26 @@ def audit(
     responses: DataFrame,
     statuses: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
     discovery: DataFrame | None = None,
+    row_checks: tuple[RC.RowCheck, ...] = (),
 ) -> dict[str, DataFrame]:
     """Audit all sites at once.
 
     The page texts are read once: their features (numbers and short lists) are staged, and every
     later step works on those. ``statuses`` answers linked URLs, given as a table or made from the
     features; ``discovery(run_id, site_id, source, capped)`` completes the site statistics.
+    ``row_checks`` are further page checks as functions; what they raise is in ``check_errors``.
     """
     wide = P.with_profiles(pages)
     tokens = [F.col(f"{p}.tokens_est").alias(f"tokens_{p}") for p in ("rawHttp", "headless", "snippet")]
     features = stage(K.page_features(wide, links=True, extra=tokens), "features")
     known = statuses(features) if callable(statuses) else statuses
-    page_rows = stage(page_check_rows(features, known), "page-checks")
+    checked = page_check_rows(features, known)
+    errors = None
+    if row_checks:
+        judged = stage(RC.judged_rows(features, row_checks), "judged")
+        more, errors = RC.split_outcomes(judged, row_checks, first_ord=len(K.LIVE_CHECKS) + 1)
+        checked = checked.unionByName(more)
+    page_rows = stage(checked, "page-checks")
     rollup = stage(R.rollup_checks(page_rows), "rollup")
     probes = stage(S.probe_results(sites, responses), "probes")
     site_rows = stage(S.site_checks(sites, responses, results=probes), "site-checks")
@@ -74,7 +83,7 @@ def audit(
         "category_scores": G.category_scores(checks),
         "scores": scores,
         "reports": N.report(merged, scores, sites),
-    }
+    } | ({} if errors is None else {"check_errors": errors})
 
 
 def live_scores(sites: DataFrame, merged: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from auditlake.dims import PROFILES
 from auditlake.functions import urls as U
 from auditlake.operators import discover as D
 from auditlake.operators import profiles as P
+from auditlake.operators import page_checks as K
+from auditlake.operators import row_checks as RC
 from auditlake.operators import rundiff as X
 from auditlake.operators import strict_checks as L
 from auditlake.plans import corpus as C
@@ -369,3 +371,25 @@ def e2(spark, sf):
     """Profiles that failed are rows with a reason and zeros; the page's other profiles stay."""
     rows = P.page_profiles(wide(spark, sf))
     return rows.where(~F.col("ok")).select("page_index", "profile", "reason", "chars")
+
+
+def _described_images(page: dict) -> tuple[str, str]:
+    share = page["images"]["with_alt"] * 100 // page["images"]["total"]
+    return "pass" if share >= 80 else "warn", f"{share} % of images described"
+
+
+def _short_page(page: dict) -> tuple[str, str] | None:
+    return ("warn", f"{page['raw_chars']} characters") if page["raw_chars"] < 1000 else None
+
+
+@query("e2_check_isolation")
+def e2_checks(spark, sf):
+    """Checks as functions; one divides by the number of images and fails on pages without any."""
+    checks = [
+        RC.RowCheck("described-images", "content-structure", "Described images", ("images",), _described_images, "Describe all images."),
+        RC.RowCheck("short-page", "content-quality", "Short page", ("raw_chars",), _short_page, "Say more."),
+    ]
+    judged = stage(RC.judged_rows(K.page_features(wide(spark, sf), links=False), checks), "judged")
+    results, errors = RC.split_outcomes(judged, checks, first_ord=len(K.LIVE_CHECKS) + 1)
+    shown = results.select("page_index", "check_id", "severity", "conclusion", "fix", F.col("source_ord").cast("bigint").alias("source_ord"))
+    return shown.unionByName(errors.select("page_index", "check_id", F.substring_index("error", ":", 1).alias("error")), allowMissingColumns=True)

@@ -13,6 +13,7 @@ from auditlake.operators import findings as N
 from auditlake.operators import page_checks as K
 from auditlake.operators import profiles as P
 from auditlake.operators import rollup as R
+from auditlake.operators import row_checks as RC
 from auditlake.operators import rundiff as X
 from auditlake.operators import scoring as G
 from auditlake.operators import site_checks as S
@@ -255,7 +256,9 @@ def test_audit_end_to_end(spark):
     rows = [(i, 200 if i % 3 else 500, PAGE, PAGE, None, None) for i in range(6)]
     sites = spark.createDataFrame([("r", "h", "https://h/")], "run_id STRING, site_id STRING, seed_url STRING")
     statuses = spark.createDataFrame([], "url STRING, status INT")
-    out = A.audit(pages(spark, rows), sites, spark.createDataFrame([], schemas.RESPONSES), statuses)
+    own = RC.RowCheck("first-page", "content-quality", "First page", ("page_index",), lambda page: ("warn", str(1 // page["page_index"])))
+    out = A.audit(pages(spark, rows), sites, spark.createDataFrame([], schemas.RESPONSES), statuses, row_checks=(own,))
+    assert out["check_errors"].first().page_index == 0 and out["rollup"].where("check_id = 'first-page'").first().n_warn == 5
     stats, score = out["site_stats"].first(), out["scores"].first()
     assert stats.pages_scanned == 6 and stats.fix_backlog == out["findings"].count()
     assert score.score == max(0, 100 - 7 * score.n_fail - 3 * score.n_warn)
@@ -411,6 +414,40 @@ def test_first_k_beyond_the_group_limit(spark):
     assert got.count() == 3000 and got.agg(F.max("id")).first()[0] == 2999 and got.columns == ["k", "id", "rank"]
 
 
+def test_a_check_that_raises_costs_its_own_row(spark):
+    def thirds(page):
+        return ("pass", f"{12 // page['raw_chars']}") if page["raw_chars"] != 3 else "three"
+
+    checks = [
+        RC.RowCheck("thirds", "content-quality", "Thirds", ("raw_chars",), thirds),
+        RC.RowCheck("always", "content-quality", "Always", ("url", "raw_chars"), lambda page: ("warn", page["url"]), "Mend."),
+        RC.RowCheck("never", "content-quality", "Never", (), lambda page: None),
+    ]
+    schema = "run_id STRING, site_id STRING, page_index BIGINT, url STRING, raw_chars BIGINT, nth INT"
+    df = spark.createDataFrame([("r", "h", i, f"u{i}", n, 7) for i, n in enumerate([4, 0, None, 3, 12])], schema)
+    judged = RC.judged_rows(df, checks)
+    results, errors = RC.split_outcomes(judged, checks, 5)
+    got = {(r.check_id, r.page_index): r for r in results.collect()}
+    assert {k for k in got if k[0] == "thirds"} == {("thirds", 0), ("thirds", 4)} and got["thirds", 0].conclusion == "3"
+    assert len(got) == 7 and got["always", 1].fix == "Mend." and got["thirds", 0].fix is None
+    assert got["always", 1].message == "Always: u1" and got["always", 2].source_ord == 6 and got["always", 2].page_url == "u2"
+    wrong = {(r.check_id, r.page_index): r.error.split(":")[0] for r in errors.collect()}
+    assert wrong == {("thirds", 1): "ZeroDivisionError", ("thirds", 2): "TypeError", ("thirds", 3): "ValueError"}
+    assert RC.judged_rows(df.limit(0), checks).count() == 0 and RC.judged_rows(df, []).count() == 0
+    with pytest.raises(ValueError):
+        RC.judged_rows(df, [checks[0], checks[0]])
+
+
+def test_checks_in_columns_that_cannot_be_planned(spark):
+    df = spark.createDataFrame([(True, "x")], "raw_ok BOOLEAN, raw_reason STRING")
+
+    def broken():
+        raise KeyError("no title")
+
+    usable, errors = RC.usable_checks(df, {"good": K.http_status, "no-column": K.page_size_html, "broken": broken})
+    assert set(usable) == {"good"} and set(errors) == {"no-column", "broken"} and errors["broken"].startswith("KeyError")
+
+
 def test_registry_replaces_and_refuses(spark):
     registry = P.built_in_profiles()
     registry.register("snippet", lambda df: df.select("url"))
