@@ -294,3 +294,13 @@ def test_nested_markup_is_linear():
         markup.laid_out(part * 3_000)
         markup.panel_sizes(part * 20_000)
     assert time.perf_counter() - start < 60
+
+
+def test_page_walks_hold_few_pages_at_a_time(spark):
+    pages = spark.createDataFrame([(i, "<ul><li>a</li></ul><div role=tabpanel>b c</div>" if i % 3 else None) for i in range(300)], "i INT, v string")
+    out = pages.select("i", H.html_to_markdown(F.col("v")).alias("md"), H.tab_panels(F.col("v")).alias("tabs"))
+    # Arrow batches hold 10,000 whole pages in a worker, whatever their size.
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    got = {r.i: (r.md, tuple(r.tabs)) for r in out.collect()}
+    assert all(got[i] == (("-   a\n\nb c", (1, 3)) if i % 3 else (got[0][0], (None, None))) for i in range(300)), got[1]
