@@ -67,8 +67,9 @@ class _Table:
 class Encoder:
     """``spaced``: the vocabulary keeps white space, so all pieces but the first carry the space before them."""
 
-    # Pieces and words kept at most; beyond that a table starts anew, so that a worker's memory is bounded.
-    PIECES, WORDS = 150_000, 200_000
+    # Pieces and words kept at most; beyond that a table starts anew, so that a worker's memory is bounded. Words cost
+    # most to learn and recur in new pieces, so more of them are kept: about 200 bytes each.
+    PIECES, WORDS = 150_000, 400_000
 
     def __init__(self, path: str, spaced: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from auditlake.llm import automaton, packing, token_store
 from auditlake.llm.queries import QUERIES
-from auditlake.llm.vocab import encoder
+from auditlake.llm.vocab import Encoder, encoder
 
 BYTES, WORDS = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 
@@ -32,6 +32,15 @@ def test_encoder_gives_the_library_s_ids(strange):
         assert [g.tolist() for g in got] == [tok.encode(t, add_special_tokens=False).ids for t in strange]
 
 
+def test_words_stay_known_when_pieces_start_anew():
+    names = ["".join(chr(97 + n // 26**k % 26) for k in range(4)) for n in range(250_000)]
+    coder = Encoder(WORDS, False)
+    coder.encode([" ".join(names)])
+    (ids,) = coder.encode([names[7] + "!"])
+    assert names[200_000] in coder.words and len(coder.pieces) == 1
+    assert ids.tolist() == coder.tok.encode(names[7] + "!", add_special_tokens=False).ids
+
+
 def test_automaton_encodes_and_decodes_like_the_library(strange):
     tok, coder = Tokenizer.from_file(WORDS), automaton.WordCoder(WORDS)
     for text in strange:
