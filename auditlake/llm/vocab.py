@@ -40,9 +40,10 @@ class _Numbers(dict):
 
 
 class _Table:
-    """Lists of ids by number, in one growing array."""
+    """Lists of ids by number, in one growing array, and how often each was used since the table was last thinned."""
 
     def __init__(self):
+        self.uses = np.zeros(1 << 14, np.int32)
         self.flat, self.starts, self.lengths, self.n, self.used = np.empty(1 << 16, np.uint32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32), 0, 0
 
     def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
@@ -63,13 +64,32 @@ class _Table:
         places += np.arange(len(places))
         return self.flat[places], ends
 
+    def count(self, at: np.ndarray) -> None:
+        while len(self.uses) < self.n:
+            self.uses = np.concatenate([self.uses, np.zeros_like(self.uses)])
+        self.uses[: self.n] += np.bincount(at, minlength=self.n).astype(np.int32)
+
+
+def thinned(numbers: _Numbers, table: _Table, most: int) -> tuple[_Numbers, _Table]:
+    """What was used again since it came or since the last time; nothing, if that is more than ``most``."""
+    some, lists = _Numbers(), _Table()
+    again = np.flatnonzero(table.uses[: table.n] > 1)
+    if len(again) <= most:
+        names = list(numbers)
+        some.update((names[k], n) for n, k in enumerate(again.tolist()))
+        lists.add(table.take(again)[0], table.lengths[again])
+        lists.count(np.arange(len(again)))
+    return some, lists
+
 
 class Encoder:
     """``spaced``: the vocabulary keeps white space, so all pieces but the first carry the space before them."""
 
-    # Pieces and words kept at most; beyond that a table starts anew, so that a worker's memory is bounded. Words cost
-    # most to learn and recur in new pieces, so more of them are kept: about 200 bytes each.
-    PIECES, WORDS = 150_000, 400_000
+    # Pieces and words kept at most; beyond that a table keeps what was used again, so that a worker's memory is
+    # bounded. Words cost most to learn and recur in new pieces, so more of them are kept: about 200 bytes each.
+    PIECES, WORDS = 240_000, 400_000
+    # Words in one call of the library: long calls take it longer per word.
+    CALL = 512
 
     def __init__(self, path: str, spaced: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -83,12 +103,14 @@ class Encoder:
         # A pre-token by itself that no word holds: it parts the words of one call, and its id the ids.
         self.between = "\n" if spaced else "1"
         (self.mark,) = self.tok.encode(self.between, add_special_tokens=False).ids
-        self.forget(True)
-
-    def forget(self, words: bool) -> None:
         self.pieces, self.piece_ids = _Numbers(), _Table()
-        if words:
-            self.words, self.word_ids = _Numbers(), _Table()
+        self.words, self.word_ids = _Numbers(), _Table()
+
+    def thin(self) -> None:
+        if len(self.pieces) > self.PIECES:
+            self.pieces, self.piece_ids = thinned(self.pieces, self.piece_ids, self.PIECES * 2 // 3)
+        if len(self.words) > self.WORDS:
+            self.words, self.word_ids = thinned(self.words, self.word_ids, self.WORDS * 2 // 3)
 
     def _plain(self, piece: str) -> list[int] | None:
         """Numbers of a piece's pre-tokens, if they are plain words and marks."""
@@ -115,8 +137,8 @@ class Encoder:
 
     def _learn_words(self) -> None:
         fresh = self.words.fresh
-        for at in range(0, len(fresh), 8192):
-            some = fresh[at : at + 8192]
+        for at in range(0, len(fresh), self.CALL):
+            some = fresh[at : at + self.CALL]
             if "\n" in some:  # the mark itself, in texts with line ends
                 some = [w if w != "\n" else "" for w in some]
             ids = np.array(self.tok.encode_batch_fast([self.between.join(some) + self.between], add_special_tokens=False)[0].ids, np.uint32)
@@ -132,19 +154,21 @@ class Encoder:
         """Ids of the fresh pieces: from their words, those not met before encoded many at a time."""
         words: list[int] = []
         counts, others = [], []
-        match, number, lead = _PLAIN.fullmatch, self.words, " " if self.spaced else ""
+        match, number, spaced, lead = _PLAIN.fullmatch, self.words, self.spaced, " " if self.spaced else ""
         for k, piece in enumerate(self.pieces.fresh):
             # Most pieces are one word with or without marks: the case of ``_plain`` that needs no list.
-            if (plain := match(piece)) and (self.spaced or piece.isascii()):
-                letters, marks = plain.groups() if self.spaced else match(piece.lower()).groups()
-                if letters.isalpha():
-                    words.append(number[lead + letters])
-                    if marks:
-                        words.append(number[marks])
-                        counts.append(2)
-                    else:
-                        counts.append(1)
-                    continue
+            if spaced or piece.isascii():
+                plain = match(piece if spaced else piece.lower())
+                if plain:
+                    letters, marks = plain.groups()
+                    if letters.isalpha():
+                        words.append(number[lead + letters])
+                        if marks:
+                            words.append(number[marks])
+                            counts.append(2)
+                        else:
+                            counts.append(1)
+                        continue
             got = self._plain(piece)
             if got is None:
                 others.append(k)
@@ -154,7 +178,9 @@ class Encoder:
                 counts.append(len(got))
         if self.words.fresh:
             self._learn_words()
-        ids, ends = self.word_ids.take(np.array(words, np.int64))
+        numbers = np.array(words, np.int64)
+        self.word_ids.count(numbers)
+        ids, ends = self.word_ids.take(numbers)
         cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         lengths = np.diff(cuts)
         if others:
@@ -170,21 +196,22 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them."""
-        if len(self.pieces) > self.PIECES:
-            self.forget(len(self.words) > self.WORDS)
+        self.thin()
         whole, parts = [], []
         for i, t in enumerate(texts):
             if "<|" in t or self.spaced and (_FIRST in t or (t.endswith(" ") or _SPACE_BEFORE.search(t)) and _INNER_SPACE.search(t)):
                 whole.append(i)
                 parts.append([])
                 continue
-            parts.append(some := t.split(" "))
+            # Where white space has no ids, a line end parts pieces like a space, and the same words come in fewer pieces.
+            parts.append(some := t.split(" ") if self.spaced else t.replace("\n", " ").split(" "))
             if self.spaced:
                 some[0] = _FIRST + some[0]
         counts = np.fromiter(map(len, parts), np.int64, len(parts))
         at = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(parts)), np.int64, int(counts.sum()))
         if self.pieces.fresh:
             self._learn()
+        self.piece_ids.count(at)
         ids, ends = self.piece_ids.take(at)
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         out = [ids[bounds[i] : bounds[i + 1]] for i in range(len(texts))]

@@ -41,6 +41,26 @@ def test_words_stay_known_when_pieces_start_anew():
     assert ids.tolist() == coder.tok.encode(names[7] + "!", add_special_tokens=False).ids
 
 
+def test_pieces_that_come_again_stay_known_in_a_bounded_table(monkeypatch):
+    monkeypatch.setattr(Encoder, "PIECES", 3000)
+    monkeypatch.setattr(Encoder, "WORDS", 4000)
+    draw = np.random.default_rng(5)
+    often = ["".join(map(chr, draw.integers(97, 123, 6))) for _ in range(500)]
+    for path, spaced in ((BYTES, True), (WORDS, False)):
+        coder, tok = Encoder(path, spaced), Tokenizer.from_file(path)
+        for k in range(12):
+            rare = [f"{''.join(map(chr, draw.integers(97, 123, 8)))}{'!' * (n % 3)}" for n in range(1000)]
+            text = " ".join(often + rare) + "\n" + "\n".join(rare[::-7]) + "\n\n é\n" + rare[5].upper()
+            (got,) = coder.encode([text])
+            assert got.tolist() == tok.encode(text, add_special_tokens=False).ids
+            if k:  # not in the text's first place, where byte pieces have no space before them
+                assert all(w in coder.pieces for w in often[1:])
+            assert len(coder.pieces) < 3000 + 2500 and len(coder.words) < 4000 + 3000
+            fresh = sum(w not in coder.pieces for w in often[1:])
+            coder.thin()
+            assert fresh == 0 and all(w in coder.pieces for w in often[1:])
+
+
 def test_automaton_encodes_and_decodes_like_the_library(strange):
     tok, coder = Tokenizer.from_file(WORDS), automaton.WordCoder(WORDS)
     for text in strange:
