@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import os
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from auditlake.session import drop_staged, stage, staged_so_far
 
-__all__ = ["BATCH_ROWS", "byte_table", "gram_hashes", "mix", "result", "shuffle_parts", "small_batches", "stage", "staged_so_far", "table"]
+__all__ = ["BATCH_ROWS", "byte_table", "give_back", "gram_hashes", "mix", "result", "shuffle_parts", "small_batches", "stage", "staged_so_far", "table"]
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 # Rows of one Arrow batch: texts can be long, and a batch is held in a worker's memory.
@@ -28,6 +30,17 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         known["PYTHONPATH"] = os.pathsep.join(filter(None, [known.get("PYTHONPATH"), ROOT]))
 
 
+def give_back() -> None:
+    """Hand memory that earlier work of this worker left unused in its allocators back to the system.
+
+    Workers serve many stages, and each would else hold the most that any of them took.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def result(df: DataFrame, label: str, since: int, compression: str = "snappy") -> DataFrame:
     """An operator's result, staged; what it staged on the way, after the mark ``since``, is deleted."""
     out = stage(df, label, compression)

@@ -37,12 +37,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import byte_table, gram_hashes, result, shuffle_parts, small_batches, stage, staged_so_far
+from auditlake.llm.common import byte_table, give_back, gram_hashes, result, shuffle_parts, small_batches, stage, staged_so_far
 
 GRAM = 24
 BLOCK_BYTES = 2_000_000
 # Positions hashed at once: what a worker holds besides the block.
 CHUNK = 1 << 18
+# Names of a bucket compared at once.
+NAMES_AT_ONCE = 1 << 19
 _SYMBOLS = byte_table(10)
 _NO_ID = np.iinfo(np.int64).min
 BLOCKS = "block long, ids binary, sizes binary, digests binary, texts binary, rest binary"
@@ -94,14 +96,28 @@ class Block:
         self.copy[copies or []] = True
         self.length = length
         # Places of documents in the order of their ids: smaller rank, earlier document.
-        self.rank = np.unique(self.ids, return_inverse=True)[1]
+        self.rank = np.unique(self.ids, return_inverse=True)[1].astype(np.int32)
         taking = (self.sizes >= length) & ~self.copy & (self.ids != _NO_ID)
         starts = (self.ends - self.sizes)[taking]
         counts = self.sizes[taking] - length + 1
         begin = np.cumsum(counts) - counts
-        self.at = np.repeat(starts - begin, counts) + np.arange(int(counts.sum()))
-        self.doc = np.repeat(np.flatnonzero(taking), counts)
-        self.covers = self._hashed(lambda s: self._least(gram_hashes(s, GRAM)))
+        # One number for each suffix: 32 bits, since a text has less than 2 GB.
+        self.at = np.repeat((starts - begin).astype(np.int32), counts)
+        self.at += np.arange(len(self.at), dtype=np.int32)
+        self.doc = np.repeat(np.flatnonzero(taking).astype(np.int32), counts)
+        self._find_covers()
+
+    def _find_covers(self) -> None:
+        """Cover grams as runs, since suffixes in a row mostly share theirs: each run's gram, document and length."""
+        grams, firsts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for a, b, hashed in self._hashed(self.at, lambda s: self._least(gram_hashes(s, GRAM))):
+            new = np.ones(b - a, bool)
+            new[1:] = (hashed[1:] != hashed[:-1]) | (self.doc[a + 1 : b] != self.doc[a : b - 1])
+            grams.append(hashed[new])
+            firsts.append(np.flatnonzero(new) + a)
+        self.covers, first = np.concatenate(grams), np.concatenate(firsts)
+        self.cover_doc = self.doc[first]
+        self.cover_runs = np.diff(first, append=len(self.at))
 
     def _least(self, h: np.ndarray) -> np.ndarray:
         """The smallest gram hash of each suffix' first ``length`` bytes, by doubling."""
@@ -112,37 +128,45 @@ class Block:
         rest = width - span
         return np.minimum(h[: len(h) - rest], h[rest:]) if rest else h
 
-    def _hashed(self, make) -> np.ndarray:
-        """``make`` over the symbols in chunks, at the places of suffixes."""
-        n = max(0, len(self.data) - self.length + 1)
-        out = np.empty(n, np.uint64)
-        for first in range(0, n, CHUNK):
-            out[first : first + CHUNK] = make(_SYMBOLS[self.data[first : first + CHUNK + self.length - 1]])
-        return out[self.at]
+    def _hashed(self, at: np.ndarray, make) -> Iterator[tuple[int, int, np.ndarray]]:
+        """``make`` over the symbols in chunks, at rising places: from which to which place, and the hashes there."""
+        for first in range(0, max(0, len(self.data) - self.length + 1), CHUNK):
+            a, b = np.searchsorted(at, np.array([first, min(first + CHUNK, np.iinfo(np.int32).max)], np.int32))
+            if a < b:
+                hashed = make(_SYMBOLS[self.data[first : first + CHUNK + self.length - 1]])
+                yield int(a), int(b), hashed[at[a:b] - first]
 
     def grams(self) -> np.ndarray:
-        """Distinct cover grams; suffixes in a row mostly share theirs."""
-        c = self.covers
-        return np.unique(c[np.concatenate([[True], c[1:] != c[:-1]])]) if len(c) else c
+        """Distinct cover grams."""
+        return np.unique(self.covers)
 
     def shared(self, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of suffixes with a cover gram in the mask or in several documents here: distinct names, the
         smallest document of each, and for every such suffix its number among the names and its own place."""
-        grams = self.grams()
-        group = np.searchsorted(grams, self.covers)
-        rank = self.rank[self.doc]
+        grams, group = np.unique(self.covers, return_inverse=True)
+        rank = self.rank[self.cover_doc]
         low, high = np.full(len(grams), len(self.ids)), np.full(len(grams), -1)
-        step = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (rank[1:] != rank[:-1])])) if len(group) else np.empty(0, np.int64)
-        np.minimum.at(low, group[step], rank[step])
-        np.maximum.at(high, group[step], rank[step])
-        take = np.flatnonzero((mask | (low < high))[group])
-        names, number = np.unique(self._names(take), return_inverse=True)
-        least = np.full(len(names), len(self.ids))
-        np.minimum.at(least, number, rank[take])
+        np.minimum.at(low, group, rank)
+        np.maximum.at(high, group, rank)
+        take = np.flatnonzero(np.repeat((mask | (low < high))[group], self.cover_runs)).astype(np.int32)
+        if not len(take):
+            return np.empty(0, np.uint64), np.empty(0, np.int32), take, take
+        names = self._names(take)
+        order = np.argsort(names).astype(np.int32)
+        names = names[order]
+        new = np.ones(len(names), bool)
+        new[1:] = names[1:] != names[:-1]
+        names = names[new]
+        least = np.minimum.reduceat(self.rank[self.doc[take[order]]], np.flatnonzero(new))
+        number = np.empty(len(take), np.int32)
+        number[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
         return names, least, number, take
 
     def _names(self, take: np.ndarray) -> np.ndarray:
-        return self._hashed(lambda s: gram_hashes(s, self.length))[take]
+        out = np.empty(len(take), np.uint64)
+        for a, b, hashed in self._hashed(self.at[take], lambda s: gram_hashes(s, self.length)):
+            out[a:b] = hashed
+        return out
 
     def covered(self, suffixes: np.ndarray) -> np.ndarray:
         """The bytes that removed suffixes and whole copies cover."""
@@ -152,7 +176,7 @@ class Block:
         whole = np.flatnonzero(self.copy & (self.sizes >= self.length))
         np.add.at(edge, (self.ends - self.sizes)[whole], 1)
         np.add.at(edge, self.ends[whole], -1)
-        return np.cumsum(edge[:-1]) > 0
+        return np.cumsum(edge[:-1], dtype=np.int32) > 0
 
 
 def cut_by_bucket(values: np.ndarray, buckets: int) -> np.ndarray:
@@ -165,6 +189,7 @@ def masks(sent: DataFrame, verdict) -> DataFrame:
     """One mask per block and bucket: ``verdict`` sorts a bucket's values of all blocks at once."""
 
     def run(groups: pa.Table) -> pa.Table:
+        give_back()
         out = verdict(groups)
         return pa.table({"block": groups["block"], "bucket": groups["bucket"], "mask": pa.array([np.packbits(m).tobytes() for m in out], pa.binary()), "n": pa.array(list(map(len, out)), pa.int64())})
 
@@ -177,6 +202,17 @@ def whole_mask(parts) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, bool)
 
 
+def name_rows(block: int, ids: np.ndarray, names: np.ndarray, least: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A block's names and their smallest documents by bucket.
+
+    A bucket gets only the ids that its names need: the buckets grow with the texts, and all ids in each would outgrow them.
+    """
+    cuts = cut_by_bucket(names, buckets)
+    full = [k for k in range(buckets) if cuts[k] < cuts[k + 1]]
+    used = [np.unique(least[cuts[k] : cuts[k + 1]], return_inverse=True) for k in full]
+    return pa.RecordBatch.from_pydict({"block": pa.array([block] * len(full), pa.int64()), "bucket": pa.array(full, pa.int32()), "ids": pa.array([ids[u].tobytes() for u, _ in used], pa.binary()), "names": pa.array([names[cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary()), "places": pa.array([p.astype(np.uint16).tobytes() for _, p in used], pa.binary())})
+
+
 def in_several_blocks(groups: pa.Table) -> list[np.ndarray]:
     parts = [np.frombuffer(p.as_py(), np.uint8).reshape(-1, 5) for p in groups["grams"]]
     every = np.zeros((sum(map(len, parts)), 8), np.uint8)
@@ -191,15 +227,35 @@ def in_several_blocks(groups: pa.Table) -> list[np.ndarray]:
 
 
 def in_earlier_documents(groups: pa.Table) -> list[np.ndarray]:
-    parts = [np.frombuffer(p.as_py(), np.uint64) for p in groups["names"]]
-    docs = [np.frombuffer(i.as_py(), np.int64)[np.frombuffer(p.as_py(), np.uint16)] for i, p in zip(groups["ids"], groups["places"], strict=True)]
-    every, doc = np.concatenate(parts), np.concatenate(docs)
-    order = np.argsort(every, kind="stable")
-    new = np.concatenate([[True], every[order][1:] != every[order][:-1]]) if len(order) else np.empty(0, bool)
-    first = np.minimum.reduceat(doc[order], np.flatnonzero(new)) if len(order) else doc
-    earlier = np.empty(len(every), bool)
-    earlier[order] = first[np.cumsum(new) - 1] < doc[order]
-    return np.split(earlier, np.cumsum([len(p) for p in parts])[:-1])
+    """Which names an earlier document has; a bucket's names, sorted in every row, are gone through range by range."""
+    parts = [np.frombuffer(p.as_buffer(), np.uint64) for p in groups["names"]]
+    places = [np.frombuffer(p.as_buffer(), np.uint16) for p in groups["places"]]
+    ids = [np.frombuffer(i.as_buffer(), np.int64) for i in groups["ids"]]
+    rank = np.unique(np.concatenate(ids))
+    ranks = [np.searchsorted(rank, i).astype(np.int32) for i in ids]
+    low, high = min(int(p[0]) for p in parts), max(int(p[-1]) for p in parts) + 1
+    ranges = -(-sum(map(len, parts)) // NAMES_AT_ONCE)
+    bounds = np.array([low + (high - low) * k // ranges for k in range(1, ranges)], np.uint64)
+    cuts = [[0, *np.searchsorted(p, bounds).tolist(), len(p)] for p in parts]
+    out = [np.empty(len(p), bool) for p in parts]
+    for k in range(ranges):
+        every = np.concatenate([p[c[k] : c[k + 1]] for p, c in zip(parts, cuts, strict=True)])
+        if not len(every):
+            continue
+        doc = np.concatenate([r[at[c[k] : c[k + 1]]] for r, at, c in zip(ranks, places, cuts, strict=True)])
+        order = np.argsort(every)
+        every, sorted_doc = every[order], doc[order]
+        new = np.ones(len(every), bool)
+        new[1:] = every[1:] != every[:-1]
+        first = np.minimum.reduceat(sorted_doc, np.flatnonzero(new))
+        earlier = np.empty(len(every), bool)
+        earlier[order] = first[np.cumsum(new) - 1] < sorted_doc
+        at = 0
+        for o, c in zip(out, cuts, strict=True):
+            n = c[k + 1] - c[k]
+            o[c[k] : c[k + 1]] = earlier[at : at + n]
+            at += n
+    return out
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, report: bool = False) -> DataFrame:
@@ -233,6 +289,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, report: bool = False) -> D
         columns = ["block", "ids", "sizes", "texts", "copies"]
 
         def send_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            give_back()
             for batch in batches:
                 for block, *parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     grams = Block(*parts, length).grams()
@@ -246,14 +303,12 @@ def remove_repeats(docs: DataFrame, length: int = 50, report: bool = False) -> D
         gram_masks = stage(masks(sent, in_several_blocks).groupBy("block").agg(packed.alias("gram_masks")), "gram-masks")
 
         def send_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            give_back()
             for batch in batches:
                 for block, *parts, gram_parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     own = Block(*parts, length)
                     names, least, _, _ = own.shared(whole_mask(gram_parts))
-                    cuts = cut_by_bucket(names, buckets)
-                    full = [k for k in range(buckets) if cuts[k] < cuts[k + 1]]
-                    ids, places = np.unique(own.ids).tobytes(), least.astype(np.uint16)
-                    yield pa.RecordBatch.from_pydict({"block": pa.array([block] * len(full), pa.int64()), "bucket": pa.array(full, pa.int32()), "ids": pa.array([ids] * len(full), pa.binary()), "names": pa.array([names[cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary()), "places": pa.array([places[cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary())})
+                    yield name_rows(block, np.unique(own.ids), names, least, buckets)
 
         known = blocks.join(copies, "block", "left").join(gram_masks, "block", "left")
         sent = known.select(*columns, "gram_masks").mapInArrow(send_names, "block long, bucket int, ids binary, names binary, places binary")
@@ -268,6 +323,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, report: bool = False) -> D
 def apply_masks(batches: Iterator[pa.RecordBatch], length: int, report: bool, names: list[str]) -> Iterator[pa.RecordBatch]:
     import hashlib
 
+    give_back()
     for batch in batches:
         for _, *parts, gram_parts, name_parts, rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             own = Block(*parts, length)

@@ -2,11 +2,14 @@
 
 import hashlib
 import random
+import tracemalloc
 import uuid
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from helpers import SF, extra, rows_of
 from pyspark.sql import functions as F
 
@@ -143,6 +146,53 @@ def test_repeats_on_odd_rows(odd_docs, no_docs):
     assert repeats.remove_repeats(no_docs, 50, report=True).count() == 0
 
 
+def test_a_block_takes_little_memory():
+    rng = np.random.default_rng(3)
+    text = rng.integers(97, 123, 200_000, dtype=np.uint8).tobytes() * 5
+    own = (np.arange(20).tobytes(), np.full(20, 50_000).tobytes(), zstandard.compress(text), None)
+    tracemalloc.start()
+    try:
+        block = repeats.Block(*own, 50)
+        grams = block.grams()
+        names = block.shared(np.ones(len(grams), bool))[0]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(names) == 4 * (50_000 - 49)
+    assert peak < 64 * len(text)
+
+
+def test_a_bucket_of_names_takes_little_memory(monkeypatch):
+    monkeypatch.setattr(repeats, "NAMES_AT_ONCE", 1 << 12)
+    rng = np.random.default_rng(4)
+    names = [np.unique(rng.integers(0, 100_000, 40_000, dtype=np.uint64) << np.uint64(40)) for _ in range(6)]
+    ids = [np.sort(rng.permutation(100)[:7]) for _ in names]
+    places = [rng.integers(0, 7, len(n)).astype(np.uint16) for n in names]
+    least = {}
+    for n, i, p in zip(names, ids, places, strict=True):
+        for name, doc in zip(n.tolist(), i[p].tolist(), strict=True):
+            least[name] = min(doc, least.get(name, doc))
+    rows = pa.table({"names": [n.tobytes() for n in names], "ids": [i.tobytes() for i in ids], "places": [p.tobytes() for p in places]})
+    tracemalloc.start()
+    try:
+        out = repeats.in_earlier_documents(rows)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [o.tolist() for o in out] == [[least[name] < doc for name, doc in zip(n.tolist(), i[p].tolist(), strict=True)] for n, i, p in zip(names, ids, places, strict=True)]
+    assert peak < 8 * sum(map(len, names))
+
+
+def test_a_bucket_gets_only_the_ids_that_its_names_need():
+    names = np.arange(400, dtype=np.uint64) << np.uint64(55)
+    least = (np.arange(400) % 300).astype(np.int32)
+    ids = np.arange(1000, 1500)
+    rows = repeats.name_rows(7, ids, names, least, 100).to_pylist()
+    back = [(i, n) for r in rows for n, i in zip(np.frombuffer(r["names"], np.uint64).tolist(), np.frombuffer(r["ids"], np.int64)[np.frombuffer(r["places"], np.uint16)].tolist(), strict=True)]
+    assert back == list(zip(ids[least].tolist(), names.tolist(), strict=True))
+    assert sum(len(r["ids"]) for r in rows) <= 8 * len(names)
+
+
 def test_repeats_inside_over_and_across_blocks(spark, monkeypatch):
     monkeypatch.setattr(repeats, "BLOCK_BYTES", 3000)
     monkeypatch.setattr(repeats, "CHUNK", 512)
