@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import shuffle_parts, small_batches, stage
+from auditlake.llm.common import give_back, shuffle_parts, small_batches, stage
 from auditlake.llm.vocab import encoder
 
 MAGIC = b"EFIDS\x00\x00\x01"
@@ -131,6 +131,7 @@ def encode_documents(docs: DataFrame, path: str, end_id: int, bounds: list[int])
     cuts = np.array(bounds, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         enc = encoder(path, spaced=True)
         width = 2 if enc.tok.get_vocab_size() <= 1 << 16 else 4
         for batch in batches:
@@ -160,11 +161,12 @@ def write_store(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     the id range, and every task sorts its slices and closes shards of bounded size.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 128)
     slices = shuffle_parts(spark, docs.select("doc_id").count())
     encoded = encode_documents(docs, path, end_id, slice_bounds(docs, slices))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         now, seq, names, parts, held, width = None, 0, [], [], 0, 4
 
         def close() -> pa.RecordBatch:
@@ -195,6 +197,7 @@ def read_store(shards: DataFrame) -> DataFrame:
     """
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             for at, seq, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 shard = Shard(data)
