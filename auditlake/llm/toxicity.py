@@ -29,6 +29,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,8 @@ from auditlake.llm.near_dups import band_keys, shingle_set, signature
 REPEATS = 3
 # Distances kept for words met before, by each worker.
 KNOWN = 300_000
+# Characters of texts whose words are met together, and of unknown words worked out together.
+TEXT_AT_ONCE, AT_ONCE = 1 << 20, 1 << 16
 # Bytes of the shared and of the labels' own parts of a dictionary.
 SHARED, OWN = 1024, 512
 # The shortest match that a compressor looks for.
@@ -58,26 +61,86 @@ class _Side:
     def __init__(self, books: list[bytes]):
         self.compressors = [_compressor(book) for book in books]
         # Only a dictionary that has MATCH bytes in a row of a window can shorten it; the first one is always tried.
-        self.having: dict[bytes, set[int]] = {}
-        for k, book in enumerate(books[1:], 1):
-            for i in range(len(book) - MATCH + 1):
-                self.having.setdefault(book[i : i + MATCH], set()).add(k)
-
-    def shortest(self, window: bytes) -> int:
-        tried = {0}.union(*(self.having.get(window[i : i + MATCH], ()) for i in range(len(window) // REPEATS))) if self.having else (0,)
-        return min(len(self.compressors[k](window)) for k in tried)
+        having = [np.unique(_runs_of_bytes(np.frombuffer(book, np.uint8))) for book in books[1:]]
+        runs, owner = np.concatenate([*having, np.empty(0, np.uint64)]), np.repeat(np.arange(1, len(having) + 1), [len(h) for h in having])
+        self.runs, self.count = np.unique(runs, return_counts=True)
+        self.owner, self.first = owner[np.argsort(runs, kind="stable")], np.cumsum(self.count) - self.count
+
+    def shortest(self, windows: list[bytes], runs: np.ndarray, window_of: np.ndarray) -> np.ndarray:
+        """Per window, its length under the best dictionary; ``runs``: the windows' bytes, MATCH in a row, and whose they are."""
+        out = _lengths(self.compressors[0], windows)
+        if len(self.runs):
+            at = np.minimum(np.searchsorted(self.runs, runs), len(self.runs) - 1)
+            hit = np.flatnonzero(self.runs[at] == runs)
+            at, n = at[hit], self.count[at[hit]]
+            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            pairs = np.unique(self.owner[np.repeat(self.first[at], n) + nth] * len(windows) + np.repeat(window_of[hit], n))
+            for k in np.unique(pairs // len(windows)).tolist():
+                some = pairs[pairs // len(windows) == k] % len(windows)
+                out[some] = np.minimum(out[some], _lengths(self.compressors[k], [windows[i] for i in some.tolist()]))
+        return out
+
+
+def _runs_of_bytes(data: np.ndarray) -> np.ndarray:
+    """Every MATCH bytes in a row as one number."""
+    n = max(0, len(data) - MATCH + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(MATCH):
+        out <<= np.uint64(8)
+        out |= data[i : i + n]
+    return out
+
+
+def _lengths(compressor, windows: list[bytes]) -> np.ndarray:
+    """The windows' compressed lengths: many short ones in one call, which costs less than calls of their own."""
+    if len(windows) < 2:
+        return np.array([len(compressor.compress(w)) for w in windows], np.int64)
+    return np.fromiter(map(len, compressor.multi_compress_to_buffer(windows)), np.int64, len(windows))
 
 
 class _Distances(dict):
-    """Word to its distance, worked out when first asked for."""
+    """Word to its distance, worked out when first met; a word not met for long is forgotten."""
 
     def __init__(self, toxic: list[bytes], ordinary: list[bytes]):
         self.toxic, self.ordinary = _Side(toxic), _Side(ordinary)
+        self.older: dict[str, int] = {}
 
     def __missing__(self, word: str) -> int:
-        window = f" {word} ".encode() * REPEATS
-        self[word] = got = self.ordinary.shortest(window) - self.toxic.shortest(window)
-        return got
+        self.meet({word})
+        return self[word]
+
+    def meet(self, words: set[str]) -> None:
+        """Have the distances of these words, the unknown ones worked out together."""
+        if len(self) > KNOWN // 2:
+            self.older = dict(self)
+            self.clear()
+        unknown = []
+        for word in words.difference(self):
+            if (had := self.older.get(word)) is None:
+                unknown.append(word)
+            else:
+                self[word] = had
+        some, held = [], 0
+        for word in unknown:
+            some.append(word)
+            held += len(word)
+            if held > AT_ONCE:
+                self._work_out(some)
+                some, held = [], 0
+        if some:
+            self._work_out(some)
+
+    def _work_out(self, words: list[str]) -> None:
+        once = [f" {word} ".encode() for word in words]
+        windows = [w * REPEATS for w in once]
+        data = np.frombuffer(b"".join(windows), np.uint8)
+        sizes = np.array([len(w) for w in once])
+        # The bytes in a row that start in a window's first word; those of the repeated ones are the same.
+        window_of = np.repeat(np.arange(len(words)), sizes)
+        starts = np.arange(len(window_of)) + ((REPEATS - 1) * (np.cumsum(sizes) - sizes))[window_of]
+        runs = _runs_of_bytes(data)[starts]
+        found = self.ordinary.shortest(windows, runs, window_of) - self.toxic.shortest(windows, runs, window_of)
+        self.update(zip(words, found.tolist(), strict=True))
 
 
 def _compressor(content: bytes):
@@ -89,7 +152,7 @@ def _compressor(content: bytes):
     )
     book = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
     book.precompute_compress(compression_params=setting)
-    return z.ZstdCompressor(dict_data=book, compression_params=setting).compress
+    return z.ZstdCompressor(dict_data=book, compression_params=setting)
 
 
 class Scorer:
@@ -107,10 +170,23 @@ class Scorer:
 
     def distances(self, text: str) -> np.ndarray:
         """Per window, the bytes that the best toxic dictionary saves against the best ordinary one."""
-        if self._known is None or len(self._known) > KNOWN:
+        if self._known is None:
             self._known = _Distances(self.toxic, self.ordinary)
         return np.array([*map(self._known.__getitem__, text.lower().split())] or [0])
 
+    def met(self, texts: list[str]) -> Iterator[str]:
+        """The texts again; the words of some at a time are met before those are handed on."""
+        if self._known is None:
+            self._known = _Distances(self.toxic, self.ordinary)
+        some, held = [], 0
+        for i, text in enumerate(texts):
+            some.append(text)
+            held += len(text)
+            if held > TEXT_AT_ONCE or i == len(texts) - 1:
+                self._known.meet({w for t in some for w in t.lower().split()})
+                yield from some
+                some, held = [], 0
+
     def features(self, text: str) -> list[float]:
         d = self.distances(text)
         top = np.sort(d)[-3:]
@@ -120,6 +196,9 @@ class Scorer:
         z = float(np.dot(self.weights, self.features(text or "")))
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
 
+    def scores(self, texts: list[str | None]) -> list[float]:
+        return [*map(self.score, self.met([t or "" for t in texts]))]
+
 
 def copy_groups(texts: list[str]) -> list[int]:
     """For every text a number that near copies share: texts that meet in a band and agree are joined.
@@ -217,7 +296,7 @@ def fit(rows: list[tuple[str, int]]) -> Scorer:
     if not len(y) or y.min() == y.max():
         scorer.weights = [-30.0] + [0.0] * 6
         return scorer
-    x = np.array([scorer.features(t) for t, _ in held])
+    x = np.array([*map(scorer.features, scorer.met([t for t, _ in held]))])
     groups = [(label, g) for label in (0, 1) for g in copy_groups([t for t, have in held if have == label])]
     sizes = Counter(groups)
     share = np.array([1 / sizes[g] for g in groups])
@@ -248,7 +327,7 @@ def score_documents(docs: DataFrame, scorer: Scorer) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [scorer.score(t) for t in batch.column(1).to_pylist()]
+            scores = scorer.scores(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     small_batches(docs.sparkSession)
@@ -278,6 +357,6 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     @F.pandas_udf("double")
     def score(texts):
-        return texts.map(scorer.score)
+        return pd.Series(scorer.scores(texts.tolist()), texts.index, float)
 
     return docs.filter(score(F.coalesce("text", F.lit(""))) < 0.5)

@@ -169,6 +169,50 @@ def test_toxicity_keeps_every_marking_word():
     assert sum((s >= 0.5) == bool(y) for s, y in fresh) >= 0.97 * len(fresh)
 
 
+def test_toxicity_works_words_out_together(monkeypatch):
+    """The distances are those of one word after the other, in few calls, also when words are forgotten and met again."""
+    draw = random.Random(4)
+    marks = [["".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 9))) for _ in range(300)] for _ in range(2)]
+    toxic, ordinary = ([b" the and of " + part for part in toxicity.dealt(words, 512)] for words in marks)
+    assert len(toxic) > 2 and len(ordinary) > 2
+    words = [draw.choice(marks[k % 2])[: draw.randint(1, 9)] + draw.choice(["", "é", "ing", draw.choice(marks[0])]) for k in range(900)] + ["x" * 70_000, "the", "a\x00b"]
+    texts = [" ".join(draw.choice(words) for _ in range(80)) for _ in range(60)] + ["", None, " ".join(words)]
+    calls = []
+    make = toxicity._compressor
+
+    def counting(book):
+        class Counting:
+            own = make(book)
+
+            def __getattr__(self, name):
+                calls.append(name)
+                return getattr(self.own, name)
+
+        return Counting()
+
+    def distance(word):
+        window = f" {word} ".encode() * 3
+
+        def shortest(books):
+            having = [k for k, book in enumerate(books) if k == 0 or any(window[i : i + 5] in book for i in range(len(window) // 3))]
+            return min(len(make(books[k]).compress(window)) for k in having)
+
+        return shortest(ordinary) - shortest(toxic)
+
+    scorer = toxicity.Scorer(toxic, ordinary, [-1.0, 0.3, 0.2, 0.1, 0.1, 0.1, 0.1])
+    by_one = [scorer.score(t) for t in texts]
+    expected = {w: distance(w) for w in set(words)}
+    assert len(set(expected.values())) > 3
+    assert scorer.distances(texts[-1]).tolist() == [expected[w] for w in words]
+    monkeypatch.setattr(toxicity, "_compressor", counting)
+    together = toxicity.Scorer(toxic, ordinary, scorer.weights)
+    assert together.scores(texts) == by_one and 0 < len(calls) < len(expected) / 4
+    monkeypatch.setattr(toxicity, "KNOWN", 200)
+    monkeypatch.setattr(toxicity, "TEXT_AT_ONCE", 2000)
+    monkeypatch.setattr(toxicity, "AT_ONCE", 100)
+    assert toxicity.Scorer(toxic, ordinary, scorer.weights).scores(texts) == by_one
+
+
 def test_toxicity_counts_near_copies_once():
     """A third of the toxic rows are near copies of one text; its rare words push out no insult."""
     draw = random.Random(2)
