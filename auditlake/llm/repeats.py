@@ -17,7 +17,7 @@ pairs, which no shuffle key can make). Then:
 4. each block applies its mask to its texts.
 
 A block sends each gram and each name once, however often it has it, so very common passages put
-one row per block into a bucket. Exact copies of a whole text are found before by their digest and
+one row per block into a bucket. Sorted names and ids are sent by their steps. Exact copies of a whole text are found before by their digest and
 take part in nothing else. Names have 64 bits besides the bucket's: two different strings are taken
 for one with a chance of about n^2 / 2^70 for n shared suffixes.
 
@@ -28,6 +28,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import struct
 import uuid
 from collections.abc import Iterator
 
@@ -45,6 +46,8 @@ BLOCK_BYTES = 2_000_000
 CHUNK = 1 << 18
 # Names of a bucket compared at once.
 NAMES_AT_ONCE = 1 << 19
+# Of a packed row of names: how many, how many ids, the bytes of a step of each, the first id.
+HEAD = struct.Struct("<IIBBQ")
 _SYMBOLS = byte_table(10)
 _NO_ID = np.iinfo(np.int64).min
 BLOCKS = "block long, ids binary, sizes binary, digests binary, texts binary, rest binary"
@@ -213,6 +216,53 @@ def name_rows(block: int, ids: np.ndarray, names: np.ndarray, least: np.ndarray,
     return pa.RecordBatch.from_pydict({"block": pa.array([block] * len(full), pa.int64()), "bucket": pa.array(full, pa.int32()), "ids": pa.array([ids[u].tobytes() for u, _ in used], pa.binary()), "names": pa.array([names[cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary()), "places": pa.array([p.astype(np.uint16).tobytes() for _, p in used], pa.binary())})
 
 
+def _joined(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """How many numbers each row of a binary column has, and the numbers of all rows."""
+    parts = [np.frombuffer(x.as_buffer(), kind) for x in column]
+    return np.array([len(p) for p in parts], np.int64), np.concatenate([*parts, np.empty(0, kind)])
+
+
+def _low_bytes(numbers: np.ndarray) -> np.ndarray:
+    """The bytes of 64-bit numbers, a row each, lowest first; only as many as the largest needs."""
+    return numbers.view(np.uint8).reshape(-1, 8)[:, : -(-int(numbers.max(initial=0)).bit_length() // 8)]
+
+
+def pack_names(rows: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
+    """A block's ``name_rows`` as they are shuffled: of sorted names and ids the steps from one to the next, which need fewer
+    bytes than they do, and of all numbers of a row the lowest bytes first, so that high ones, mostly 0, compress."""
+    (n, names), (m, ids), (_, places) = (_joined(rows.column(c), kind) for c, kind in (("names", np.uint64), ("ids", np.uint64), ("places", np.uint16)))
+    at, to = np.cumsum(n) - n, np.cumsum(m) - m
+    steps, id_steps = np.diff(names, prepend=names[:1]), np.diff(ids, prepend=ids[:1])
+    steps[at] = names[at] - np.array([(k << 64) // buckets for k in rows.column("bucket").to_pylist()], np.uint64)
+    id_steps[to] = 0
+    steps, id_steps, low, high = _low_bytes(steps), _low_bytes(id_steps), places.astype(np.uint8), (places >> np.uint16(8)).astype(np.uint8)
+    out = []
+    for i, count, j, used in zip(at.tolist(), n.tolist(), to.tolist(), m.tolist(), strict=True):
+        head = HEAD.pack(count, used, steps.shape[1], id_steps.shape[1], int(ids[j]))
+        out.append(b"".join((head, steps[i : i + count].T.tobytes(), id_steps[j : j + used].T.tobytes(), low[i : i + count].tobytes(), high[i : i + count].tobytes() if used > 256 else b"")))
+    return pa.RecordBatch.from_pydict({"block": rows.column("block"), "bucket": rows.column("bucket"), "names": pa.array(out, pa.binary())})
+
+
+def unpack_names(groups: pa.Table, buckets: int) -> pa.Table:
+    """A bucket's rows as ``name_rows`` made them."""
+    out: dict[str, list[bytes]] = {"ids": [], "names": [], "places": []}
+    for bucket, row in zip(groups["bucket"].to_pylist(), groups["names"], strict=True):
+        data = row.as_buffer()
+        count, used, wide, id_wide, first = HEAD.unpack_from(data)
+        data = np.frombuffer(data, np.uint8, offset=HEAD.size)
+        places = data[wide * count + id_wide * used :].reshape(-1, count)
+        for name, n, w, base, part in (("names", count, wide, (bucket << 64) // buckets, data[: wide * count]), ("ids", used, id_wide, first, data[wide * count : wide * count + id_wide * used])):
+            steps = np.zeros((n, 8), np.uint8)
+            steps[:, :w] = part.reshape(w, n).T
+            steps = steps.view(np.uint64).ravel()
+            steps[0] += np.uint64(base)
+            out[name].append(np.cumsum(steps, out=steps).tobytes())
+        two = np.zeros((count, 2), np.uint8)
+        two[:, : len(places)] = places.T
+        out["places"].append(two.tobytes())
+    return pa.table({c: pa.array(x, pa.binary()) for c, x in out.items()})
+
+
 def in_several_blocks(groups: pa.Table) -> list[np.ndarray]:
     parts = [np.frombuffer(p.as_py(), np.uint8).reshape(-1, 5) for p in groups["grams"]]
     every = np.zeros((sum(map(len, parts)), 8), np.uint8)
@@ -308,11 +358,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, report: bool = False) -> D
                 for block, *parts, gram_parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     own = Block(*parts, length)
                     names, least, _, _ = own.shared(whole_mask(gram_parts))
-                    yield name_rows(block, np.unique(own.ids), names, least, buckets)
+                    yield pack_names(name_rows(block, np.unique(own.ids), names, least, buckets), buckets)
 
         known = blocks.join(copies, "block", "left").join(gram_masks, "block", "left")
-        sent = known.select(*columns, "gram_masks").mapInArrow(send_names, "block long, bucket int, ids binary, names binary, places binary")
-        name_masks = stage(masks(sent, in_earlier_documents).groupBy("block").agg(packed.alias("name_masks")), "name-masks")
+        sent = known.select(*columns, "gram_masks").mapInArrow(send_names, "block long, bucket int, names binary")
+        name_masks = stage(masks(sent, lambda groups: in_earlier_documents(unpack_names(groups, buckets))).groupBy("block").agg(packed.alias("name_masks")), "name-masks")
         known = known.join(name_masks, "block", "left").select(*columns, "gram_masks", "name_masks", "rest")
         schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" if report else docs.schema
         return result(known.mapInArrow(lambda batches: apply_masks(batches, length, report, names), schema), "without-repeats", since, "zstd")

@@ -193,6 +193,21 @@ def test_a_bucket_gets_only_the_ids_that_its_names_need():
     assert sum(len(r["ids"]) for r in rows) <= 8 * len(names)
 
 
+def test_names_are_sent_in_fewer_bytes():
+    rng = np.random.default_rng(5)
+    for n, buckets, spread in ((40_000, 12, 600), (40_000, 1000, 600), (3, 5, 3), (1, 1, 1), (0, 4, 2)):
+        names = np.unique(np.append(rng.integers(0, 2**64, max(0, n - 1), dtype=np.uint64), np.full(min(n, 1), 2**64 - 1, np.uint64)))
+        ids = np.unique(np.append(rng.integers(-900, 900, spread), np.iinfo(np.int64).min + 1))
+        rows = repeats.name_rows(7, ids, names, rng.integers(0, len(ids), len(names)).astype(np.int32), buckets)
+        sent = repeats.pack_names(rows, buckets)
+        for k in range(rows.num_rows):
+            back = repeats.unpack_names(pa.Table.from_batches([sent.slice(k, 1)]), buckets).to_pylist()[0]
+            assert back == {c: x for c, x in rows.slice(k, 1).to_pylist()[0].items() if c in back}
+        if n > 3:
+            size = [sum(len(x) for c in t.schema.names if c not in ("block", "bucket") for x in t.column(c).to_pylist()) for t in (rows, sent)]
+            assert size[1] < 0.95 * size[0]
+
+
 def test_repeats_inside_over_and_across_blocks(spark, monkeypatch):
     monkeypatch.setattr(repeats, "BLOCK_BYTES", 3000)
     monkeypatch.setattr(repeats, "CHUNK", 512)
