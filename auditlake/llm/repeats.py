@@ -38,12 +38,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import byte_table, give_back, gram_hashes, result, shuffle_parts, small_batches, stage, staged_so_far
+from auditlake.llm.common import byte_table, give_back, gram_hashes, mix, result, shuffle_parts, small_batches, stage, staged_so_far
 
 GRAM = 24
 BLOCK_BYTES = 2_000_000
 # Positions hashed at once: what a worker holds besides the block.
-CHUNK = 1 << 18
+CHUNK = 1 << 16
 # Names of a bucket compared at once.
 NAMES_AT_ONCE = 1 << 19
 # Of a packed row of names: how many, how many ids, the bytes of a step of each, the first id.
@@ -111,14 +111,18 @@ class Block:
         self._find_covers()
 
     def _find_covers(self) -> None:
-        """Cover grams as runs, since suffixes in a row mostly share theirs: each run's gram, document and length."""
+        """Cover grams as runs, since suffixes in a row mostly share theirs: each run's gram, document and length.
+
+        The smallest of some hashes is mostly small, and the first bucket would get its ``length - GRAM + 1``-fold share:
+        grams are mixed once more, which keeps different ones different and spreads them over the buckets.
+        """
         grams, firsts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
         for a, b, hashed in self._hashed(self.at, lambda s: self._least(gram_hashes(s, GRAM))):
             new = np.ones(b - a, bool)
             new[1:] = (hashed[1:] != hashed[:-1]) | (self.doc[a + 1 : b] != self.doc[a : b - 1])
             grams.append(hashed[new])
             firsts.append(np.flatnonzero(new) + a)
-        self.covers, first = np.concatenate(grams), np.concatenate(firsts)
+        self.covers, first = mix(np.concatenate(grams)), np.concatenate(firsts)
         self.cover_doc = self.doc[first]
         self.cover_runs = np.diff(first, append=len(self.at))
 

@@ -162,6 +162,16 @@ def test_a_block_takes_little_memory():
     assert peak < 64 * len(text)
 
 
+def test_cover_grams_are_spread_over_the_buckets():
+    rng = np.random.default_rng(6)
+    text = rng.integers(97, 123, 200_000, dtype=np.uint8).tobytes()
+    block = repeats.Block(np.arange(4).tobytes(), np.full(4, 50_000).tobytes(), zstandard.compress(text), None, 50)
+    grams = block.grams()
+    held = np.diff(repeats.cut_by_bucket(grams, 20))
+    assert held.sum() == len(grams) > 10_000
+    assert held.max() < 2 * held.mean()
+
+
 def test_a_bucket_of_names_takes_little_memory(monkeypatch):
     monkeypatch.setattr(repeats, "NAMES_AT_ONCE", 1 << 12)
     rng = np.random.default_rng(4)
